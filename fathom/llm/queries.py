@@ -14,5 +14,11 @@ def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
-QUERIES = {"op10_setsketch": op10_setsketch}
+def op8_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op8_noisy_channel": op8_noisy_channel, "op10_setsketch": op10_setsketch}
 ORACLE: dict[str, str] = {}
