@@ -20,5 +20,13 @@ def op8_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op8_noisy_channel": op8_noisy_channel, "op10_setsketch": op10_setsketch}
+def op7_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op7_tiered_packing": op7_tiered_packing, "op8_noisy_channel": op8_noisy_channel, "op10_setsketch": op10_setsketch}
 ORACLE: dict[str, str] = {}
