@@ -28,5 +28,11 @@ def op7_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op7_tiered_packing": op7_tiered_packing, "op8_noisy_channel": op8_noisy_channel, "op10_setsketch": op10_setsketch}
+def op6_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+
+
+QUERIES = {"op6_decision_list": op6_decision_list, "op7_tiered_packing": op7_tiered_packing, "op8_noisy_channel": op8_noisy_channel, "op10_setsketch": op10_setsketch}
 ORACLE: dict[str, str] = {}
