@@ -226,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, sample: int = SAMP
     if not 0 < bad < n:
         discard(rows)
         return math.log((bad + 0.5) / (n - bad + 0.5)) if n else -3.0, {}
-    stems = [F.transform(F.filter("words", lambda w, k=k: F.length(w) >= k), lambda w, k=k: F.substring(w, 1, k)) for k in STEMS]
+    stems = [F.expr(f"transform(filter(words, w -> length(w) >= {k}), w -> substring(w, 1, {k}))") for k in STEMS]
     seen = rows.select("toxic", F.array_distinct(F.concat(F.transform("words", lambda w: F.concat(w, F.lit("."))), *stems)).alias("words"))
     counts = seen.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("x"), F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
     x, y, p = F.col("x"), F.col("n") - F.col("x"), bad / n
