@@ -8,8 +8,9 @@ agree in a register with a probability close to their Jaccard similarity.
 1. One pass over the texts makes (size, 128-bit fingerprint, sketch) a document.
 2. Documents with one fingerprint are one class; its least doc_id stands for it.
 3. Representatives meet in buckets of one band of registers. Every bucket links its members
-   to a hub first, so that a group of k near copies costs k pairs and not k * k / 2; then
-   every pair of members that no found link connects is looked at, so no link is lost.
+   to a hub first, so that a group of k near copies costs k pairs and not k * k / 2. Pairs
+   of members that no found link connects are then bounded from what each shares with the
+   hub and from the shingles beyond it, and all that may still be links are looked at.
 4. The joint likelihood of the registers that are equal, greater and less estimates each
    pair's similarity; pairs many standard errors below the threshold go.
 5. What is left is confirmed on the full shingle sets, and links become components.
@@ -208,6 +209,10 @@ def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1)), pa.array(est)], names=["a", "b", "est"])
 
 
+def _sizes_fit(a: str, b: str, percent: int):
+    return F.least(a, b) * 100 >= percent * F.greatest(a, b)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -221,53 +226,56 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     known = sketch.where("n > 0 and doc_id is not null")
     least = known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"))
     reps = saved(least, "reps")
-    share = F.lit(percent / 100)
-
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 1 + 2 * ROWS * k, 2 * ROWS)) for k in range(REGISTERS // ROWS)])
     rows = reps.select("id", "n", F.explode(bands).alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("k"), F.min("id").alias("hub"), F.max("id").alias("far")).where("k > 1")
-    members = saved(rows.join(shared, "key").select("key", "id", "n", "hub", "far"), "members")
-
+    shared = rows.groupBy("key").agg(F.count("*").alias("k"), F.min("id").alias("hub")).where("k > 1").select("key", "hub")
+    members = saved(rows.join(shared, "key").select("key", "id", "n", "hub"), "members")
+    need = members.select(F.col("id").alias("doc_id")).distinct()
+    sets = saved(texts.join(need, "doc_id", "left_semi").mapInArrow(*_set_pass(words)).dropDuplicates(["id", "set"]), "sets")
+    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
     light = reps.select("id", "n", "sketch")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are links: likely by their sketches, true on their sets."""
-        left = light.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        right = light.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        both = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") >= share * F.greatest("na", "nb") - 1e-6)
+        from_a = light.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+        from_b = light.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        both = pairs.join(from_a, "a").join(from_b, "b").where(_sizes_fit("na", "nb", percent))
         likely = both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_estimate, "a long, b long, est double")
         slack = 5 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
-        likely = saved(likely.where(F.col("est") >= share - slack).select("a", "b"), "likely")
-        need = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = saved(texts.join(need, "doc_id", "left_semi").mapInArrow(*_set_pass(words)).dropDuplicates(["id", "set"]), "sets")
-        met = (
-            likely.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-            .select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("inter"))
-        )
-        links = saved(met.where(F.col("inter") * 100 >= percent * (F.col("total") - F.col("inter"))).select("a", "b").distinct(), "links")
-        discard(likely, sets)
-        return links
-
-    stars = members.select(F.col("id").alias("a"), F.explode(F.array("hub", "far")).alias("b")).where("a != b")
-    links = confirm(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        likely = likely.where(F.col("est") >= percent / 100 - slack).select("a", "b")
+        met = likely.join(left, "a").join(right, "b").select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("inter"))
+        return saved(met.where(F.col("inter") * 100 >= percent * (F.col("total") - F.col("inter"))).select("a", "b").distinct(), "links")
+
+    spokes = members.where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    links = confirm(spokes)
     part = saved(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "part")
 
-    named = members.join(part.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"), "hub", "far")
+    named = members.join(part.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "hub", F.coalesce("component", "id").alias("c"))
     open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    loose = saved(named.join(open_keys, "key", "left_semi"), "loose")
-    x, y = (loose.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("id", "n", "c", "hub", "far")]) for s in "xy")
+    loose = saved(named.where("id != hub").join(open_keys, "key", "left_semi"), "loose")
+    # Against its hub, each member has some shingles in common (inter) and some of its own.
+    # Two members share at most the lesser inter and whichever of their own are equal; own
+    # shingles of one document alone can't be, so only the others are kept.
+    seen = loose.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct().join(left, "a").join(right, "b")
+    seen = saved(seen.select("a", "b", F.size(F.array_intersect("x", "y")).alias("inter"), F.array_except("x", "y").alias("own")), "own")
+    each = seen.select("a", "b", F.explode("own").alias("s"))
+    known_twice = each.select("a", "s").distinct().groupBy("s").count().where("count > 1").select("s")
+    own = each.join(known_twice, "s").groupBy("a", "b").agg(F.collect_list("s").alias("own"))
+    facts = seen.drop("own").join(own, ["a", "b"], "left").select(F.col("a").alias("id"), F.col("b").alias("hub"), "inter", F.coalesce("own", F.array().cast("array<long>")).alias("own"))
+    loose_facts = saved(loose.join(facts, ["id", "hub"]).select("key", "id", "n", "c", "inter", "own"), "facts")
+    x, y = (loose_facts.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("id", "n", "c", "inter", "own")]) for s in "xy")
+    most = F.least("interx", "intery") + F.size(F.array_intersect("ownx", "owny"))
     rest = (
-        x.join(y, (x["key"] == y["key"]) & (F.col("idx") > F.col("idy")) & (F.col("cx") != F.col("cy")) & (F.least("nx", "ny") >= share * F.greatest("nx", "ny") - 1e-6) & ~F.col("hubx").isin(F.col("idx"), F.col("idy")) & ~F.col("farx").isin(F.col("idx"), F.col("idy")))
+        x.join(y, (x["key"] == y["key"]) & (F.col("idx") > F.col("idy")) & (F.col("cx") != F.col("cy")) & _sizes_fit("nx", "ny", percent) & ((100 + percent) * most >= percent * (F.col("nx") + F.col("ny"))))
         .select(F.col("idx").alias("a"), F.col("idy").alias("b"))
         .distinct()
     )
-    more = confirm(saved(rest, "rest"))
+    more = confirm(rest)
     if not more.isEmpty():
         joined = part.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
         part = saved(components(joined), "part")
+    discard(members, sets, loose, seen, loose_facts, links, more)
     classes = reps.join(part.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component_id"))
-    discard(members, loose, links, more)
     out = sketch.join(classes, ["f1", "f2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
