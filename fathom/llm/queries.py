@@ -34,5 +34,69 @@ def op6_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
 
-QUERIES = {"op6_decision_list": op6_decision_list, "op7_tiered_packing": op7_tiered_packing, "op8_noisy_channel": op8_noisy_channel, "op10_setsketch": op10_setsketch}
-ORACLE: dict[str, str] = {}
+def op2_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import quantised, top_k
+
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("vector"))
+    return top_k(rows, rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 5)
+
+
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op9_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import alias_edges, judge
+
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, URL_RULES, alias_edges(pages))
+
+
+QUERIES = {"op2_threshold": op2_threshold, "op9_redirects": op9_redirects, "op6_decision_list": op6_decision_list, "op7_tiered_packing": op7_tiered_packing, "op8_noisy_channel": op8_noisy_channel, "op10_setsketch": op10_setsketch}
+ORACLE: dict[str, str] = {
+    "op2_threshold": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+    "op9_redirects": r"""
+        WITH RECURSIVE links AS (
+            SELECT url AS source, unnest([
+                regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b["'']?[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+                regexp_extract(html, '(?i)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*\brel\s*=\s*["'']?canonical\b', 1),
+                regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS t
+            FROM pages
+        ), ends AS (
+            SELECT source, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t
+                WHEN starts_with(t, '/') THEN regexp_extract(source, '^(.*?://[^/?#]*)', 1, 's') || t END AS target
+            FROM (SELECT source, replace(t, '&amp;', '&') AS t FROM links WHERE t <> '' AND source IS NOT NULL)
+        ), urls AS (
+            SELECT url, translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '://[^?#]*(\?[^#]*)', 1) AS query
+            FROM (SELECT source AS url FROM ends UNION SELECT target FROM ends UNION SELECT url FROM pages WHERE contains(url, '://'))
+        ), judged AS (
+            SELECT *, host || path || query AS node,
+                CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+                     WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+                     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/en/') THEN 'com/en/'
+                     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/de/') THEN 'net/de/'
+                     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/' END AS rule
+            FROM urls WHERE contains(url, '://')
+        ), ruled AS (
+            SELECT *, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS v FROM judged
+        ), edges AS (
+            SELECT DISTINCT a.node AS x, b.node AS y FROM ends e JOIN ruled a ON a.url = e.source JOIN ruled b ON b.url = e.target
+        ), both_ways AS (SELECT x, y FROM edges UNION SELECT y, x FROM edges),
+        reach AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),
+        by_alias AS (
+            SELECT r.x AS node, CASE WHEN bool_or(v = 'allow') THEN 'allow' WHEN bool_or(v = 'block') THEN 'block' END AS v
+            FROM reach r JOIN ruled u ON u.node = r.y GROUP BY r.x
+        )
+        SELECT p.page_id, coalesce(u.host, '') AS host, coalesce(u.path, '') AS path, u.rule, coalesce(u.v, a.v, 'allow') AS verdict
+        FROM pages p LEFT JOIN ruled u ON u.url = p.url LEFT JOIN by_alias a ON a.node = u.node
+    """,
+}
