@@ -39,13 +39,6 @@ CACHE = 1_000_000
 _SPACES = re.compile("[ \t\n\r]+")
 
 
-@lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 #: The tokenizer's own division of a word into parts, each of which ends in an id that marks a word's end.
 _PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+", re.IGNORECASE)
 
@@ -60,7 +53,9 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {"": b""}
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for word, i in self.tokenizer.get_vocab().items():
             self.ends[i] = word.endswith("</w>")
@@ -93,6 +88,12 @@ class Encoder:
                 at = to
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, which keeps its words from task to task."""
+    return Encoder(path)
+
+
 class Packer:
     """Packs pieces (doc, first byte, bytes) into full windows; emits them to out."""
 
@@ -198,7 +199,7 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        packer, encoder = Packer((task.partitionId() if task else 0) << 40, tiers, step_tokens), Encoder(tokenizer_path)
+        packer, encode = Packer((task.partitionId() if task else 0) << 40, tiers, step_tokens), encoder(tokenizer_path).encode
 
         def flush():
             rows, packer.out = packer.out, []
@@ -209,7 +210,7 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, s
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                ids = encoder.encode([t or "" for t in part.column(1).to_pylist()])
+                ids = encode([t or "" for t in part.column(1).to_pylist()])
                 for doc_id, x in zip(part.column(0).to_pylist(), ids, strict=True):
                     packer.add((doc_id, len(x) // 4 + 1), x + end)
                 if len(packer.out) >= 20_000:
