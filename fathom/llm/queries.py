@@ -51,7 +51,13 @@ def op9_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, URL_RULES, alias_edges(pages))
 
 
-QUERIES = {"op2_threshold": op2_threshold, "op9_redirects": op9_redirects, "op6_decision_list": op6_decision_list, "op7_tiered_packing": op7_tiered_packing, "op8_noisy_channel": op8_noisy_channel, "op10_setsketch": op10_setsketch}
+def op3_dom_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op3_dom_trees": op3_dom_trees, "op2_threshold": op2_threshold, "op9_redirects": op9_redirects, "op6_decision_list": op6_decision_list, "op7_tiered_packing": op7_tiered_packing, "op8_noisy_channel": op8_noisy_channel, "op10_setsketch": op10_setsketch}
 ORACLE: dict[str, str] = {
     "op2_threshold": """
         WITH v AS (
