@@ -57,8 +57,64 @@ def op3_dom_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op3_dom_trees": op3_dom_trees, "op2_threshold": op2_threshold, "op9_redirects": op9_redirects, "op6_decision_list": op6_decision_list, "op7_tiered_packing": op7_tiered_packing, "op8_noisy_channel": op8_noisy_channel, "op10_setsketch": op10_setsketch}
+#: The production tree's first level, by source, and the weights of its nodes; others weigh 1.
+DOMAIN = "case when source in ('src0', 'src1', 'src2', 'src3') then 'web' when cast(substring(source, 4) as int) < 12 then 'books' else 'reference' end"
+MIX = {("web",): 3.0, ("books",): 4.0, ("reference",): 3.0, ("web", "en"): 3.0, ("books", "en"): 2.0, ("reference", "en"): 2.0, ("web", "en", "src0"): 0.5}
+
+
+def op1_weighted_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    levels = [("domain", F.expr(DOMAIN.replace("cast(", "try_cast("))), ("lang", F.col("lang")), ("source", F.col("source"))]
+    return mix(table(spark, sf_dir, "documents"), levels, MIX, 0.75, epochs=4)
+
+
+def op4_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import maximal_conversations
+
+    return maximal_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op5_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    from .licenses import TEMPLATES, THRESHOLD, bigrams, normal_words
+
+    rows = ", ".join(f"('{k}', {bigrams(normal_words(t))!r})" for k, t in TEMPLATES.items())
+    return f"""
+        WITH t(license, b) AS (VALUES {rows}),
+        u AS (SELECT doc_id, 'text' AS scope, text AS unit FROM documents
+              UNION ALL SELECT doc_id, 'line', unnest(string_split(text, chr(10))) FROM documents),
+        w AS (SELECT doc_id, scope, list_filter(string_split(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM u),
+        g AS (SELECT doc_id, scope, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1),
+        d AS (SELECT doc_id, scope, license, 2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM g, t
+              WHERE len(g) >= len(b) * {THRESHOLD} / (2 - {THRESHOLD}) - 1e-9 AND len(g) <= len(b) * (2 - {THRESHOLD}) / {THRESHOLD} + 1e-9),
+        m AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, scope = 'line', license) AS k
+              FROM d WHERE dice >= {THRESHOLD} - 1e-12)
+        SELECT doc_id, license, dice, scope, CAST(coalesce(n, 0) AS BIGINT) AS n_matches
+        FROM (SELECT doc_id FROM documents) LEFT JOIN (FROM m WHERE k = 1) USING (doc_id)
+    """
+
+
+QUERIES = {"op1_weighted_tree": op1_weighted_tree, "op4_snapshots": op4_snapshots, "op5_license_dice": op5_license_dice, "op3_dom_trees": op3_dom_trees, "op2_threshold": op2_threshold, "op9_redirects": op9_redirects, "op6_decision_list": op6_decision_list, "op7_tiered_packing": op7_tiered_packing, "op8_noisy_channel": op8_noisy_channel, "op10_setsketch": op10_setsketch}
 ORACLE: dict[str, str] = {
+    "op4_snapshots": """
+        WITH r AS (
+            SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+        ), c AS (
+            SELECT conv_id, CAST(count(*) AS INTEGER) AS n_turns,
+                string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text,
+                list(length(role) || ':' || role || length(text) || ':' || text ORDER BY turn NULLS FIRST, role, text) AS turns
+            FROM r GROUP BY conv_id
+        ), k AS (SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_snapshots, first(text) AS text, turns FROM c GROUP BY n_turns, turns)
+        SELECT conv_id, n_turns, n_snapshots, text FROM k
+        WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.n_turns > k.n_turns AND c.turns[1:k.n_turns] = k.turns)
+    """,
+    "op5_license_dice": _license_sql(),
     "op2_threshold": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
