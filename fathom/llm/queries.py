@@ -58,14 +58,14 @@ def op3_dom_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The production tree's first level, by source, and the weights of its nodes; others weigh 1.
-DOMAIN = "case when source in ('src0', 'src1', 'src2', 'src3') then 'web' when cast(substring(source, 4) as int) < 12 then 'books' else 'reference' end"
+DOMAIN = "case when source in ('src0', 'src1', 'src2', 'src3') then 'web' when try_cast(substring(source, 4) as int) < 12 then 'books' else 'reference' end"
 MIX = {("web",): 3.0, ("books",): 4.0, ("reference",): 3.0, ("web", "en"): 3.0, ("books", "en"): 2.0, ("reference", "en"): 2.0, ("web", "en", "src0"): 0.5}
 
 
 def op1_weighted_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    levels = [("domain", F.expr(DOMAIN.replace("cast(", "try_cast("))), ("lang", F.col("lang")), ("source", F.col("source"))]
+    levels = [("domain", F.expr(DOMAIN)), ("lang", F.col("lang")), ("source", F.col("source"))]
     return mix(table(spark, sf_dir, "documents"), levels, MIX, 0.75, epochs=4)
 
 

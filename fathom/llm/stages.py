@@ -1,27 +1,77 @@
-"""The pipeline's stages: (spark, docs, sf_dir) -> DataFrame."""
+"""The pipeline's stages: (spark, docs, sf_dir) -> DataFrame.
+
+All but packing return the columns of docs. Labels come from the labels table of sf_dir.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, table
+from .queries import DOMAIN, MIX
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     return saved(df, name)
 
 
+def _rejected(docs: DataFrame, judged: DataFrame, bad: str) -> DataFrame:
+    """docs without the ids that judged rejects; rows with a null doc_id stay."""
+    ids = judged.where(bad).select("doc_id").distinct()
+    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with a toxicity score of 0.5 or more; nothing but statistics is shuffled."""
+    from .toxicity import model, score
+
+    found = model(docs, table(spark, sf_dir, "labels"))
+    return score(docs, *found, name="__toxicity").where("__toxicity < 0.5").select(docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that fail the base rule or that the decision list rejects."""
+    from .quality import quality
+
+    return _rejected(docs, quality(docs, table(spark, sf_dir, "labels"))[0], "not kept")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each near-duplicate group: that of the least doc_id, one if it repeats."""
+    """Keeps one document of each near-duplicate group, that of the least doc_id.
+
+    Of rows that share a doc_id one stays; rows with a null doc_id all do.
+    """
     from .setsketch import near_duplicates
 
-    found = near_duplicates(docs, words=5, percent=80)
-    keep = found.where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(docs.columns)
+    found = saved(near_duplicates(docs, words=5, percent=80), "groups")
+    gone = found.where("not kept").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return left
+    rest = left.join(again, "doc_id", "left_anti").select(docs.columns)
+    return rest.unionByName(left.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps each leaf's share of 75 % of the tokens, in one epoch; a cut document's text is cut."""
+    from .mixing import mix
+
+    levels = [("level_domain", F.expr(DOMAIN)), ("level_lang", F.col("lang")), ("level_source", F.col("source"))]
+    found = mix(docs, levels, MIX, 0.75, epochs=1, keep=docs.columns)
+    cut = F.col("take_tokens") < F.col("n_tokens")
+    shorter = F.when(cut, F.array_join(F.slice(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""), F.lit(1), F.greatest(F.col("take_tokens"), F.lit(1)).cast("int")), " ")).otherwise(F.col("text"))
+    out = found.withColumn("text", shorter)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
 
 
-def _todo(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences; see packing.pack."""
+    import public_tokenizers
 
+    from .packing import pack
 
-toxicity = quality_rules = mixing = packing = _todo
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ORDER, LETTERS = 4, 28  # 0 is a word's edge, 1-26 are a-z, 27 any other letter
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
@@ -32,7 +33,7 @@ SIGNIFICANT = 6.0
 #: Features kept, labelled rows that must hold one, and the lengths of word beginnings that
 #: are features beside whole words (so that a stem counts whatever its ending).
 WORDS, SUPPORT, STEMS = 2_000, 5, (4, 5, 6)
-CACHE = 400_000
+CACHE = 120_000
 
 _CODE = np.full(256, 27, np.int32)
 _CODE[:128] = 0
@@ -240,16 +241,18 @@ def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, sample: int = SAMP
     return b, {x: float(w[k]) for x, k in place.items() if abs(w[k]) > 1e-4}
 
 
-def score(docs: DataFrame, lm: np.ndarray, intercept: float, weights: dict[str, float]) -> DataFrame:
-    """doc_id, score of every row of docs(doc_id, text)."""
+def score(docs: DataFrame, lm: np.ndarray, intercept: float, weights: dict[str, float], name: str = "score") -> DataFrame:
+    """docs(text, and any other columns) with the column `name`, each row's score."""
     model = docs.sparkSession.sparkContext.broadcast((lm, weights))
+    names = docs.columns
+    text_at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, weigh = model.value
         known: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             out = []
-            for value in batch.column(1):
+            for value in batch.column(text_at):
                 tokens = (value.as_py() or "").lower().split()
                 hit: set[str] = set()
                 for t in set(tokens):
@@ -264,16 +267,21 @@ def score(docs: DataFrame, lm: np.ndarray, intercept: float, weights: dict[str,
                     hit.update(f for w in decode(span, table) if len(w) >= 3 for f in features(w) if f in weigh)
                 z = intercept + math.fsum(weigh[w] for w in hit)
                 out.append(1 / (1 + math.exp(-min(max(z, -35.0), 35.0))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*names, name])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, dict[str, float]]:
+    """The character model of all of docs, and the classifier: what score() takes."""
+    lm = char_model(docs.select(F.col("text").cast("string").alias("text")))
+    return (lm, *train(docs, labels, lm, sample))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (score >= 0.5) of every row of docs."""
-    lm = char_model(docs.select(F.col("text").cast("string").alias("text")))
-    intercept, weights = train(docs, labels, lm, sample)
-    return score(docs, lm, intercept, weights).select(
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return score(texts, *model(docs, labels, sample)).select(
         "doc_id",
         F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),
         "score",
