@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Part of the engine; see the README."""
