@@ -76,9 +76,11 @@ def strip_json(text: str) -> str:
         elif text.startswith("/*", i):
             i = text.find("*/", i) + 2 if "*/" in text[i:] else len(text)
             continue
-        elif c == "," and text[i + 1 :].lstrip()[:1] in ("}", "]"):
-            pass
         else:
+            if c in "}]":  # without the comma before it
+                last = next((k for k in range(len(out) - 1, -1, -1) if not out[k].isspace()), None)
+                if last is not None and out[last] == ",":
+                    del out[last]
             out.append(c)
         i += 1
     return "".join(out)
