@@ -23,7 +23,7 @@ import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import normalize
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -35,30 +35,40 @@ TIERS = (512, 1024, 2048, 4096)
 END = 2
 STEP_TOKENS = 8 * 4096
 WAITING = 96  # pieces that a tier lets wait before it fills a window
-CACHE = 1_000_000
+CACHE = 300_000
 _SPACES = re.compile("[ \t\n\r]+")
 
 
-#: The tokenizer's own division of a word into parts, each of which ends in an id that marks a word's end.
-_PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+", re.IGNORECASE)
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: itself if it is printable."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of
-    its words in turn, and each distinct word is encoded once (up to CACHE kept). New words
-    are encoded many to a string, which is cut again after each word's last part; a string
-    whose parts don't come out as counted is encoded word by word.
+    its words in turn. A word of letters between punctuation is its parts, lower-cased; each
+    distinct part goes to the tokenizer's merges directly, many at a time, as what precedes
+    them does nothing else to it. Any other word is encoded by the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.tokenizer.model)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for word, i in self.tokenizer.get_vocab().items():
             self.ends[i] = word.endswith("</w>")
+        self.letters = _byte_letters()
+        self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [_SPACES.split(t) for t in texts]
@@ -67,24 +77,47 @@ class Encoder:
         if len(known) + len(new) > CACHE:
             known.clear()
             new = set().union(*split)
-        self._learn(list(new))
+        if len(self.parts) > CACHE:
+            self.parts.clear()
+        self._learn(new)
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
-    def _learn(self, new: list[str]) -> None:
-        groups = [new[k : k + 64] for k in range(0, len(new), 64)]
-        for words, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            parts = np.cumsum([1 if w.isalpha() else len(_PARTS.findall(w)) for w in words])
+    def _learn(self, new: set[str]) -> None:
+        easy: list[tuple[str, str, str, str]] = []
+        hard: list[str] = []
+        need: dict[str, None] = {}
+        parts = self.parts
+        for w in new:
+            core = w.strip(_PUNCTUATION)
+            if core.isalpha() and (w.isascii() or is_normalized("NFC", w) and "\u03a3" not in w):
+                low = core.lower()
+                at = 0 if len(core) == len(w) else w.index(core)
+                before, after = w[:at], w[at + len(core) :]
+                if before[-1:] != "'":
+                    easy.append((w, before, low, after))
+                    need.update((p, None) for p in (before, low, after) if p not in parts)
+                    continue
+            hard.append(w)
+        self._merge(list(need))
+        for w, before, low, after in easy:
+            self.known[w] = parts[low] if len(low) == len(w) else parts[before] + parts[low] + parts[after]
+        for w, e in zip(hard, self.tokenizer.encode_batch_fast(hard, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _merge(self, need: list[str]) -> None:
+        letters = self.letters
+        spelt = [p if p.isascii() else p.encode().decode("latin-1").translate(letters) for p in need]
+        groups = [spelt[k : k + 64] for k in range(0, len(spelt), 64)]
+        for k, e in enumerate(self.merges.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
-            last = np.flatnonzero(self.ends[ids]) + 1
-            cut = np.concatenate([[0], last])
-            if len(last) != parts[-1] or cut[-1] != len(ids) or not all(map(str.isascii, words)) and "".join(words) != normalize("NFC", "".join(words)):
-                for w in words:
-                    self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            part = need[64 * k : 64 * k + 64]
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer doesn't mark the ends of words")
             data, at = ids.tobytes(), 0
-            for w, to in zip(words, (4 * cut[parts]).tolist(), strict=True):
-                self.known[w] = data[at:to]
+            for p, to in zip(part, ends, strict=True):
+                self.parts[p] = data[at:to]
                 at = to
 
 
