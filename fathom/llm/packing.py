@@ -53,9 +53,10 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of
-    its words in turn. A word of letters between punctuation is its parts, lower-cased; each
+    its words in turn. A word of Latin letters between punctuation is its parts, lower-cased; each
     distinct part goes to the tokenizer's merges directly, many at a time, as what precedes
-    them does nothing else to it. Any other word is encoded by the whole tokenizer.
+    them does nothing else to it. Any other word is encoded by the whole tokenizer, which
+    reads the strings of special tokens as these.
     """
 
     def __init__(self, path: str):
@@ -90,8 +91,8 @@ class Encoder:
         parts = self.parts
         for w in new:
             core = w.strip(_PUNCTUATION)
-            if core.isalpha() and (w.isascii() or is_normalized("NFC", w) and "\u03a3" not in w):
-                low = core.lower()
+            low = core.lower()
+            if low.isalpha() and "<|" not in w and (w.isascii() or max(w) < "\u0250" and is_normalized("NFC", w)):
                 at = 0 if len(core) == len(w) else w.index(core)
                 before, after = w[:at], w[at + len(core) :]
                 if before[-1:] != "'":

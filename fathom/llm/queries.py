@@ -161,4 +161,20 @@ ORACLE: dict[str, str] = {
         SELECT p.page_id, coalesce(u.host, '') AS host, coalesce(u.path, '') AS path, u.rule, coalesce(u.v, a.v, 'allow') AS verdict
         FROM pages p LEFT JOIN ruled u ON u.url = p.url LEFT JOIN by_alias a ON a.node = u.node
     """,
+    "op10_setsketch": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), s AS MATERIALIZED (
+          SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+        ), h AS MATERIALIZED (SELECT doc_id, hash(g) AS g FROM s
+        ), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id
+        ), inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM h a JOIN h b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+        ), links AS (
+          SELECT a, b FROM inter JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+        ), both_ways AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links
+        ), reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a
+        ), c AS (SELECT a AS doc_id, least(a, min(b)) AS component_id FROM reach GROUP BY a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+        FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+    """,
 }

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import WORD_BREAK, saved, table
 from .queries import DOMAIN, MIX
 
 
@@ -58,14 +58,21 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps each leaf's share of 75 % of the tokens, in one epoch; a cut document's text is cut."""
     from .mixing import mix
 
-    levels = [("level_domain", F.expr(DOMAIN)), ("level_lang", F.col("lang")), ("level_source", F.col("source"))]
-    found = mix(docs, levels, MIX, 0.75, epochs=1, keep=docs.columns)
+    whole = docs.select("doc_id", "text", F.expr(DOMAIN).alias("domain"), F.col("lang").alias("language"), F.col("source").alias("origin"), F.struct(*docs.columns).alias("row"))
+    levels = [("level_domain", F.col("domain")), ("level_lang", F.col("language")), ("level_source", F.col("origin"))]
+    found = mix(whole, levels, MIX, 0.75, epochs=1, keep=["row"])
     cut = F.col("take_tokens") < F.col("n_tokens")
-    shorter = F.when(cut, F.array_join(F.slice(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""), F.lit(1), F.greatest(F.col("take_tokens"), F.lit(1)).cast("int")), " ")).otherwise(F.col("text"))
-    out = found.withColumn("text", shorter)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    first = F.slice(F.array_remove(F.split("row.text", WORD_BREAK), ""), F.lit(1), F.greatest(F.col("take_tokens"), F.lit(1)).cast("int"))
+    text = F.when(cut, F.array_join(first, " ")).otherwise(F.col("row.text"))
+    out = []
+    for c in docs.schema.fields:
+        value = F.col("row").getField(c.name)
+        if c.name == "text":
+            value = text
+        elif c.name == "n_chars":
+            value = F.when(cut, F.length(text).cast(c.dataType)).otherwise(value)
+        out.append(value.alias(c.name))
+    return found.select(*out)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
