@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BREAK
+from .common import WORD_BREAK, saved
 
 MAX_LEAVES = 100_000
 UNKNOWN = "unknown"
@@ -90,7 +90,8 @@ def mix(docs: DataFrame, levels: list[tuple[str, Column]], weights: dict[tuple[s
     keep = ["doc_id"] if keep is None else keep
     base = docs.select(*[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)], *[F.coalesce(c.cast("string"), F.lit(UNKNOWN)).alias(n) for n, (_, c) in zip(names, levels, strict=True)], word_count(F.col(text_col)).alias("n_tokens"), F.xxhash64("doc_id", F.col(text_col)).alias("own")).where("n_tokens > 0")
     spark = docs.sparkSession
-    counted = base.groupBy(*names).agg(F.sum("n_tokens").alias("n")).limit(MAX_LEAVES + 1).collect()
+    light = saved(base.select(*names, "n_tokens", "own"), "tokens")  # texts are read for this and for the result alone
+    counted = light.groupBy(*names).agg(F.sum("n_tokens").alias("n")).limit(MAX_LEAVES + 1).collect()
     if len(counted) > MAX_LEAVES:
         raise ValueError(f"the tree has more than {MAX_LEAVES} leaves")
     tokens = {tuple(r[n] for n in names): r["n"] for r in counted}
@@ -98,8 +99,12 @@ def mix(docs: DataFrame, levels: list[tuple[str, Column]], weights: dict[tuple[s
     plan = [(*leaf, b // tokens[leaf], b % tokens[leaf]) for leaf, b in sorted(budgets(tokens, wanted, weights, epochs).items()) if b]
     schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("whole", T.LongType()), T.StructField("rest", T.LongType())])
     leaves = F.broadcast(spark.createDataFrame(plan, schema))  # MAX_LEAVES rows at most
-    rows = base.join(leaves, names).withColumn("hash", F.xxhash64(F.lit(seed), "whole", "own"))
-    rows = rows.withColumn("b1", F.shiftrightunsigned("hash", 56).cast("int")).withColumn("b2", F.shiftrightunsigned("hash", 48).bitwiseAND(F.lit(255)).cast("int"))
+
+    def placing(part: DataFrame) -> DataFrame:
+        found = part.join(leaves, names).withColumn("hash", F.xxhash64(F.lit(seed), "whole", "own"))
+        return found.withColumn("b1", F.shiftrightunsigned("hash", 56).cast("int")).withColumn("b2", F.shiftrightunsigned("hash", 48).bitwiseAND(F.lit(255)).cast("int"))
+
+    rows = placing(light)
 
     def cut(within: DataFrame, bucket: str, given: list[str]) -> DataFrame:
         """The bucket in which each leaf's prefix ends, with the tokens before it."""
@@ -111,7 +116,7 @@ def mix(docs: DataFrame, levels: list[tuple[str, Column]], weights: dict[tuple[s
     first = cut(rows, "b1", []).withColumnRenamed("at", "before")
     inside = rows.join(F.broadcast(first), names).where("b1 = cut_b1")
     second = cut(inside, "b2", ["before"]).withColumnRenamed("at", "offset")
-    placed = rows.join(F.broadcast(first.drop("before").join(second, names)), names, "left")
+    placed = placing(base).join(F.broadcast(first.drop("before").join(second, names)), names, "left")
     ends = (F.col("b1") == F.col("cut_b1")) & (F.col("b2") == F.col("cut_b2"))
     early = (F.col("b1") < F.col("cut_b1")) | ((F.col("b1") == F.col("cut_b1")) & (F.col("b2") < F.col("cut_b2")))
     out = [*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], *[F.col(n).alias(title) for n, (title, _) in zip(names, levels, strict=True)], F.col("epoch").cast("int").alias("epoch"), "n_tokens", F.col("take").alias("take_tokens")]
