@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     rows = reps.select("id", "n", F.explode(bands).alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("k"), F.min("id").alias("hub")).where("k > 1").select("key", "hub")
     members = saved(rows.join(shared, "key").select("key", "id", "n", "hub"), "members")
-    need = members.select(F.col("id").alias("doc_id")).distinct()
+    need = members.select(F.col("id").alias("doc_id")).distinct().hint("merge")  # alike at every size
     sets = saved(texts.join(need, "doc_id", "left_semi").mapInArrow(*_set_pass(words)).dropDuplicates(["id", "set"]), "sets")
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
     light = reps.select("id", "n", "sketch")

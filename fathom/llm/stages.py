@@ -17,8 +17,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def _rejected(docs: DataFrame, judged: DataFrame, bad: str) -> DataFrame:
-    """docs without the ids that judged rejects; rows with a null doc_id stay."""
-    ids = judged.where(bad).select("doc_id").distinct()
+    """docs without the ids that judged rejects; rows with a null doc_id stay.
+
+    Ids may be a fixed share of all, so they are merged at every size and never broadcast.
+    """
+    ids = judged.where(bad).select("doc_id").distinct().hint("merge")
     return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
 
 
@@ -45,7 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from .setsketch import near_duplicates
 
     found = saved(near_duplicates(docs, words=5, percent=80), "groups")
-    gone = found.where("not kept").select("doc_id").distinct()
+    gone = found.where("not kept").select("doc_id").distinct().hint("merge")
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
