@@ -77,9 +77,11 @@ class Encoder:
         new = set().union(*split).difference(known)
         if len(known) + len(new) > CACHE:
             known.clear()
+            known[""] = b""
             new = set().union(*split)
         if len(self.parts) > CACHE:
             self.parts.clear()
+            self.parts[""] = b""
         self._learn(new)
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]

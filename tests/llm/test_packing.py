@@ -23,6 +23,14 @@ def test_ids_are_the_tokenizers():
     assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(PATH).encode(some)] == [whole.encode(t, add_special_tokens=False).ids for t in some]
 
 
+def test_full_caches_start_anew(monkeypatch):
+    monkeypatch.setattr("fathom.llm.packing.CACHE", 20)
+    encoder = Encoder(PATH)
+    some = [f"(word{'abcdefgh'[k % 8]}{'xyz'[k % 3]}, {'qrstuv'[k % 6] * (k % 9)}) end" for k in range(200)]
+    for t in some:
+        assert np.frombuffer(encoder.encode([t])[0], "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_pieces_restore_every_document_and_sequences_have_no_gaps(spark):
     whole = Encoder(PATH).tokenizer
     docs = dict(enumerate(texts())) | {1000: None}
