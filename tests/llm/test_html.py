@@ -50,3 +50,12 @@ def test_deep_and_long_pages():
     deep = Page("<div>" * 5000 + "x" + "</div>" * 5000)
     assert max(deep.depth) > 4000
     assert len(Page("<p>" + "word " * 300_000 + "</p>").text[2] or "") > 10**6
+
+
+def test_embedded_and_custom_elements_cut_nothing():
+    for odd in ("<svg-icon name='x'></svg-icon>", "<video src='a'>", "<title-bar></title-bar>", "<video-js>", "<svg>", "<canvas>"):
+        runs = [t for t in Page(f"<article><p>One.</p>{odd}<p>Two two.</p><p>Three.</p></article>").text if t]
+        assert runs == ["One.", "Two two.", "Three."], odd
+    inner = [t for t in Page("<article><p>So <math><mi>x</mi></math> is</p><object><p>shown</p></object></article>").text if t]
+    assert inner == ["So x is", "shown"]
+    assert [t for t in Page("<p>a</p><script>var x='<p>no</p>'</script><title>t</title><p>b</p>").text if t] == ["a", "b"]
