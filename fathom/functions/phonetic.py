@@ -97,8 +97,24 @@ def _python(encode):
     return code
 
 
+_ENCODERS = {"fr": french, "de": german, "es": spanish}
+
+
 def soundex(text: Column, language: str = "en") -> Column:
     """The code of text in the language: en, fr, de or es."""
     if language == "en":
         return _english(text)
-    return _python({"fr": french, "de": german, "es": spanish}[language])(text)
+    return _python(_ENCODERS[language])(text)
+
+
+def soundex_of_each(texts: Column, language: str = "en") -> Column:
+    """The codes of an array of texts."""
+    if language == "en":
+        return F.transform(texts, _english)
+    encode = _ENCODERS[language]
+
+    @F.pandas_udf("array<string>")
+    def codes(arrays: pd.Series) -> pd.Series:
+        return pd.Series([None if xs is None else [None if x is None else encode(x) for x in xs] for xs in arrays], dtype="object")
+
+    return codes(texts)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .phonetic import soundex
+from .phonetic import soundex, soundex_of_each
 
 
 def _based(a: Column, b: Column, distance: Column, icase: bool) -> Column:
@@ -95,7 +95,7 @@ def _ratio(a: str, b: str, apart: bool) -> float:
     return _common(a, b, apart) / max(len(a), len(b), 1)
 
 
-def _python(similar: Callable[[str, str], float], icase: bool) -> Callable[[Column, Column], Column]:
+def _python_one(similar: Callable[[str, str], float], icase: bool) -> Callable[[str | None, str | None], float | None]:
     def one(a: str | None, b: str | None) -> float | None:
         if a is None or b is None:
             return None
@@ -104,6 +104,12 @@ def _python(similar: Callable[[str, str], float], icase: bool) -> Callable[[Colu
             return 0.0
         return 1.0 - similar(a, b) if a and b else 1.0
 
+    return one
+
+
+def _python(similar: Callable[[str, str], float], icase: bool) -> Callable[[Column, Column], Column]:
+    one = _python_one(similar, icase)
+
     @F.pandas_udf("double")
     def distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
@@ -113,23 +119,60 @@ def _python(similar: Callable[[str, str], float], icase: bool) -> Callable[[Colu
     return distance
 
 
+def _python_each(similar: Callable[[str, str], float], icase: bool) -> Callable[[Column, Column], Column]:
+    """As _python, from arrays of strings to arrays of distances."""
+    one = _python_one(similar, icase)
+
+    @F.pandas_udf("array<double>")
+    def distances(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            known: dict[tuple[str | None, str | None], float | None] = {}
+            out = []
+            for xs, y in zip(a, b, strict=True):
+                for x in [] if xs is None else xs:
+                    if (x, y) not in known:
+                        known[x, y] = one(x, y)
+                out.append(None if xs is None else [known[x, y] for x in xs])
+            yield pd.Series(out, dtype="object")
+
+    return distances
+
+
+_NATIVE = {"levenshtein": levenshtein, "leven": levenshtein, "dice": dice, "sorensendice": dice, "sorensen": dice, "jaccard": jaccard}
+_SIMILAR: dict[str, Callable[[str, str], float]] = {
+    "jaro": jaro_similarity,
+    "jarowinkler": jaro_winkler_similarity,
+    "jarow": jaro_winkler_similarity,
+    "lcs": lambda a, b: _ratio(a, b, False),
+    "lcsubstr": lambda a, b: _ratio(a, b, False),
+    "lcsq": lambda a, b: _ratio(a, b, True),
+    "lcsubsequence": lambda a, b: _ratio(a, b, True),
+}
+
+
+def _plain_name(name: str) -> str:
+    return name.lower().replace("_", "").replace("-", "")
+
+
 def metric(name: str, icase: bool = False, language: str = "en") -> Callable[[Column, Column], Column]:
     """The distance of that name: levenshtein, jaro, jarowinkler, dice, jaccard, lcs, lcsq, soundex."""
-    name = name.lower().replace("_", "").replace("-", "")
-    native = {"levenshtein": levenshtein, "leven": levenshtein, "dice": dice, "sorensendice": dice, "sorensen": dice, "jaccard": jaccard}
-    if name in native:
-        return lambda a, b: native[name](a, b, icase)
+    name = _plain_name(name)
+    if name in _NATIVE:
+        return lambda a, b: _NATIVE[name](a, b, icase)
     if name in ("soundex", "sound"):
         return lambda a, b: _python(lambda x, y: _ratio(x, y, True), icase)(soundex(a, language), soundex(b, language))
-    python = {
-        "jaro": jaro_similarity,
-        "jarowinkler": jaro_winkler_similarity,
-        "jarow": jaro_winkler_similarity,
-        "lcs": lambda a, b: _ratio(a, b, False),
-        "lcsubstr": lambda a, b: _ratio(a, b, False),
-        "lcsq": lambda a, b: _ratio(a, b, True),
-        "lcsubsequence": lambda a, b: _ratio(a, b, True),
-    }
-    if name not in python:
+    if name not in _SIMILAR:
+        raise ValueError(f"unknown metric {name!r}")
+    return _python(_SIMILAR[name], icase)
+
+
+def metric_of_each(name: str, icase: bool = False, language: str = "en") -> Callable[[Column, Column], Column]:
+    """As metric, from an array of strings and a string to the array of all distances."""
+    name = _plain_name(name)
+    if name in _NATIVE:
+        return lambda a, b: F.transform(a, lambda x: _NATIVE[name](x, b, icase))
+    if name in ("soundex", "sound"):
+        return lambda a, b: _python_each(lambda x, y: _ratio(x, y, True), icase)(soundex_of_each(a, language), soundex(b, language))
+    if name not in _SIMILAR:
         raise ValueError(f"unknown metric {name!r}")
-    return _python(python[name], icase)
+    return _python_each(_SIMILAR[name], icase)

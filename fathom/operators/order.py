@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo
-from ..functions.strings import metric
+from ..functions.strings import metric, metric_of_each
 from ..plans.compiler import Compiler, Schema, _literal
 
 
@@ -53,11 +53,10 @@ def _distance(schema: Schema, f, body: dict, down: bool, default_metric: str | N
     if value is None:
         raise ValueError(f"{body['_value']!r} isn't of the type of {f.name}")
     if isinstance(f.element, T.StringType):
-        far = metric(body.get("_metric", default_metric or "jaro"), bool(body.get("_icase")), body.get("_language", "en"))
+        asked = body.get("_metric", default_metric or "jaro"), bool(body.get("_icase")), body.get("_language", "en")
         if not f.array:
-            return far(f.column, F.lit(value))
-        size = 8  # python functions can't run within an array, so the first elements are unrolled
-        each = F.array_compact(F.array(*[far(F.get(f.column, k), F.lit(value)) for k in range(size)]))
+            return metric(*asked)(f.column, F.lit(value))
+        each = F.array_compact(metric_of_each(*asked)(f.column, F.lit(value)))
         return F.array_max(each) if down else F.array_min(each)
     if isinstance(f.element, T.BooleanType):
         one = lambda x: F.when(x == value, 0.0).otherwise(1.0)

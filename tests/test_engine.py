@@ -208,3 +208,16 @@ def test_streaming_ingest(spark, tmp_path):
         spark.createDataFrame(rows, "k int, v string, _version int").coalesce(1).write.mode("append").parquet(inbox)
         ingest(spark.readStream.schema("k int, v string, _version int").parquet(inbox), table, "k", "_version", at).awaitTermination(120)
     assert {r.k: r.v for r in generation(spark, table).collect()} == {1: "b", 2: "d", 3: "e"}
+
+
+@pytest.mark.parametrize("metric", ["jaro", "jarowinkler", "lcs", "lcsq", "levenshtein", "dice", "jaccard", "soundex"])
+def test_string_distance_reads_whole_arrays(spark, metric):
+    far = ["zzzz"] * 10
+    rows = [(1, [*far, "robert"]), (2, ["rupert", *far]), (3, None), (4, []), (5, [*far, None, "robin"]), (6, far)]
+    df = spark.createDataFrame(rows, "_id long, names array<string>")
+    for language in ("en", "fr") if metric == "soundex" else ("en",):
+        spec = {"_value": "robert", "_metric": metric, "_language": language}
+        got = [r._id for r in Index(df).search("*", sort=[{"names": spec}]).collect()]
+        assert set(got[-2:]) == {3, 4} and got[3] == 6 and got[0] == 1
+        down = [r._id for r in Index(df).search("*", sort=[{"names": {**spec, "_order": "desc"}}]).collect()]
+        assert down[:4] == [1, 2, 5, 6]
