@@ -22,6 +22,7 @@ _LINK = [
     r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b["']?[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""",
     r"""(?i)<link\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)["']?[^>]*\brel\s*=\s*["']?canonical\b""",
     r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*\burl\s*=\s*["']?([^"'\s>]+)""",
+    r"""(?i)<meta\b[^>]*\bcontent\s*=[^>]*\burl\s*=\s*["']?([^"'\s>]+)[^>]*\bhttp-equiv\s*=\s*["']?refresh\b""",
 ]
 
 
@@ -56,16 +57,36 @@ def verdict_of(rule: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
+def _without_dots(where: Column) -> Column:
+    """A path from "/" on without its "." and ".." segments."""
+    parts = F.split(F.regexp_replace(where, r"(/\.\.?)$", "$1/"), "/", -1)
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x)))
+    return F.when(where.contains("/."), F.array_join(F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step), "/")).otherwise(where)
+
+
+def resolved(source: Column, to: Column) -> Column:
+    """The url that `to` names on the page `source`; null for schemes without "://"."""
+    site, own = F.regexp_extract(source, r"^([\s\S]*?://[^/?#]*)", 1), path(source)
+    ask = F.regexp_extract(source, r"://[^?#]*(\?[^#]*)", 1)
+    begin, rest = F.regexp_extract(to, r"^([^?#]*)", 1), F.regexp_extract(to, r"^[^?#]*([\s\S]*)", 1)
+    folder = F.when(own.contains("/"), F.regexp_extract(own, r"^([\s\S]*/)", 1)).otherwise("/")
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(to.contains("://"), to))
+        .when(to.startswith("//"), F.concat(F.lit("http:"), to))
+        .when(to.startswith("#"), F.concat(site, own, ask))
+        .when(to.startswith("?"), F.concat(site, own, to))
+        .otherwise(F.concat(site, _without_dots(F.when(to.startswith("/"), begin).otherwise(F.concat(folder, begin))), rest))
+    )
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Edges (source, target) of urls from canonical links and refresh redirects in the html.
 
-    A target that begins with "/" is on the page's host; other relative ones are left out.
+    Every link of a page counts. Relative targets are resolved against the page's url.
     """
-    found = pages.select(F.col(url).alias("source"), F.explode(F.array(*[F.regexp_extract(F.col(html), p, 1) for p in _LINK])).alias("to")).where("to != '' and source is not null")
+    found = pages.select(F.col(url).alias("source"), F.explode(F.concat(*[F.regexp_extract_all(F.col(html), F.lit(p), F.lit(1)) for p in _LINK])).alias("to")).where("to != '' and source is not null")
     to = F.regexp_replace("to", "&amp;", "&")
-    same_host = F.concat(F.regexp_extract("source", r"^([\s\S]*?://[^/?#]*)", 1), to)
-    target = F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.startswith("/"), same_host)
-    return found.select("source", target.alias("target")).where("target is not null and target like '%://%'")
+    return found.select("source", resolved(F.col("source"), to).alias("target")).where("target is not null and target like '%://%'")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], edges: DataFrame, default: str = "allow") -> DataFrame:

@@ -40,3 +40,22 @@ def test_without_an_allowed_alias_the_block_spreads(spark):
     got = {r[0]: r[4] for r in judged(spark, [p for p in PAGES if p[0] != 13])}
     assert got[9] == got[10] == "block" and got[11] == "allow"
     assert judged(spark, []) == []
+
+
+def test_every_link_and_relative_target_is_an_edge(spark):
+    page = "http://a.io/x/y?k=1"
+    refresh = '<meta content="0; url=http://b.org/es/1" http-equiv="refresh">'
+    two = '<link rel="canonical" href="http://c.io/1"><p><link rel="canonical" href="http://b.org/es/3">'
+    cases = {
+        refresh: {"http://b.org/es/1"}, two: {"http://c.io/1", "http://b.org/es/3"},
+        **{f'<link rel=canonical href="{to}">': {want} for to, want in {
+            "es/2": "http://a.io/x/es/2", "../z": "http://a.io/z", "./": "http://a.io/x/", "../../..": "http://a.io/", "?p=1": "http://a.io/x/y?p=1",
+            "?to=http://b.io": "http://a.io/x/y?to=http://b.io", "/a/../b?c": "http://a.io/b?c", "#top": page, "//d.io/e": "http://d.io/e",
+        }.items()},
+        '<link rel=canonical href="mailto:x">': set(),
+    }
+    for html, want in cases.items():
+        frame = spark.createDataFrame([(1, page, html)], "page_id long, url string, html string")
+        assert {r.target for r in alias_edges(frame).collect()} == want, html
+    pages = [(1, "http://a.org/x", refresh), (2, "http://m.org/fr/1", '<link rel="canonical" href="../es/2">'), (3, "http://n.org/", two)]
+    assert {r[0]: r[4] for r in judged(spark, pages)} == {1: "block", 2: "block", 3: "block"}
