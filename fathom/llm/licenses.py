@@ -31,6 +31,14 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "all-rights": "Copyright. All rights reserved. No part of this publication may be reproduced without permission.",
+    "all-rights-notice": "All rights reserved.",
+    "MIT-licensed": "Licensed under the MIT License.",
+    "MIT-project": "This project is licensed under the MIT License.",
+    "BSD-licensed": "Licensed under the BSD License.",
+    "GPL-licensed": "Licensed under the GNU General Public License.",
+    "MPL-2.0-licensed": "Licensed under the Mozilla Public License, Version 2.0.",
+    "CC-BY-4.0-licensed": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-licensed": "Licensed under CC BY-SA 4.0.",
 }
 THRESHOLD = 0.8
 

@@ -28,3 +28,9 @@ def test_size_bounds_prune_nothing_that_could_match():
         low, high = size_bounds(size, THRESHOLD)
         for n in range(1, 200):
             assert (2 * min(n, size) / (n + size) >= THRESHOLD - 1e-12) == (low <= n <= high)
+
+
+def test_short_notices_within_longer_texts(spark):
+    notices = {"All rights reserved.": "all-rights-notice", "Licensed under the MIT License.": "MIT-licensed", "This project is licensed under the MIT License.": "MIT-project", "Licensed under CC BY 4.0.": "CC-BY-4.0-licensed"}
+    frame = spark.createDataFrame([(d, f"Some words come first here.\n{x}\nand others after it") for d, x in enumerate(notices)], "doc_id long, text string")
+    assert {r.doc_id: (r.license, r.dice, r.scope, r.n_matches) for r in scan(frame).collect()} == {d: (k, 1.0, "line", 1) for d, k in enumerate(notices.values())}
