@@ -40,8 +40,11 @@ _CODE[:128] = 0
 _CODE[97:123] = np.arange(1, 27)
 _CODE[65:91] = np.arange(1, 27)
 _PLAIN = re.compile(r"[^\W\d_]+")
-_TRIPLE = re.compile(r"(.)\1\1")
+_DOUBLE = re.compile(r"(.)\1")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_UNREAD = "".join(re.escape(c) for c in LEET if not c.isalnum())
+#: Symbols at a word's edges that LEET cannot read.
+_TRIM = re.compile(rf"^(?:(?![{_UNREAD}])[\W_])+|(?:(?![{_UNREAD}])[\W_])+$")
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,15 +124,17 @@ def decode(span: str, lm: np.ndarray) -> list[str]:
 
 
 def restore(token: str, lm: np.ndarray) -> tuple[str, ...]:
-    """The words a lower-cased token may stand for: itself without its edges, and decoded."""
-    core = _EDGE.sub("", token)
+    """The words a lower-cased token may stand for: itself without its edges, and decoded.
+
+    Symbols at the edges that may be letters are decoded with it; others are trimmed.
+    """
+    core, trimmed = _EDGE.sub("", token), _TRIM.sub("", token)
     plain = bool(_PLAIN.fullmatch(core))
     out = [core] if plain else []
-    if core and not (plain and not _TRIPLE.search(core)):
+    if core and not (plain and not _DOUBLE.search(core)):
         out += decode(core, lm)
-    edges = len(token) - len(core)
-    if core and 0 < edges <= 2 and (token[0] in LEET or token[-1] in LEET):
-        out += decode(token, lm)
+    if trimmed != core:
+        out += decode(trimmed, lm)
     return tuple(dict.fromkeys(w for w in out if len(w) >= 3))
 
 
@@ -139,17 +144,33 @@ def features(word: str) -> tuple[str, ...]:
 
 
 def spaced(words: list[str]) -> list[str]:
-    """Runs of at least three words of one character, as spans with spaces."""
-    out, run, last = [], [], -2
-    for i in [i for i, w in enumerate(words) if len(w) == 1]:
-        if i != last + 1:
-            if len(run) >= 3:
-                out.append(" ".join(run))
-            run = []
-        run.append(words[i])
-        last = i
-    if len(run) >= 3:
-        out.append(" ".join(run))
+    """Runs of at least three words of one character, as spans with spaces.
+
+    A character with symbols before it begins a run, and one with symbols after it ends one.
+    """
+    out, run = [], []
+
+    def end() -> None:
+        nonlocal run
+        if len(run) >= 3:
+            out.append(" ".join(run))
+        run = []
+
+    for w in words:
+        if len(w) == 1:
+            run.append(w)
+            continue
+        core = _TRIM.sub("", w)
+        core = core if len(core) == 1 else _EDGE.sub("", w)
+        if len(core) != 1:
+            end()
+            continue
+        if w[0] != core:
+            end()
+        run.append(core)
+        if w[-1] != core:
+            end()
+    end()
     return out
 
 

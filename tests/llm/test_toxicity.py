@@ -62,3 +62,15 @@ def test_no_labels_and_no_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert [x.predicted for x in t.toxicity(frame, labels).collect()] == [0]
     assert t.toxicity(frame.limit(0), labels).collect() == []
+
+
+@pytest.mark.parametrize("token, word", [('"$coundrel', "scoundrel"), ("$coundrel!!", "scoundrel"), ("$coundrel***", "scoundrel"), ("!diot***", "idiot"), ("idiiot", "idiot"), ("scounddrel", "scoundrel"), ("(1d1ot).", "idiot")])
+def test_edges_and_doubled_letters_are_decoded(lm, token, word):
+    assert word in t.restore(token, lm)
+
+
+def test_punctuation_ends_a_spaced_run(lm):
+    assert t.spaced("so i d i o t! he said".split()) == ["i d i o t"]
+    assert t.spaced('"i d i o t", x'.split()) == ["i d i o t"]
+    assert t.spaced("a, b, c, d".split()) == []
+    assert "idiot" in t.Restorer(lm).words("you i d i o t.")
