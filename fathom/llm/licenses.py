@@ -1,4 +1,4 @@
-"""Licence scans: texts and their lines against templates, by Dice over word bigrams.
+"""Licence scans: texts, their lines and runs of lines against templates, by Dice over word bigrams.
 
 Text is normalised to lower-cased runs of letters and digits. Dice is
 2 |A & B| / (|A| + |B|) over sets of adjacent word pairs. It can't reach the threshold t
@@ -60,14 +60,66 @@ def _words(col: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(F.lower(col), "[^a-z0-9]+", " "), " "), "")
 
 
+def _passages(texts: DataFrame, grams: dict[str, list[str]], threshold: float) -> DataFrame:
+    """doc_id, scope "lines", dice and license of templates that a run of lines fits best.
+
+    One row for each row and template of which a run of two or more lines reaches the
+    threshold and more than the text and each line do; lines without words don't count.
+    """
+    # A passage of that dice shares at least the lower size bound with the template, and so
+    # does the text around it, which few texts do. As in scan, no filter stands on what is
+    # computed here, nor does a plain explode, as that infers one.
+    wanted = F.array(*[F.struct(F.lit(k).alias("license"), F.array(*[F.lit(x) for x in g]).alias("b"), F.lit(size_bounds(len(g), threshold)[0]).alias("low"), F.lit(size_bounds(len(g), threshold)[1]).alias("high")) for k, g in grams.items()])
+    known = F.array(*[F.lit(x) for x in sorted({x for g in grams.values() for x in g})])
+    whole = texts.where(F.col("text").contains("\n")).select("doc_id", "text", _words(F.col("text")).alias("all"))
+    pairs = lambda w: F.filter(F.array_distinct(F.transform(w, lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))), lambda p: p.contains(" "))
+    held = whole.select("doc_id", "text", F.array_intersect(pairs(F.col("all")), known).alias("held"))
+    near = held.select("doc_id", "text", F.when(F.size("held") > 0, F.filter(wanted, lambda t: F.size(F.array_intersect("held", t["b"])) >= t["low"])).alias("near"))
+    some = near.select("doc_id", F.when(F.size("near") > 0, F.filter(F.transform(F.split("text", "\n"), _words), lambda w: F.size(w) > 0)).alias("lines"), F.explode_outer("near").alias("t"))
+    dice = lambda shared, size: 2.0 * shared / (size + F.size("t.b"))
+    alone = F.transform(F.concat(F.array(F.flatten("lines")), F.col("lines")), lambda w: F.transform(F.array(pairs(w)), lambda g: dice(F.size(F.array_intersect(g, F.col("t.b"))), F.size(g)))[0])
+    left = some.select("doc_id", "lines", "t", F.array_max(alone).alias("alone"))
+    words = F.flatten(F.transform("lines", lambda w, i: F.transform(w, lambda x, k: F.struct(x.alias("w"), i.alias("line"), (k == 0).alias("first")))))
+    placed = left.select("doc_id", "t", "alone", F.when((F.size("lines") > 1) & (F.col("alone") < 1), words).alias("words"))
+    after = lambda i: F.get("words", i + 1)
+    steps = F.filter(
+        F.transform("words", lambda x, i: F.struct(F.concat_ws(" ", x["w"], after(i)["w"]).alias("g"), x["line"].alias("line"), x["first"].alias("first"), after(i)["line"].alias("end"))),
+        lambda x: x["end"].isNotNull(),
+    )
+    back = placed.select("doc_id", "t", "alone", F.transform(F.reverse(steps), lambda x: F.struct(x["g"].alias("g"), x["line"].alias("line"), x["first"].alias("first"), x["end"].alias("end"), F.array_contains("t.b", x["g"]).cast("int").alias("hit"))).alias("steps"))
+
+    # Going back from the last bigram, seen holds the distinct bigrams from here on in order
+    # of their first place, with the line of that, up to one more than can match. Runs from
+    # the present line end where one of these is the last of its line.
+    def best(seen: Column, line: Column) -> Column:
+        value = lambda s: F.when(s["end"] > line, dice(s["hits"], s["n"])).otherwise(0.0)
+        return F.aggregate(
+            seen,
+            F.struct(F.lit(0).alias("n"), F.lit(0).alias("hits"), line.alias("end"), F.lit(0.0).alias("best")),
+            lambda s, y: F.struct((s["n"] + 1).alias("n"), (s["hits"] + y["hit"]).alias("hits"), y["end"].alias("end"), F.when(y["end"] > s["end"], F.greatest(s["best"], value(s))).otherwise(s["best"]).alias("best")),
+            lambda s: F.greatest(s["best"], value(s)),
+        )
+
+    def step(acc: Column, x: Column) -> Column:
+        mine = F.struct(x["g"].alias("g"), x["end"].alias("end"), x["hit"].alias("hit"))
+        seen = F.slice(F.concat(F.array(mine), F.filter(acc["seen"], lambda y: y["g"] != x["g"])), F.lit(1), F.col("t.high") + 1)
+        return F.transform(F.array(seen), lambda s: F.struct(s.alias("seen"), F.when(x["first"], F.greatest(acc["best"], best(s, x["line"]))).otherwise(acc["best"]).alias("best")))[0]
+
+    start = F.struct(F.expr("cast(array() as array<struct<g: string, end: int, hit: int>>)").alias("seen"), F.lit(0.0).alias("best"))
+    found = back.select("doc_id", "t.license", "alone", F.aggregate("steps", start, step, lambda acc: acc["best"]).alias("dice"))
+    fits = (F.col("dice") >= threshold - 1e-12) & (F.col("dice") > F.col("alone") + 1e-12)
+    return found.select("doc_id", F.lit("lines").alias("scope"), F.explode_outer(F.when(fits, F.array(F.struct("dice", "license")))).alias("m")).where("m is not null")
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, license, dice, scope, n_matches.
 
-    Units are the whole text and each of its lines. license is that of the best match (by
-    dice, then the whole text first, then id), with its dice and scope ("text" or "line");
-    n_matches counts pairs of a unit and a template of at least the threshold. license, dice
-    and scope are null, and n_matches 0, where nothing matches. Rows of one doc_id are
-    scanned as one document.
+    Units are the whole text, each of its lines, and for each template the run of two or more
+    lines that is nearest to it, if it is nearer than the text and every line are. license is
+    that of the best match (by dice, then the whole text first, then id), with its dice and
+    scope ("text", "line" or "lines"); n_matches counts pairs of a unit and a template of at
+    least the threshold. license, dice and scope are null, and n_matches 0, where nothing
+    matches. Rows of one doc_id are scanned as one document.
     """
     grams = {k: bigrams(normal_words(t)) for k, t in (templates or TEMPLATES).items()}
     grams = {k: g for k, g in grams.items() if g}
@@ -92,6 +144,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     known = F.array(*[F.lit(x) for x in sorted({x for g in grams.values() for x in g})])
     near = F.when(F.size("g").between(least, most) & F.arrays_overlap("g", known), F.array_compact(F.array(*found)))
     hits = sets.select("doc_id", "scope", F.explode(near).alias("m")).where(F.col("m.dice") >= threshold - 1e-12)
+    hits = hits.union(_passages(texts, grams, threshold))
     best = F.min(F.struct((-F.col("m.dice")).alias("d"), (F.col("scope") != "text").alias("s"), F.col("m.license").alias("license"), F.col("scope").alias("scope")))
     per_doc = hits.groupBy("doc_id").agg(best.alias("b"), F.count("*").alias("n_matches"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))

@@ -1,3 +1,6 @@
+import random
+import textwrap
+
 from fathom.llm.licenses import TEMPLATES, THRESHOLD, bigrams, normal_words, scan, size_bounds
 
 
@@ -34,3 +37,38 @@ def test_short_notices_within_longer_texts(spark):
     notices = {"All rights reserved.": "all-rights-notice", "Licensed under the MIT License.": "MIT-licensed", "This project is licensed under the MIT License.": "MIT-project", "Licensed under CC BY 4.0.": "CC-BY-4.0-licensed"}
     frame = spark.createDataFrame([(d, f"Some words come first here.\n{x}\nand others after it") for d, x in enumerate(notices)], "doc_id long, text string")
     assert {r.doc_id: (r.license, r.dice, r.scope, r.n_matches) for r in scan(frame).collect()} == {d: (k, 1.0, "line", 1) for d, k in enumerate(notices.values())}
+
+
+def brute_passages(text):
+    """template -> dice of the best run of two or more lines that beats the text and each line."""
+    lines = [w for x in text.split("\n") if (w := normal_words(x))]
+    sets = [set(bigrams([w for x in lines[i:j] for w in x])) for i in range(len(lines)) for j in range(i + 2, len(lines) + 1)]
+    units = [set(bigrams(w)) for w in [[w for x in lines for w in x], *lines]]
+    out = {}
+    for k, t in TEMPLATES.items():
+        b = set(bigrams(normal_words(t)))
+        near = lambda some, b=b: max((2 * len(g & b) / (len(g) + len(b)) for g in some), default=0)
+        d, alone = near(sets), near(units)
+        if d >= THRESHOLD - 1e-12 and d > alone + 1e-12:
+            out[k] = d
+    return out
+
+
+def test_wrapped_passages_within_longer_texts(spark):
+    code = "\n".join(f"value_{i} = compute(value_{i - 1}, {i})" for i in range(25))
+    wrap = lambda t, mark: "\n".join(mark + x for x in textwrap.wrap(t, 60))
+    keys = [k for k, t in TEMPLATES.items() if len(t) > 120]
+    texts = [f"#!/bin/sh\n#\n{wrap(TEMPLATES[k], '# ')}\n\n{code}" for k in keys]
+    r = random.Random(5)
+    pool = [w for t in TEMPLATES.values() for w in wrap(t, "").split("\n")]
+    texts += ["\n".join(r.choice([*pool, "", "of the", "word"]) for _ in range(r.randint(2, 14))) for _ in range(60)]
+    texts += ["released under\nthe mit license\n" * 8, "\nall rights\n\nreserved\nother words of text\nand more"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in scan(frame).collect()}
+    assert {"MIT-text", "GPL-3.0-header", "BSD"} <= set(keys)
+    assert all(got[d].license in (k, "Apache-2.0") and got[d].dice >= 0.8 for d, k in enumerate(keys))
+    for d, text in enumerate(texts):
+        runs, (_, near, _, n) = brute_passages(text), brute(text)
+        assert got[d].n_matches == n + len(runs)
+        assert abs((got[d].dice or 0) - max([near or 0, *runs.values()])) < 1e-9
+        assert (got[d].scope == "lines") == (max(runs.values(), default=0) > (near or 0))
