@@ -18,15 +18,15 @@ empty texts are one token, the end id. Rows that repeat a doc_id are packed each
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import is_normalized
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +35,8 @@ TIERS = (512, 1024, 2048, 4096)
 END = 2
 STEP_TOKENS = 8 * 4096
 WAITING = 96  # pieces that a tier lets wait before it fills a window
-CACHE = 300_000
-_SPACES = re.compile("[ \t\n\r]+")
-
-
-_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+CACHE = 400_000  # pieces whose ids a worker keeps
+CHUNK = 1 << 22  # bytes of text that are encoded at a time; a longer text goes alone
 
 
 def _byte_letters() -> dict[int, str]:
@@ -53,10 +50,13 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of
-    its words in turn. A word of Latin letters between punctuation is its parts, lower-cased; each
-    distinct part goes to the tokenizer's merges directly, many at a time, as what precedes
-    them does nothing else to it. Any other word is encoded by the whole tokenizer, which
-    reads the strings of special tokens as these.
+    its words in turn. A plain word, of ASCII and Latin-1 letters, digits and punctuation, is
+    a row of pieces: runs of letters, single digits, runs of punctuation. What precedes the
+    tokenizer's merges does nothing else to these than lower their case, so the distinct new
+    ones of a batch go to the merges directly. Any other word, also one with an apostrophe
+    before a letter or the beginning of a special token, is one piece that the whole
+    tokenizer reads. Pieces are found by array operations over a batch's bytes and counted by
+    Arrow's dictionary; Python sees each distinct piece of a batch once.
     """
 
     def __init__(self, path: str):
@@ -68,60 +68,120 @@ class Encoder:
         for word, i in self.tokenizer.get_vocab().items():
             self.ends[i] = word.endswith("</w>")
         self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_SPACES.split(t) for t in texts]
-        known = self.known
-        new = set().union(*split).difference(known)
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            known[""] = b""
-            new = set().union(*split)
-        if len(self.parts) > CACHE:
-            self.parts.clear()
-            self.parts[""] = b""
-        self._learn(new)
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-    def _learn(self, new: set[str]) -> None:
-        easy: list[tuple[str, str, str, str]] = []
-        hard: list[str] = []
-        need: dict[str, None] = {}
-        parts = self.parts
-        for w in new:
-            core = w.strip(_PUNCTUATION)
-            low = core.lower()
-            if low.isalpha() and "<|" not in w and (w.isascii() or max(w) < "\u0250" and is_normalized("NFC", w)):
-                at = 0 if len(core) == len(w) else w.index(core)
-                before, after = w[:at], w[at + len(core) :]
-                if before[-1:] != "'":
-                    easy.append((w, before, low, after))
-                    need.update((p, None) for p in (before, low, after) if p not in parts)
-                    continue
-            hard.append(w)
-        self._merge(list(need))
-        for w, before, low, after in easy:
-            self.known[w] = parts[low] if len(low) == len(w) else parts[before] + parts[low] + parts[after]
-        for w, e in zip(hard, self.tokenizer.encode_batch_fast(hard, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def _merge(self, need: list[str]) -> None:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}  # piece -> its place in first and count
+        self.first = np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, "<u4")
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin, with the end of the last."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        if at[0] == at[-1]:
+            return np.zeros(0, "<u4"), np.zeros(len(at), np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]]
+        pieces, whole, of = _pieces(data, at - at[0])
+        codes = pieces.dictionary_encode()
+        found, codes = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+        hard = np.zeros(len(found), bool)
+        hard[codes[whole]] = True
+        place = self._places(found, hard)[codes]
+        size = self.count[place]
+        to = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.repeat(self.first[place] - to[:-1], size) + np.arange(to[-1])]
+        return ids, to[of]
+
+    def _places(self, found: list[bytes], hard: np.ndarray) -> np.ndarray:
+        if len(self.known) + len(found) > CACHE or len(self.flat) > 16 * CACHE:
+            self._forget()
+        places = np.fromiter(map(self.known.get, found, repeat(-1)), np.int64, len(found))
+        new = np.flatnonzero(places < 0)
+        for group, ids_of in ((new[~hard[new]], self._merged), (new[hard[new]], self._whole)):
+            names = [found[k] for k in group]
+            if names:
+                ids, count = ids_of(names)
+                places[group] = np.arange(len(self.count), len(self.count) + len(names))
+                self.known.update(zip(names, places[group].tolist(), strict=True))
+                self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
+                self.count = np.concatenate([self.count, count])
+                self.flat = np.concatenate([self.flat, ids])
+        return places
+
+    def _merged(self, names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         letters = self.letters
-        spelt = [p if p.isascii() else p.encode().decode("latin-1").translate(letters) for p in need]
-        groups = [spelt[k : k + 64] for k in range(0, len(spelt), 64)]
-        for k, e in enumerate(self.merges.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            part = need[64 * k : 64 * k + 64]
-            if len(ends) != len(part):
-                raise ValueError("the tokenizer doesn't mark the ends of words")
-            data, at = ids.tobytes(), 0
-            for p, to in zip(part, ends, strict=True):
-                self.parts[p] = data[at:to]
-                at = to
+        spelt = [p.decode() if p.isascii() else p.decode("latin-1").translate(letters) for p in names]
+        groups = [spelt[k : k + 256] for k in range(0, len(spelt), 256)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.merges.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)])
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(names):
+            raise ValueError("the tokenizer doesn't mark the ends of words")
+        return ids, np.diff(ends, prepend=0)
+
+    def _whole(self, names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in names], add_special_tokens=False)]
+        return np.array([i for x in got for i in x], "<u4"), np.array([len(x) for x in got], np.int64)
+
+
+_SPACE, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[9, 10, 13, 32]] = _SPACE
+_CLASS[33:127] = _MARK
+_CLASS[48:58] = _DIGIT
+_CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _pieces(data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The pieces of texts data[at[i]:at[i + 1]] of UTF-8, lower-cased where plain; which are
+    whole words for the tokenizer; and at which piece each text begins, with their number."""
+    n = len(data)
+    kind = _CLASS[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)  # two bytes, of U+00C0 to U+00FF
+    second = data[lead + 1]
+    letter = (second != 0x97) & (second != 0xB7)  # not the signs of times and division
+    lead, second = lead[letter], second[letter]
+    kind[lead] = kind[lead + 1] = _LETTER
+    begins = np.zeros(n + 1, bool)
+    begins[at] = True
+    begins[n] = False
+
+    solid = kind != _SPACE
+    word = solid.copy()  # begins of words
+    word[1:] &= ~solid[:-1] | begins[1:n]
+    words = np.flatnonzero(word)
+    start = solid & (kind == _DIGIT)
+    start |= word
+    start[1:] |= solid[1:] & (kind[1:] != kind[:-1])
+    first = np.flatnonzero(start)
+
+    odd = kind == _OTHER
+    odd[:-1] |= (data[:-1] == 39) & (kind[1:] == _LETTER)  # ' before a letter
+    odd[:-1] |= (data[:-1] == 60) & (data[1:] == 124)  # <|
+    odd = np.flatnonzero(odd)
+    whole = np.zeros(len(words), bool)
+    whole[np.searchsorted(words, odd, "right") - 1] = True
+
+    low = _LOWER[data]
+    low[lead[second < 0x9F] + 1] += 0x20
+    if len(odd):
+        where = np.flatnonzero(whole)
+        inside = np.zeros(n + 1, np.int8)
+        inside[words[where]] += 1
+        inside[np.append(words, n)[where + 1]] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+        low[inside] = data[inside]
+        first = first[~inside[first] | word[first]]
+        whole = inside[first]
+    else:
+        whole = np.zeros(len(first), bool)
+    before = np.cumsum(solid, dtype=np.int64)  # bytes other than spaces, up to each
+    offsets = np.append(before[first] - 1, before[-1]) if len(first) else np.zeros(1, np.int64)
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(low[solid])])
+    return pieces, whole, np.searchsorted(first, at)
 
 
 @lru_cache(maxsize=1)
@@ -225,6 +285,17 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
+def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of (doc_id, text) in turn, some CHUNK bytes of text at a time."""
+    to = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        done = to[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(to, done + CHUNK, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
     """One row per piece of docs(doc_id, text): the columns of SCHEMA.
 
@@ -244,11 +315,10 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, s
 
         end = END.to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                ids = encode([t or "" for t in part.column(1).to_pylist()])
-                for doc_id, x in zip(part.column(0).to_pylist(), ids, strict=True):
-                    packer.add((doc_id, len(x) // 4 + 1), x + end)
+            for part in _chunks(batch):
+                ids, at = encode(part.column(1))
+                for doc_id, a, b in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    packer.add((doc_id, b - a + 1), ids[a:b].tobytes() + end)
                 if len(packer.out) >= 20_000:
                     yield flush()
         packer.finish()

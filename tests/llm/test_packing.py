@@ -3,12 +3,16 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from fathom.llm.packing import Encoder, Packer, pack
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
+ENCODER = Encoder(PATH)
 
 
 def texts():
@@ -17,10 +21,24 @@ def texts():
     return odd + [" ".join(r.choice(["the", "Toxic,", "word's", "(end)", "é", "12", "Über-haupt", "don't", "\n"]) for _ in range(r.choice([1, 10, 700, 3000, 9000]))) for _ in range(30)]
 
 
+def ids_of(encoder, some):
+    ids, at = encoder.encode(pa.array(some, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def test_ids_are_the_tokenizers():
-    whole = Encoder(PATH).tokenizer
+    encoder = Encoder(PATH)
     some = texts()
-    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(PATH).encode(some)] == [whole.encode(t, add_special_tokens=False).ids for t in some]
+    assert ids_of(encoder, some) == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+
+
+LETTERS = "aZéÉßÞ×÷ÿŸİığ'\"<|>.-_09²¼ª \t\n\r\x0b\x0c\x00\x1c\x7f\xa0\xad\u0301\u2028ЖжΣσς中😀"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.sampled_from(LETTERS), st.sampled_from(["'s", "'LL", "don't", "<|endoftext|>", "The"]), st.characters(exclude_categories=["Cs"])), max_size=12).map("".join), max_size=5))
+def test_ids_of_any_texts_are_the_tokenizers(some):
+    assert ids_of(ENCODER, some) == [ENCODER.tokenizer.encode(t, add_special_tokens=False).ids for t in some]
 
 
 def test_full_caches_start_anew(monkeypatch):
@@ -28,7 +46,7 @@ def test_full_caches_start_anew(monkeypatch):
     encoder = Encoder(PATH)
     some = [f"(word{'abcdefgh'[k % 8]}{'xyz'[k % 3]}, {'qrstuv'[k % 6] * (k % 9)}) end" for k in range(200)]
     for t in some:
-        assert np.frombuffer(encoder.encode([t])[0], "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+        assert ids_of(encoder, [t]) == [encoder.tokenizer.encode(t, add_special_tokens=False).ids]
 
 
 def test_pieces_restore_every_document_and_sequences_have_no_gaps(spark):
