@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,6 @@ from pyspark.sql import types as T
 ORDER, LETTERS = 4, 28  # 0 is a word's edge, 1-26 are a-z, 27 any other letter
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 SWAP, DROP, SPLIT, REPEAT = math.log(0.2), math.log(0.3), math.log(0.1), math.log(0.08)
-BEAM = 24
 #: Labelled rows that the classifier is fitted on, at most; those of the least hashed ids.
 SAMPLE = 16_000
 #: Half the likelihood ratio that a feature must reach: beyond it words are noise.
@@ -33,7 +33,7 @@ SIGNIFICANT = 6.0
 #: Features kept, labelled rows that must hold one, and the lengths of word beginnings that
 #: are features beside whole words (so that a stem counts whatever its ending).
 WORDS, SUPPORT, STEMS = 2_000, 5, (4, 5, 6)
-CACHE = 120_000
+CACHE, LONG = 200_000, 64  # tokens whose words a worker keeps, and the longest of these
 
 _CODE = np.full(256, 27, np.int32)
 _CODE[:128] = 0
@@ -44,6 +44,7 @@ _DOUBLE = re.compile(r"(.)\1")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _UNREAD = "".join(re.escape(c) for c in LEET if not c.isalnum())
 #: Symbols at a word's edges that LEET cannot read.
+_ASCII_UNREAD = "".join(c for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" if c not in LEET)
 _TRIM = re.compile(rf"^(?:(?![{_UNREAD}])[\W_])+|(?:(?![{_UNREAD}])[\W_])+$")
 
 
@@ -90,54 +91,109 @@ def _letter(ch: str) -> int:
     return ord(ch) - 96 if "a" <= ch <= "z" else 27
 
 
-def decode(span: str, lm: np.ndarray) -> list[str]:
-    """The likeliest words behind a lower-cased span, spaces allowed within."""
-    states: dict[tuple[int, str], tuple[float, str]] = {(0, ""): (0.0, "")}  # last 3 codes, last source -> score, text
+@lru_cache(maxsize=4096)
+def _readings(ch: str) -> tuple[tuple[tuple[str, int, float], ...], bool, bool]:
+    """The letters that a character may stand for (letter, code, cost), whether it may end a word, and be nothing."""
+    found = [(ch, _letter(ch), 0.0)] if ch.isalpha() else []
+    found += [(x, _letter(x), SWAP) for x in LEET.get(ch, "")]
+    apart = not ch.isalnum()
+    return tuple(found), apart, apart or not found
+
+
+def decode(span: str, lm: list[float]) -> list[str]:
+    """The likeliest words behind a lower-cased span, spaces allowed within.
+
+    Full Viterbi: a state is the last three codes and the last letter, of which the readings
+    of nearby characters allow few (28 ** 3 codes at most, whatever the span's length). A
+    path is a chain of its letters, so that a long span costs time and memory in proportion.
+    """
+    states: dict[tuple[int, str], tuple[float, tuple | None]] = {(0, ""): (0.0, None)}
     size = LETTERS**3
     for ch in span:
-        options: list[tuple[str, float]] = []
-        if ch.isalpha():
-            options.append((ch, 0.0))
-        for x in LEET.get(ch, ""):
-            options.append((x, SWAP))
-        apart = not ch.isalnum()
-        nxt: dict[tuple[int, str], tuple[float, str]] = {}
-
-        def put(key, score, text, nxt=nxt):
-            if key not in nxt or score > nxt[key][0]:
-                nxt[key] = score, text
-
-        for (past, source), (score, text) in states.items():
-            for x, cost in options:
-                c = _letter(x)
-                put(((past * LETTERS + c) % size, x), score + cost + float(lm[past * LETTERS + c]), text + x)
+        letters, apart, nothing = _readings(ch)
+        nxt: dict[tuple[int, str], tuple[float, tuple | None]] = {}
+        get = nxt.get
+        for state, (score, chain) in states.items():
+            past, source = state
+            at = past * LETTERS
+            for x, code, cost in letters:
+                total = score + cost + lm[at + code]
+                key = (at + code) % size, x
+                had = get(key)
+                if had is None or total > had[0]:
+                    nxt[key] = total, (chain, x)
                 if x == source:  # a repeated letter
-                    put((past, source), score + cost + REPEAT, text)
+                    total = score + cost + REPEAT
+                    had = get(state)
+                    if had is None or total > had[0]:
+                        nxt[state] = total, chain
+            if nothing:
+                total = score + DROP
+                had = get(state)
+                if had is None or total > had[0]:
+                    nxt[state] = total, chain
             if apart:
-                put((past, source), score + DROP, text)
-                put((past * LETTERS % size, ""), score + SPLIT + float(lm[past * LETTERS]), text + " ")
-            elif not options:
-                put((past, source), score + DROP, text)
-        states = nxt if len(nxt) <= BEAM else dict(sorted(nxt.items(), key=lambda s: -s[1][0])[:BEAM])
-    best = max(states.items(), key=lambda s: s[1][0] + float(lm[s[0][0] * LETTERS]))[1][1]
-    return best.split()
+                total = score + SPLIT + lm[at]
+                key = at % size, ""
+                had = get(key)
+                if had is None or total > had[0]:
+                    nxt[key] = total, (chain, " ")
+        states = nxt
+    chain = max(states.items(), key=lambda s: s[1][0] + lm[s[0][0] * LETTERS])[1][1]
+    out = []
+    while chain:
+        chain, x = chain
+        out.append(x)
+    return "".join(reversed(out)).split()
+
+
+def undoubled(word: str, at: int, lm: list[float]) -> str:
+    """What decode() makes of a word of letters of which only that at `at` repeats the one before.
+
+    Only the four-grams from there on differ between the word and the word without it.
+    """
+    codes = [0, 0, 0, *map(_letter, word[max(0, at - 3) : at + 4])][-(min(at, 3) + len(word[at : at + 4]) + 3) :]
+    here = 3 + min(at, 3)  # of word[at] in codes
+    if at + 4 > len(word):
+        codes.append(0)
+    less = codes[:here] + codes[here + 1 :]
 
+    def total(c: list[int], begin: int, end: int) -> float:
+        return sum(lm[((c[i - 3] * LETTERS + c[i - 2]) * LETTERS + c[i - 1]) * LETTERS + c[i]] for i in range(begin, end))
 
-def restore(token: str, lm: np.ndarray) -> tuple[str, ...]:
+    if REPEAT + total(less, here, len(less)) > total(codes, here, len(codes)):
+        return word[:at] + word[at + 1 :]
+    return word
+
+
+def restore(token: str, lm: list[float]) -> tuple[str, ...]:
     """The words a lower-cased token may stand for: itself without its edges, and decoded.
 
     Symbols at the edges that may be letters are decoded with it; others are trimmed.
     """
-    core, trimmed = _EDGE.sub("", token), _TRIM.sub("", token)
-    plain = bool(_PLAIN.fullmatch(core))
+    if token.isalpha():
+        core = trimmed = token
+        plain = True
+    else:
+        core, trimmed = _EDGE.sub("", token), _TRIM.sub("", token)
+        plain = _PLAIN.fullmatch(core) is not None
     out = [core] if plain else []
-    if core and not (plain and not _DOUBLE.search(core)):
+    double = _DOUBLE.search(core) if plain else None
+    if double and core.isalpha() and not _DOUBLE.search(core, double.start() + 1):
+        out.append(undoubled(core, double.start() + 1, lm))
+    elif core and (double or not plain):
         out += decode(core, lm)
     if trimmed != core:
         out += decode(trimmed, lm)
     return tuple(dict.fromkeys(w for w in out if len(w) >= 3))
 
 
+def bare(token: str) -> str:
+    """The token, or what restore() makes the same of: the letters between unreadable ASCII symbols."""
+    inner = token.strip(_ASCII_UNREAD)
+    return inner if inner.isalpha() else token
+
+
 def features(word: str) -> tuple[str, ...]:
     """The word, marked by a dot, and its beginnings."""
     return (word + ".", *(word[:k] for k in STEMS if len(word) >= k))
@@ -156,7 +212,11 @@ def spaced(words: list[str]) -> list[str]:
             out.append(" ".join(run))
         run = []
 
-    for w in words:
+    last = -1
+    for at, w in [(at, w) for at, w in enumerate(words) if len(w) == 1 or not w[:2].isalnum()]:  # others hold two characters
+        if at != last + 1:
+            end()
+        last = at
         if len(w) == 1:
             run.append(w)
             continue
@@ -178,17 +238,19 @@ class Restorer:
     """Restored distinct words of texts; keeps what it has decoded, up to CACHE tokens."""
 
     def __init__(self, lm: np.ndarray):
-        self.lm, self.known = lm, {}
+        self.lm, self.known = lm.tolist(), {}
 
     def words(self, text: str | None) -> set[str]:
         tokens = (text or "").lower().split()
         known, out = self.known, set()
-        for t in set(tokens):
+        for t in set(map(bare, set(tokens))):
             got = known.get(t)
             if got is None:
                 if len(known) >= CACHE:
                     known.clear()
-                got = known[t] = restore(t, self.lm)
+                got = restore(t, self.lm)
+                if len(t) <= LONG:
+                    known[t] = got
             out.update(got)
         for span in spaced(tokens):
             out.update(w for w in decode(span, self.lm) if len(w) >= 3)
@@ -270,18 +332,21 @@ def score(docs: DataFrame, lm: np.ndarray, intercept: float, weights: dict[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, weigh = model.value
+        table = table.tolist()
         known: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             out = []
             for value in batch.column(text_at):
                 tokens = (value.as_py() or "").lower().split()
                 hit: set[str] = set()
-                for t in set(tokens):
+                for t in set(map(bare, set(tokens))):
                     got = known.get(t)
                     if got is None:
                         if len(known) >= CACHE:
                             known.clear()
-                        got = known[t] = tuple(f for w in restore(t, table) for f in features(w) if f in weigh)
+                        got = tuple(f for w in restore(t, table) for f in features(w) if f in weigh)
+                        if len(t) <= LONG:
+                            known[t] = got
                     if got:
                         hit.update(got)
                 for span in spaced(tokens):

@@ -74,3 +74,72 @@ def test_punctuation_ends_a_spaced_run(lm):
     assert t.spaced('"i d i o t", x'.split()) == ["i d i o t"]
     assert t.spaced("a, b, c, d".split()) == []
     assert "idiot" in t.Restorer(lm).words("you i d i o t.")
+
+
+def readings(span, lm):
+    """Every path through the lattice of a span: (score, text)."""
+    import math
+
+    paths = [(0.0, "", (0, 0, 0), "")]
+    for ch in span:
+        new = []
+        for score, text, past, source in paths:
+            gram = lambda c, past=past: float(lm[((past[0] * 28 + past[1]) * 28 + past[2]) * 28 + c])
+            options = ([(ch, 0.0)] if ch.isalpha() else []) + [(x, t.SWAP) for x in t.LEET.get(ch, "")]
+            for x, cost in options:
+                c = ord(x) - 96 if "a" <= x <= "z" else 27
+                new.append((score + cost + gram(c), text + x, (*past[1:], c), x))
+                if x == source:
+                    new.append((score + cost + t.REPEAT, text, past, source))
+            if not ch.isalnum() or not options:
+                new.append((score + t.DROP, text, past, source))
+            if not ch.isalnum():
+                new.append((score + t.SPLIT + gram(0), text + " ", (*past[1:], 0), ""))
+        paths = new
+    return [(score + float(lm[((p[0] * 28 + p[1]) * 28 + p[2]) * 28]), text) for score, text, p, _ in paths if math.isfinite(score)]
+
+
+def test_decoding_finds_the_best_of_all_readings(lm):
+    r = random.Random(8)
+    for _ in range(400):
+        span = "".join(r.choice("idotscre10|!$.é5 ") for _ in range(r.randint(1, 7)))
+        every = sorted(readings(span, lm))
+        if len(every) == 1 or every[-1][0] - every[-2][0] > 1e-9:
+            assert t.decode(span, lm.tolist()) == every[-1][1].split(), span
+
+
+def test_one_doubled_letter_is_decided_as_by_decoding(lm):
+    r = random.Random(9)
+    for _ in range(2000):
+        word = "".join(r.choice("idiotscé") for _ in range(r.randint(1, 9)))
+        at = r.randrange(len(word))
+        word = word[: at + 1] + word[at:]
+        if sum(a == b for a, b in zip(word, word[1:], strict=False)) == 1:
+            i = next(i for i in range(1, len(word)) if word[i] == word[i - 1])
+            assert [t.undoubled(word, i, lm.tolist())] == t.decode(word, lm.tolist()), word
+
+
+def test_long_spans_take_time_in_proportion(lm):
+    import time
+
+    began = time.time()
+    for span in ("|3$a!" * 20_000, "1 2 3 " * 20_000, "ab" * 200_000):
+        assert t.decode(span, lm.tolist())
+    assert time.time() - began < 60
+
+
+def test_the_fit_is_a_minimum():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    rows = [(int(r.random() < 0.3 + 0.4 * (k % 2)), [w for w in range(5) if r.random() < 0.3 or (w == k % 2)]) for k in range(400)]
+
+    def loss(b, w):
+        z = np.array([b + sum(w[k] for k in ks) for _, ks in rows])
+        y = np.array([y for y, _ in rows])
+        return (np.logaddexp(0, z) - y * z).sum() + 0.1 * (w**2).sum()
+
+    b, w = t.fit(rows, 5)
+    best = loss(b, w)
+    for _ in range(300):
+        assert loss(b + r.normal() * 0.05, w + r.normal(size=5) * 0.05) >= best - 1e-6
