@@ -266,14 +266,23 @@ def fit(rows: list[tuple[int, list[int]]], n_words: int, penalty: float = 0.2, s
     b, w = math.log(p / (1 - p)), np.zeros(n_words)
     doc = np.repeat(np.arange(len(y)), [len(r[1]) for r in rows])
     word = np.array([k for r in rows for k in r[1]], int)
-    most = max(1, max((len(r[1]) for r in rows), default=1))
-    rate = 1 / (0.25 * len(y) * min(most + 1, 60) + penalty) * 4
-    vb, vw = b, w
-    for t in range(steps):
-        z = vb + np.bincount(doc, vw[word], len(y))
-        g = 1 / (1 + np.exp(-np.clip(z, -35, 35))) - y
-        nb = vb - rate * g.sum()
-        nw = vw - rate * (np.bincount(word, g[doc], n_words) + penalty * vw)
+
+    def margins(b: float, w: np.ndarray) -> np.ndarray:
+        return b + np.bincount(doc, w[word], len(y))
+
+    c, v, most = 1.0, np.ones(n_words), 1.0  # the greatest curvature, by power iteration
+    for _ in range(20):
+        z = margins(c, v)
+        c, v = z.sum(), np.bincount(word, z[doc], n_words)
+        most = math.hypot(c, float(np.linalg.norm(v)))
+        c, v = c / most, v / most
+    rate = 1 / (0.25 * 1.1 * most + penalty)
+    vb, vw, t = b, w, 0
+    for _ in range(steps):
+        g = 1 / (1 + np.exp(-np.clip(margins(vb, vw), -35, 35))) - y
+        gb, gw = g.sum(), np.bincount(word, g[doc], n_words) + penalty * vw
+        nb, nw = vb - rate * gb, vw - rate * gw
+        t = 0 if gb * (nb - b) + gw @ (nw - w) > 0 else t + 1  # momentum starts anew where it climbs
         k = t / (t + 3)
         vb, vw, b, w = nb + k * (nb - b), nw + k * (nw - w), nb, nw
     return b, w
