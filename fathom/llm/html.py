@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -27,10 +28,9 @@ from pyspark.sql import functions as F
 
 from .boost import Boosted
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|iframe)(?=[\s/>])[^>]*(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*(?:>|\Z)",
-    re.DOTALL | re.IGNORECASE,
-)
+_RAW = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style", "title", "textarea", "iframe")}
+_NAME_END = re.compile(r"[\s/>]")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+))>")
 _ATTR = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -55,9 +55,119 @@ TOKENS = {
 }
 _KIND = {w: k for k, words in enumerate(TOKENS.values()) for w in words}
 KINDS = len(TOKENS)
+NODES = 20_000
 _TAGS = ["#text", "html", "body", "main", "article", "section", "div", "p", "h", "ul", "li", "dl", "nav", "header", "footer", "aside", "form", "table", "td", "blockquote", "pre", "figure", "control", "other"]
-_TAG = {t: k for k, t in enumerate(_TAGS)} | {f"h{i}": 8 for i in range(1, 7)} | {"ol": 9, "menu": 9, "dt": 10, "dd": 10, "tr": 17, "thead": 17, "tbody": 17, "tfoot": 17, "th": 18, "caption": 17, "figcaption": 21, "address": 14, "fieldset": 16, "search": 16, "select": 22, "option": 22, "button": 22, "label": 22, "legend": 22, "dialog": 15, "center": 6, "hgroup": 13}
-_OTHER = _TAG["other"]
+_TAG_CODE = {t: k for k, t in enumerate(_TAGS)} | {f"h{i}": 8 for i in range(1, 7)} | {"ol": 9, "menu": 9, "dt": 10, "dd": 10, "tr": 17, "thead": 17, "tbody": 17, "tfoot": 17, "th": 18, "caption": 17, "figcaption": 21, "address": 14, "fieldset": 16, "search": 16, "select": 22, "option": 22, "button": 22, "label": 22, "legend": 22, "dialog": 15, "center": 6, "hgroup": 13}
+_OTHER = _TAG_CODE["other"]
+
+
+class Scanner:
+    """The tags, comments and raw elements of a page: (begin, end, closing, name, attributes).
+
+    name is None where there is nothing but something to leave out. A tag ends at the first
+    ">" outside quotes; one that has none, or whose quotes don't close, is left out up to the
+    next ">" or the end, or is text if another "<" comes first. Every character is looked at
+    a bounded number of times: what was found ahead, or not found, is remembered.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.ahead: dict[str, tuple[int, int]] = {}  # needle -> searched from, found at
+        self.marks: list[int] | None = None  # places of quotes and ">", once a tag has failed
+        self.bad: set[int] = set()  # quotes from which no tag ends
+
+    def find(self, needle: str, at: int) -> int:
+        """html.find for places that never go back; its length if there is none."""
+        begin, found = self.ahead.get(needle, (0, -1))
+        if not begin <= at <= found:
+            found = self.html.find(needle, at)
+            found = len(self.html) if found < 0 else found
+            self.ahead[needle] = at, found
+        return found
+
+    def search(self, pattern: re.Pattern, at: int) -> int:
+        """The place of a pattern's next match, as find()."""
+        begin, found = self.ahead.get(pattern.pattern, (0, -1))
+        if not begin <= at <= found:
+            m = pattern.search(self.html, at)
+            found = m.start() if m else len(self.html)
+            self.ahead[pattern.pattern] = at, found
+        return found
+
+    def end_of_tag(self, at: int) -> int:
+        """The place of the ">" that ends the tag whose attributes begin here; -1 if none does."""
+        html = self.html
+        if self.marks is None:
+            self.marks = [m.start() for m in re.finditer("[\"'>]", html)]
+            self.next: list[int] = [len(self.marks)] * len(self.marks)  # the same mark's next place in marks
+            last: dict[str, int] = {}
+            for k in range(len(self.marks) - 1, -1, -1):
+                c = html[self.marks[k]]
+                self.next[k] = last.get(c, len(self.marks))
+                last[c] = k
+        k = bisect_left(self.marks, at)
+        path = []
+        while k < len(self.marks) and k not in self.bad:
+            if html[self.marks[k]] == ">":
+                return self.marks[k]
+            path.append(k)
+            k = self.next[k] + 1
+        self.bad.update(path)
+        return -1
+
+    def __iter__(self) -> Iterator[tuple[int, int, bool, str | None, str]]:
+        html, at, n = self.html, 0, len(self.html)
+        while True:
+            at = html.find("<", at)
+            if at < 0:
+                return
+            if html.startswith("<!--", at):
+                end = min(n, self.find("-->", at + 4) + 3)
+                yield at, end, False, None, ""
+                at = end
+                continue
+            c = html[at + 1 : at + 2]
+            if c == "!" or c == "?":
+                end = min(n, self.find(">", at) + 1)
+                yield at, end, False, None, ""
+                at = end
+                continue
+            if not (c.isascii() and c.isalpha() or c == "/"):
+                at += 1
+                continue
+            m = _TAG.match(html, at) if self.marks is None else None
+            if m:
+                end, closing, name, attrs = m.end(), bool(m.group(1)), m.group(2).lower(), m.group(3)
+            else:
+                k = at + 2 if c == "/" else at + 1
+                first = html[k : k + 1]
+                if not (first.isascii() and first.isalpha()):
+                    if c == "/":  # "</" and no name: left out up to ">"
+                        end = min(n, self.find(">", at) + 1)
+                        yield at, end, False, None, ""
+                        at = end
+                    else:
+                        at += 1
+                    continue
+                stop = self.search(_NAME_END, k)
+                close = self.end_of_tag(stop)
+                if close < 0:
+                    other = self.find("<", at + 1)
+                    end = min(n, self.find(">", at) + 1)
+                    if other < end and c != "/":
+                        at += 1
+                        continue
+                    yield at, end, False, None, ""
+                    at = end
+                    continue
+                end, closing, name, attrs = close + 1, c == "/", html[k:stop].lower(), html[stop:close]
+            if name in _RAW and not closing:
+                end = self.search(_RAW[name], self.find(">", at))
+                end = min(n, self.find(">", end) + 1)
+                yield at, end, False, None, ""
+            else:
+                yield at, end, closing, name, attrs
+            at = end
 
 
 class Page:
@@ -71,6 +181,8 @@ class Page:
             return
         self.plain = None
         stack: list[tuple[str, int]] = [("#root", 0)]  # open elements and the node that each stands in
+        places: dict[str, list[int]] = {"#root": [0]}  # where in the stack each name is
+        blocks = [0]  # where block elements are
         run: list[str] = []  # pieces of the current text run
         linked = 0  # characters of the run within links
         anchors = 0
@@ -87,66 +199,63 @@ class Page:
                 self.text[node] = text
             run, linked, tags = [], 0, 0
 
-        for m in _TOKEN.finditer(html):
-            a, b = m.span()
+        def cut(size: int) -> None:
+            """Closes the elements from that place of the stack on."""
+            while len(stack) > size:
+                places[stack.pop()[0]].pop()
+                if blocks[-1] == len(stack):
+                    blocks.pop()
+
+        def nearest(names: tuple[str, ...]) -> int:
+            return max((places[x][-1] for x in names if places.get(x)), default=0)
+
+        def push(name: str, node: int) -> None:
+            places.setdefault(name, []).append(len(stack))
+            stack.append((name, node))
+
+        for a, b, closing, name, attrs in Scanner(html):
             if a > at:
                 piece = unescape(html[at:a])
                 run.append(piece)
                 if anchors:
                     linked += len(piece.strip())
             at = b
-            name = m.group(3)
             if name is None:
                 continue
-            name = name.lower()
-            if m.group(2):
+            if closing:
                 if name == "a":
                     anchors = max(0, anchors - 1)
-                if not any(x[0] == name for x in stack):
+                if not places.get(name):
                     if name == "p" or name == "br":
                         flush() if name == "p" else run.append(" ")
                     continue
+                place = places[name][-1]
                 if name in BLOCKS:
                     flush()
                     anchors = 0
-                    while stack[-1][0] != name:
-                        stack.pop()
-                    stack.pop()
-                else:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] in BLOCKS:
-                            break
-                        if stack[k][0] == name:
-                            del stack[k:]
-                            break
+                    cut(place)
+                elif place > blocks[-1]:
+                    cut(place)
                 continue
-            attrs = m.group(4)
             if name in BLOCKS:
                 flush()
-                if name in _CLOSES_P:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == "p":
-                            del stack[k:]
-                            break
-                        if stack[k][0] in BLOCKS:
-                            break
+                if name in _CLOSES_P and stack[blocks[-1]][0] == "p":
+                    cut(blocks[-1])
                 if name in _SELF:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] in _PEERS[name]:
-                            del stack[k:]
-                            break
-                        if stack[k][0] in _SELF[name]:
-                            break
+                    place = nearest(_PEERS[name])
+                    if place > nearest(_SELF[name]):
+                        cut(place)
                 if name in VOID:
                     continue
                 if name == "html" or name == "body":
-                    if any(x[0] == name for x in stack):
+                    if places.get(name):
                         continue
-                    stack = [x for x in stack if x[0] in BLOCKS or x[0] == "#root"]
-                node = self._new(stack[-1][1], _TAG.get(name, _OTHER), attrs)
+                    cut(blocks[-1] + 1)
+                node = self._new(stack[-1][1], _TAG_CODE.get(name, _OTHER), attrs)
                 if name in ("button", "select", "option", "label"):
                     self.sums[node][7] += 1
-                stack.append((name, node))
+                blocks.append(len(stack))
+                push(name, node)
                 anchors = 0
             else:
                 tags += 1
@@ -157,7 +266,7 @@ class Page:
                 elif name == "input":
                     self.sums[stack[-1][1]][7] += 1
                 if name not in VOID and not attrs.endswith("/"):
-                    stack.append((name, stack[-1][1]))
+                    push(name, stack[-1][1])
         if at < len(html):
             run.append(unescape(html[at:]))
         flush()
@@ -247,18 +356,29 @@ def decode(parent: list[int], margin: np.ndarray) -> np.ndarray:
 
 
 def extract(htmls: list[str | None], model: Boosted) -> list[str]:
-    """The main text of each page."""
-    pages = [Page(h or "") for h in htmls]
-    out = [p.plain or "" for p in pages]
-    todo = [k for k, p in enumerate(pages) if p.plain is None and len(p.parent) > 1]
-    if todo:
-        margin = model.margin(np.concatenate([features(pages[k]) for k in todo]))
+    """The main text of each page; some NODES nodes are judged at a time."""
+    out, todo, nodes = [], [], 0
+
+    def judge() -> None:
+        nonlocal todo, nodes
+        margin = model.margin(np.concatenate([features(p) for _, p in todo]))
         at = 0
-        for k in todo:
-            p = pages[k]
+        for k, p in todo:
             kept = decode(p.parent, margin[at : at + len(p.parent)])
             at += len(p.parent)
             out[k] = " ".join(t for t, y in zip(p.text, kept, strict=True) if t and y)
+        todo, nodes = [], 0
+
+    for k, h in enumerate(htmls):
+        page = Page(h or "")
+        out.append(page.plain or "")
+        if page.plain is None and len(page.parent) > 1:
+            todo.append((k, page))
+            nodes += len(page.parent)
+            if nodes >= NODES:
+                judge()
+    if todo:
+        judge()
     return out
 
 

@@ -1,8 +1,10 @@
 import random
+import time
 
 import numpy as np
+import pytest
 
-from fathom.llm.html import Page, decode, main_text
+from fathom.llm.html import Page, decode, features, main_text
 
 
 def page(r):
@@ -59,3 +61,50 @@ def test_embedded_and_custom_elements_cut_nothing():
     inner = [t for t in Page("<article><p>So <math><mi>x</mi></math> is</p><object><p>shown</p></object></article>").text if t]
     assert inner == ["So x is", "shown"]
     assert [t for t in Page("<p>a</p><script>var x='<p>no</p>'</script><title>t</title><p>b</p>").text if t] == ["a", "b"]
+
+
+@pytest.mark.parametrize("piece", ["<script ", "<a ", "<a \"", "<a '\"", "<!--", "<a<", "</", "</a ", "<", "<title>x</title ", "<script >x</scrip ", "<p class=\"class='class=\"x>", "<p hidden hidden = display display : >"])
+def test_unfinished_markup_takes_time_in_proportion(piece):
+    began = time.time()
+    Page(piece * (1_000_000 // len(piece)))
+    assert time.time() - began < 5
+
+
+@pytest.mark.parametrize("html", ["<div><b>" * 30_000 + "</i>" * 60_000, "<div>" + "<b>" * 60_000 + "<hr>" * 60_000, "<ul><li><ul>" + "<div>" * 30_000 + "<li></li>" * 30_000, "<i><div>" + "<b>" * 60_000 + "</i>" * 60_000, "<div>" * 30_000 + "<body></body>" * 20_000])
+def test_nests_that_do_not_close_take_time_in_proportion(html):
+    began = time.time()
+    Page(html)
+    assert time.time() - began < 5
+
+
+def test_quotes_hold_the_end_of_a_tag_and_bad_ones_drop_the_tag():
+    text = lambda html: [t for t in Page(html).text if t]
+    assert text("<p title='a>b' class=\"x'>y\">one</p>") == ["one"]
+    assert text("<p>a</p><p title='x>b</p><p>c</p>") == ["a", "b", "c"]
+    assert text("<p>a <b <i>c</i></p>") == ["a c"]
+    assert text("<p>1 < 2</p></one, two <") == ["1 < 2"]
+
+
+def test_features_against_loops():
+    made = Page('<body><nav class="menu"><a href="/">x y</a></nav><article id="story"><h1>T</h1><p>One, two. <a href="/">three</a></p><form><input></form></article></body>')
+    got = features(made)
+    n = len(made.parent)
+    below = [[j for j in range(n) if i in ancestors(made, j)] for i in range(n)]
+    for i in range(n):
+        chars = sum(made.sums[j][0] for j in below[i])
+        siblings = [j for j in range(1, n) if made.parent[j] == made.parent[i]] if i else [0]
+        assert got[i][3] == len(ancestors(made, i)) - 1
+        assert np.isclose(got[i][9], np.log1p(chars)) and np.isclose(got[i][13], sum(made.sums[j][1] for j in below[i]) / max(chars, 1))
+        assert got[i][7] == sum(made.parent[j] == i for j in range(n))
+        if i:
+            assert got[i][4] == siblings.index(i) and got[i][6] == len(siblings)
+        assert got[i][21] == sum(made.sums[j][7] for j in below[i])
+
+
+def ancestors(made, i):
+    """i and the nodes above it."""
+    out = []
+    while i >= 0:
+        out.append(i)
+        i = made.parent[i]
+    return out
