@@ -127,19 +127,34 @@ ORACLE: dict[str, str] = {
     """,
     "op9_redirects": r"""
         WITH RECURSIVE links AS (
-            SELECT url AS source, unnest([
-                regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b["'']?[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-                regexp_extract(html, '(?i)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*\brel\s*=\s*["'']?canonical\b', 1),
-                regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS t
-            FROM pages
-        ), ends AS (
-            SELECT source, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t
-                WHEN starts_with(t, '/') THEN regexp_extract(source, '^(.*?://[^/?#]*)', 1, 's') || t END AS target
+            SELECT source, trim(CASE
+                WHEN regexp_matches(tag, '(?i)^<link\b.*\srel\s*=\s*["'']?[^"''>]*\bcanonical\b') THEN regexp_extract(tag, '(?i)\shref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 1)
+                    || regexp_extract(tag, '(?i)\shref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 2) || regexp_extract(tag, '(?i)\shref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 3)
+                WHEN regexp_matches(tag, '(?i)^<meta\b.*\shttp-equiv\s*=\s*["'']?\s*refresh\b') THEN regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END) AS t
+            FROM (SELECT url AS source, regexp_replace(unnest(regexp_extract_all(
+                regexp_replace(html, '<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<textarea\b.*?(?:</textarea\s*>|\z)|<title\b.*?(?:</title\s*>|\z)', '', 'gis'),
+                '(?i)<(?:link|meta)\b[^<>]*>')), '\s+', ' ', 'g') AS tag FROM pages)
+        ), bits AS (
+            SELECT source, t, regexp_extract(source, '^(.*?://[^/?#]*)', 1, 's') AS site, regexp_extract(source, '://[^/?#]*([^?#]*)', 1) AS own, regexp_extract(source, '://[^?#]*(\?[^#]*)', 1) AS ask
             FROM (SELECT source, replace(t, '&amp;', '&') AS t FROM links WHERE t <> '' AND source IS NOT NULL)
+        ), raw AS (
+            SELECT source, site, regexp_extract(t, '^[^?#]*(.*)', 1, 's') AS rest,
+                CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN CASE WHEN contains(t, '://') THEN t END WHEN starts_with(t, '//') THEN 'http:' || t
+                     WHEN starts_with(t, '#') THEN site || own || ask WHEN starts_with(t, '?') THEN site || own || t END AS whole,
+                CASE WHEN starts_with(t, '/') THEN regexp_extract(t, '^([^?#]*)', 1) ELSE CASE WHEN contains(own, '/') THEN regexp_extract(own, '^(.*/)', 1, 's') ELSE '/' END || regexp_extract(t, '^([^?#]*)', 1) END AS p,
+                regexp_matches(t, '^([A-Za-z][A-Za-z0-9+.-]*:|//|#|\?)') AS absolute
+            FROM bits
+        ), steps AS (
+            SELECT source, site, rest, whole, absolute, 1 AS i, [''] AS done, (string_split(CASE WHEN regexp_matches(p, '/\.\.?$') THEN p || '/' ELSE p END, '/'))[2:] AS parts FROM raw
+            UNION ALL
+            SELECT source, site, rest, whole, absolute, i + 1, CASE parts[i] WHEN '.' THEN done WHEN '..' THEN done[1:greatest(len(done) - 1, 1)] ELSE list_append(done, parts[i]) END, parts
+            FROM steps WHERE NOT absolute AND i <= len(parts)
+        ), ends AS (
+            SELECT source, CASE WHEN absolute THEN whole ELSE site || array_to_string(done, '/') || rest END AS target FROM steps WHERE absolute OR i > len(parts)
         ), urls AS (
             SELECT url, translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                 regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '://[^?#]*(\?[^#]*)', 1) AS query
-            FROM (SELECT source AS url FROM ends UNION SELECT target FROM ends UNION SELECT url FROM pages WHERE contains(url, '://'))
+            FROM (SELECT source AS url FROM ends UNION SELECT target FROM ends WHERE contains(target, '://') UNION SELECT url FROM pages WHERE contains(url, '://'))
         ), judged AS (
             SELECT *, host || path || query AS node,
                 CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7'

@@ -14,16 +14,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components
+from .common import components, discard, saved
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"://([^/?#]*)([^?#]*)"
-_LINK = [
-    r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b["']?[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""",
-    r"""(?i)<link\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)["']?[^>]*\brel\s*=\s*["']?canonical\b""",
-    r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*\burl\s*=\s*["']?([^"'\s>]+)""",
-    r"""(?i)<meta\b[^>]*\bcontent\s*=[^>]*\burl\s*=\s*["']?([^"'\s>]+)[^>]*\bhttp-equiv\s*=\s*["']?refresh\b""",
-]
+_UNREAD = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title)\b.*?(?:</\1\s*>|\z)"
+_LINK_TAG = r"(?i)<(?:link|meta)\b[^<>]*>"
+_VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+#: Of a link tag: whether it names the canonical page, and where; of a meta tag: whether it
+#: redirects, and where.
+_CANONICAL, _HREF = r"""(?i)^<link\b.*\srel\s*=\s*["']?[^"'>]*\bcanonical\b""", rf"(?i)\shref{_VALUE}"
+_REFRESH, _CONTENT = r"""(?i)^<meta\b.*\shttp-equiv\s*=\s*["']?\s*refresh\b""", r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
 def host(url: Column) -> Column:
@@ -79,12 +80,27 @@ def resolved(source: Column, to: Column) -> Column:
     )
 
 
+def _targets(html: Column) -> Column:
+    """The targets of a page's canonical links and refresh redirects, as an array.
+
+    Comments, scripts, styles, titles and text areas are left out first. A tag ends at the
+    first ">" and holds no "<", so that every pattern reads a page once.
+    """
+    tags = F.regexp_extract_all(F.regexp_replace(html, _UNREAD, ""), F.lit(_LINK_TAG), F.lit(0))
+    href = lambda t: F.concat(*[F.regexp_extract(t, _HREF, k) for k in (1, 2, 3)])
+    to = F.transform(F.transform(tags, lambda t: F.regexp_replace(t, r"\s+", " ")), lambda t: F.when(t.rlike(_CANONICAL), href(t)).when(t.rlike(_REFRESH), F.regexp_extract(t, _CONTENT, 1)))
+    some = F.when(html.rlike("(?i)canonical|refresh"), to)
+    return F.transform(F.filter(some, lambda x: x.isNotNull() & (F.trim(x) != "")), lambda x: F.trim(x))
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Edges (source, target) of urls from canonical links and refresh redirects in the html.
 
-    Every link of a page counts. Relative targets are resolved against the page's url.
+    Every link of a page counts, but for those in comments and scripts. Relative targets are
+    resolved against the page's url.
     """
-    found = pages.select(F.col(url).alias("source"), F.explode(F.concat(*[F.regexp_extract_all(F.col(html), F.lit(p), F.lit(1)) for p in _LINK])).alias("to")).where("to != '' and source is not null")
+    found = pages.select(F.col(url).cast("string").alias("source"), F.col(html).cast("string").alias("html")).where("source is not null")
+    found = found.select("source", F.explode(_targets(F.col("html"))).alias("to"))
     to = F.regexp_replace("to", "&amp;", "&")
     return found.select("source", resolved(F.col("source"), to).alias("target")).where("target is not null and target like '%://%'")
 
@@ -92,8 +108,10 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
 def judge(pages: DataFrame, rules: list[tuple[str, str]], edges: DataFrame, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages(page_id, url).
 
-    edges(source, target) are urls that lead to one another.
+    edges(source, target) are urls that lead to one another; they are written once, as they
+    may come from all of the pages' html.
     """
+    edges = saved(edges.select("source", "target").distinct(), "aliases")
     urls = edges.select(F.explode(F.array("source", "target")).alias("url")).distinct()
     known = urls.select(key(F.col("url")).alias("node"), verdict_of(rule_of(host(F.col("url")), path(F.col("url")), rules), rules).alias("v"))
     parts = components(edges.select(key(F.col("source")).alias("u"), key(F.col("target")).alias("v")))
@@ -103,7 +121,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], edges: DataFrame, defa
         .agg(F.max(F.when(F.col("v") == "allow", 2).when(F.col("v") == "block", 1)).alias("d"))
         .where("d is not null")
     )
-    alias = parts.join(decided, "component").select("node", F.when(F.col("d") == 2, "allow").otherwise("block").alias("by_alias"))
+    alias = saved(parts.join(decided, "component").select("node", F.when(F.col("d") == 2, "allow").otherwise("block").alias("by_alias")), "decided")
+    discard(edges, parts)
     own = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), key(F.col("url")).alias("node"))
     own = own.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     return own.join(alias, "node", "left").select("page_id", "host", "path", "rule", F.coalesce(verdict_of(F.col("rule"), rules), "by_alias", F.lit(default)).alias("verdict"))

@@ -53,9 +53,37 @@ def test_every_link_and_relative_target_is_an_edge(spark):
             "?to=http://b.io": "http://a.io/x/y?to=http://b.io", "/a/../b?c": "http://a.io/b?c", "#top": page, "//d.io/e": "http://d.io/e",
         }.items()},
         '<link rel=canonical href="mailto:x">': set(),
+        '<!-- <link rel=canonical href="/a"> --><script>"<link rel=canonical href=/b>"</script><LINK HREF=\'/c d\' REL="CANONICAL">': {"http://a.io/c d"},
+        '<link rel="canonical"\n  href="/e"><title><meta http-equiv=refresh content="0;url=/f"></title>': {"http://a.io/e"},
+        '<meta http-equiv="refresh" content="5"><link rel="alternate" href="/g"><!-- <link rel=canonical href=/h>': set(),
     }
     for html, want in cases.items():
         frame = spark.createDataFrame([(1, page, html)], "page_id long, url string, html string")
         assert {r.target for r in alias_edges(frame).collect()} == want, html
     pages = [(1, "http://a.org/x", refresh), (2, "http://m.org/fr/1", '<link rel="canonical" href="../es/2">'), (3, "http://n.org/", two)]
     assert {r[0]: r[4] for r in judged(spark, pages)} == {1: "block", 2: "block", 3: "block"}
+
+
+def test_the_sql_agrees_on_planted_links(spark, tmp_path):
+    import duckdb
+
+    from fathom.llm.queries import ORACLE, op9_redirects
+
+    extra = [(20, "http://a.io/x/y?k=1", f'<link rel=canonical href="{to}">') for to in ("es/2", "../z", "./", "../../..", "?p=1", "?to=http://b.io", "/a/../b?c", "#top", "//d.io/e", "mailto:x")]
+    extra += [(30, "http://p.org/fr/1", '<meta content="0; url=../es/9" http-equiv="refresh">'), (31, "http://q.org/fr/1", '<!-- <link rel=canonical href="/es/1"> -->')]
+    spark.createDataFrame(PAGES + extra, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(str, (tuple(r) for r in op9_redirects(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict").collect())))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(map(str, db.execute(f"SELECT page_id, host, path, rule, verdict FROM ({ORACLE['op9_redirects']})").fetchall()))
+    assert got == want and any("'block'" in x and "None" in x for x in got)
+
+
+def test_long_pages_are_read_once(spark):
+    import time
+
+    began = time.time()
+    texts = ["<link " * 200_000, "<!--" * 200_000, "canonical" + "<link rel=canonical " * 60_000, "<script " * 100_000 + "canonical", "<meta refresh" + " url" * 200_000 + ">"]
+    frame = spark.createDataFrame([(k, "http://a.io/", t + " canonical") for k, t in enumerate(texts)], "page_id long, url string, html string")
+    assert alias_edges(frame).collect() == []
+    assert time.time() - began < 60
