@@ -8,9 +8,10 @@ agree in a register with a probability close to their Jaccard similarity.
 1. One pass over the texts makes (size, 128-bit fingerprint, sketch) a document.
 2. Documents with one fingerprint are one class; its least doc_id stands for it.
 3. Representatives meet in buckets of one band of registers. Every bucket links its members
-   to a hub first, so that a group of k near copies costs k pairs and not k * k / 2. Pairs
-   of members that no found link connects are then bounded from what each shares with the
-   hub and from the shingles beyond it, and all that may still be links are looked at.
+   to a hub first, so that a group of k near copies costs k pairs and not k * k / 2. Members
+   that no found link connects meet each other directly in buckets of up to FEW of them;
+   those of larger buckets meet where they have one of their first shared shingles in
+   common, which every link has (see _first_shared). No bucket is joined with itself.
 4. The joint likelihood of the registers that are equal, greater and less estimates each
    pair's similarity; pairs many standard errors below the threshold go.
 5. What is left is confirmed on the full shingle sets, and links become components.
@@ -33,6 +34,7 @@ from .common import components, discard, saved
 
 REGISTERS, ROWS = 96, 4  # 24 bands; a pair at 0.8 meets in none of them once in 3e5
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
+FEW = 32  # members of a bucket that all meet
 CHUNK = 1 << 14  # shingles hashed at a time, so that the work stays in cache
 PIECE = 1 << 22  # bytes of text hashed at a time
 
@@ -213,6 +215,35 @@ def _sizes_fit(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= percent * F.greatest(a, b)
 
 
+def _first_shared(loose: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(id, n, c, s): the shingles by which documents of different components may be linked.
+
+    A link of a document of n shingles takes percent * n / 100 common ones at least, all of
+    which another component holds, too. Of m such shingles in an order that all documents
+    share, one of the first m - percent * n / 100 + 1 must then be common. Rare ones come
+    first, so that what a whole template's pages hold is not among them.
+    """
+    items = loose.join(sets, "id").where(F.size("set") == F.col("n")).select("id", "n", "c", F.explode("set").alias("s"))
+    shared = items.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")).where("lo != hi").select("s", "df")
+    ordered = items.join(shared, "s").groupBy("id", "n", "c").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"))
+    slots = F.size("x") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    return ordered.where(slots > 0).select("id", "n", "c", F.explode(F.slice("x", F.lit(1), slots)).alias("x")).select("id", "n", "c", "x.s")
+
+
+def _across(first: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components and fitting sizes that have a first shingle in common.
+
+    Per shingle, only members of other components than the largest one are held against all,
+    so a component of k near copies costs k pairs for each document beside it, not k * k.
+    """
+    lead = first.groupBy("s", "c").agg(F.count("*").alias("k")).groupBy("s").agg(F.max_by("c", F.struct("k", "c")).alias("lead"))
+    placed = first.join(lead, "s")
+    x, y = (placed.select(*[F.col(c).alias(f"{c}{k}") for c in ("s", "lead", "id", "n", "c")]) for k in "xy")
+    once = (F.col("cy") == F.col("leady")) | (F.col("idx") > F.col("idy"))
+    pairs = x.where("cx != leadx").join(y, (F.col("sx") == F.col("sy")) & (F.col("cx") != F.col("cy")) & once & _sizes_fit("nx", "ny", percent))
+    return pairs.select(F.greatest("idx", "idy").alias("a"), F.least("idx", "idy").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -252,29 +283,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     named = members.join(part.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "hub", F.coalesce("component", "id").alias("c"))
     open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    loose = saved(named.where("id != hub").join(open_keys, "key", "left_semi"), "loose")
-    # Against its hub, each member has some shingles in common (inter) and some of its own.
-    # Two members share at most the lesser inter and whichever of their own are equal; own
-    # shingles of one document alone can't be, so only the others are kept.
-    seen = loose.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct().join(left, "a").join(right, "b")
-    seen = saved(seen.select("a", "b", F.size(F.array_intersect("x", "y")).alias("inter"), F.array_except("x", "y").alias("own")), "own")
-    each = seen.select("a", "b", F.explode("own").alias("s"))
-    known_twice = each.select("a", "s").distinct().groupBy("s").count().where("count > 1").select("s")
-    own = each.join(known_twice, "s").groupBy("a", "b").agg(F.collect_list("s").alias("own"))
-    facts = seen.drop("own").join(own, ["a", "b"], "left").select(F.col("a").alias("id"), F.col("b").alias("hub"), "inter", F.coalesce("own", F.array().cast("array<long>")).alias("own"))
-    loose_facts = saved(loose.join(facts, ["id", "hub"]).select("key", "id", "n", "c", "inter", "own"), "facts")
-    x, y = (loose_facts.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("id", "n", "c", "inter", "own")]) for s in "xy")
-    most = F.least("interx", "intery") + F.size(F.array_intersect("ownx", "owny"))
-    rest = (
-        x.join(y, (x["key"] == y["key"]) & (F.col("idx") > F.col("idy")) & (F.col("cx") != F.col("cy")) & _sizes_fit("nx", "ny", percent) & ((100 + percent) * most >= percent * (F.col("nx") + F.col("ny"))))
-        .select(F.col("idx").alias("a"), F.col("idy").alias("b"))
-        .distinct()
-    )
+    loose = saved(named.where("id != hub").join(open_keys, "key", "left_semi").select("key", "id", "n", "c"), "loose")
+    k = loose.groupBy("key").agg(F.count("*").alias("k"))
+    few = loose.join(k.where(F.col("k") <= FEW).select("key"), "key")
+    many = loose.join(k.where(F.col("k") > FEW).select("key"), "key", "left_semi").select("id", "n", "c").distinct()
+    x, y = (few.select(*[F.col(c).alias(f"{c}{s}") for c in ("key", "id", "n", "c")]) for s in "xy")
+    rest = x.join(y, (F.col("keyx") == F.col("keyy")) & (F.col("idx") > F.col("idy")) & (F.col("cx") != F.col("cy")) & _sizes_fit("nx", "ny", percent)).select(F.col("idx").alias("a"), F.col("idy").alias("b"))
+    first = saved(_first_shared(many, sets, percent), "first")
+    rest = rest.union(_across(first, percent)).distinct()
     more = confirm(rest)
     if not more.isEmpty():
         joined = part.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
         part = saved(components(joined), "part")
-    discard(members, sets, loose, seen, loose_facts, links, more)
+    discard(members, sets, loose, first, links, more)
     classes = reps.join(part.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component_id"))
     out = sketch.join(classes, ["f1", "f2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

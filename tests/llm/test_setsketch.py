@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from fathom.llm.common import components
 from fathom.llm.setsketch import REGISTERS, joint_estimate, near_duplicates, shingle_sets, sketches
@@ -36,6 +37,23 @@ def test_components_and_sizes_are_those_of_all_pairs(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+@pytest.mark.parametrize("few", [0, 32])
+def test_pages_of_a_template_about_the_threshold(spark, monkeypatch, few):
+    monkeypatch.setattr("fathom.llm.setsketch.FEW", few)
+    r = random.Random(6)
+    texts = {}
+    for t in range(2):  # whole templates with own parts of about a fifth, of which some are taken from few variants
+        frame = [f"t{t}x{i}" for i in range(120)]
+        for k in range(70):
+            own = [r.choice([f"v{t}{r.randrange(4)}", f"o{t}{k}"]) + f"y{i}" for i in range(r.randint(8, 24))]
+            texts[100 * t + k] = " ".join(frame[: r.randint(50, 70)] + own + frame[70:])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    found = near_duplicates(docs, words=3).collect()
+    want = helpers.near_groups(texts, 3, 80)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in found} == want
+    assert 2 < len({c for _, c in want.values()}) < len(texts)
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (1, "q r s t u v"), (2, "A B C D E"), (None, "a b c d e"), (None, None)], "doc_id long, text string")
     got = helpers.rows(near_duplicates(docs, words=5), "doc_id", "n_shingles", "component_id", "kept")
