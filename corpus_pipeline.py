@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import stages
+from fathom.llm import common, stages
 
 STAGES = [
     ("toxicity", stages.toxicity),
@@ -18,8 +18,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each on its predecessor's written result."""
+    """Applies the stages to documents, each on its predecessor's written result.
+
+    A stage's other tables, and its predecessor's result, are deleted once its own is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stages.written(stage(spark, docs, sf_dir), name)
+        before = len(common.written_since())
+        new = stages.written(stage(spark, docs, sf_dir), name)
+        common.discard(docs, *[x for x in common.written_since(before) if x is not new])
+        docs = new
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than space and \x09-\x0D.
-WORD_BREAK = r"[\x20\x09-\x0D]+"
+WORD, WORD_BREAK = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,21 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own.
+    """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only a local master gets a machine-local folder; a cluster without the setting gets one
-    beside its warehouse, which all its executors see.
+    Where it is unset, a local master gets a folder of its own; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if spark.sparkContext.master.startswith("local"):
-            found = f"file://{tempfile.mkdtemp(prefix='fathom-')}"
-        else:
-            found = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_fathom_shared")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='fathom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Tables that saved() has written and discard() has not yet deleted, in order.
+_written: list[DataFrame] = []
+
+
 def saved(df: DataFrame, note: str = "t") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, which cuts its lineage."""
     spark = df.sparkSession
@@ -40,14 +41,21 @@ def saved(df: DataFrame, note: str = "t") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._fathom_path = path
+    _written.append(out)
     return out
 
 
+def written_since(at: int = 0) -> list[DataFrame]:
+    """What saved() has written after it had written `at` tables that still exist; see discard()."""
+    return _written[at:]
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes the files of frames from saved() that nothing reads any more."""
     for df in frames:
         path = getattr(df, "_fathom_path", None)
         if path:
+            _written[:] = [x for x in _written if x._fathom_path != path]
             jvm = df.sparkSession.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -12,7 +12,8 @@ buckets, and the bucket in which the prefix ends into 256 more; only documents o
 bucket are ordered. So a leaf with a third of all rows is no task of its own.
 
 Null levels count as "unknown"; null and empty texts hold no tokens and aren't selected.
-Rows that repeat a doc_id count each. A token is a word, a run of non-space characters.
+Rows that repeat a doc_id count each; those of one id and text are in the order of a hash of
+the columns that are kept. A token is a word, a run of non-space characters.
 """
 
 from __future__ import annotations
@@ -123,7 +124,8 @@ def mix(docs: DataFrame, levels: list[tuple[str, Column]], weights: dict[tuple[s
     full = F.when(F.col("whole") > 0, F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).otherwise(F.array().cast("array<long>"))
     extra = F.when(early, F.array("whole")).otherwise(F.array().cast("array<long>"))
     whole = placed.withColumn("epoch", F.explode(F.concat(full, extra))).withColumn("take", F.col("n_tokens")).select(*out)
-    order = Window.partitionBy(*names).orderBy("hash", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    tie = F.xxhash64(*[f"keep_{i}" for i in range(len(keep))])  # of rows of one id and text
+    order = Window.partitionBy(*names).orderBy("hash", "n_tokens", tie).rowsBetween(Window.unboundedPreceding, -1)
     last = placed.where(ends).withColumn("prior", F.col("offset") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).where("prior < rest")
     last = last.withColumn("take", F.least("n_tokens", F.col("rest") - F.col("prior"))).withColumn("epoch", F.col("whole")).select(*out)
     return whole.unionByName(last)

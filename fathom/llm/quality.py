@@ -34,11 +34,16 @@ def _chars(keep: str) -> Column:
     return F.length(F.regexp_replace("text", f"[^{keep}]+", ""))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and the shares of GRID (double)."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and the shares of GRID (double).
+
+    With carry, "row" holds all columns of docs beside these.
+    """
+    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    kept = ["doc_id", "row"] if carry else ["doc_id"]
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carried, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     split = base.select(
-        "doc_id",
+        *kept,
         F.array_remove(F.split("text", WORD_BREAK), "").alias("words"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         _chars(r"#*$%&|<>").cast("long").alias("n_symbols"),
@@ -47,7 +52,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         _chars("0-9").alias("n_digits"),
     )
     sized = split.select(
-        "doc_id", "words", "n_symbols", "n_upper", "n_marks", "n_digits",
+        *kept, "words", "n_symbols", "n_upper", "n_marks", "n_digits",
         F.size("words").alias("n"),
         F.size("lines").alias("n_lines"),
         F.size(F.array_distinct("lines")).alias("n_own_lines"),
@@ -78,7 +83,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     covered = F.size(F.array_distinct(F.concat("at", F.transform("at", lambda p: p + 1), F.transform("at", lambda p: p + 2))))
     n, chars = F.greatest("n", F.lit(1)), F.greatest("word_chars", F.lit(1))
     return twice.select(
-        "doc_id",
+        *kept,
         F.col("n").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -185,6 +190,16 @@ def learn(stats: DataFrame, labels: DataFrame, max_rules: int = 8, max_condition
     return rules
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, **learning) -> DataFrame:
+    """The rows of docs that quality() keeps, each judged by its own text.
+
+    They are written once with their statistics, learnt from and filtered there; no text is shuffled.
+    """
+    stats = saved(statistics(docs, carry=True), "stats")
+    good = ~F.expr(BASE_FAILED) & decision_list(learn(stats, labels, **learning)).isNull()
+    return stats.where(good).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def quality(docs: DataFrame, labels: DataFrame, **learning) -> tuple[DataFrame, list[Rule]]:
     """One row per row of docs: doc_id, the counts, base_failed, kept, rule; and the rules.
 

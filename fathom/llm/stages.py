@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAK, saved, table
+from .common import WORD, WORD_BREAK, saved, table
 from .queries import DOMAIN, MIX
 
 
@@ -16,15 +16,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return saved(df, name)
 
 
-def _rejected(docs: DataFrame, judged: DataFrame, bad: str) -> DataFrame:
-    """docs without the ids that judged rejects; rows with a null doc_id stay.
-
-    Ids may be a fixed share of all, so they are merged at every size and never broadcast.
-    """
-    ids = judged.where(bad).select("doc_id").distinct().hint("merge")
-    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a toxicity score of 0.5 or more; nothing but statistics is shuffled."""
     from .toxicity import model, score
@@ -35,9 +26,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rule or that the decision list rejects."""
-    from .quality import quality
+    from .quality import keep_good
 
-    return _rejected(docs, quality(docs, table(spark, sf_dir, "labels"))[0], "not kept")
+    return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +56,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     levels = [("level_domain", F.col("domain")), ("level_lang", F.col("language")), ("level_source", F.col("origin"))]
     found = mix(whole, levels, MIX, 0.75, epochs=1, keep=["row"])
     cut = F.col("take_tokens") < F.col("n_tokens")
-    first = F.slice(F.array_remove(F.split("row.text", WORD_BREAK), ""), F.lit(1), F.greatest(F.col("take_tokens"), F.lit(1)).cast("int"))
-    text = F.when(cut, F.array_join(first, " ")).otherwise(F.col("row.text"))
+    # The cut keeps the text up to the end of its last word: words and the breaks before them, in turn.
+    words, breaks = F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), F.regexp_extract_all("row.text", F.lit(f"(?:^|{WORD_BREAK})(?={WORD})"), F.lit(0))
+    upto = F.greatest(F.col("take_tokens"), F.lit(1)).cast("int")
+    first = F.slice(F.zip_with(breaks, words, lambda b, w: F.concat(F.coalesce(b, F.lit("")), w)), F.lit(1), upto)
+    text = F.when(cut, F.array_join(first, "")).otherwise(F.col("row.text"))
     out = []
     for c in docs.schema.fields:
         value = F.col("row").getField(c.name)

@@ -45,6 +45,33 @@ def test_each_leaf_gets_its_budget_as_a_seeded_prefix(spark, epochs, total):
     assert sorted(map(str, again)) == sorted(map(str, found))
 
 
+def test_the_prefix_is_that_of_a_plain_sort(spark):
+    r = random.Random(12)
+    docs = [(d, " ".join(["w"] * r.choice([1, 2, 9, 30])), r.choice(["s0", "s0", "s0", "s1"]), f"row {d}") for d in range(400)]
+    docs += [(7, docs[7][1], docs[7][2], f"copy {k}") for k in range(5)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string, note string")
+    total, seed = 3000, 5
+    hashes = {}
+    for epoch in range(5):
+        own = F.xxhash64("doc_id", "text")
+        for x in frame.select("note", F.xxhash64(F.lit(seed), F.lit(epoch).cast("long"), own).alias("h"), F.xxhash64("doc_id", "note").alias("tie")).collect():
+            hashes[epoch, x.note] = x.h % 2**64, x.tie
+    tokens = Counter()
+    for _, t, source, _ in docs:
+        tokens[source,] += len(t.split())
+    want = []
+    for leaf, budget in budgets(dict(tokens), total, {("s1",): 3.0}, 4).items():
+        mine = [(note, len(t.split())) for _, t, source, note in docs if source == leaf[0]]
+        whole, rest = divmod(budget, tokens[leaf])
+        want += [(note, e, n) for e in range(whole) for note, n in mine]
+        for note, n in sorted(mine, key=lambda x: (hashes[whole, x[0]][0], x[1], hashes[whole, x[0]][1])):
+            if rest > 0:
+                want.append((note, whole, min(n, rest)))
+                rest -= n
+    found = mix(frame.repartition(5), [("source", F.col("source"))], {("s1",): 3.0}, total, epochs=4, seed=seed, keep=["doc_id", "note"])
+    assert sorted((x.note, x.epoch, x.take_tokens) for x in found.collect()) == sorted(want)
+
+
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix(frame, [("source", F.col("source"))], {}, 0.5).collect() == []

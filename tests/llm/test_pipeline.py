@@ -5,6 +5,10 @@ import pytest
 
 import corpus_pipeline
 from fathom.llm import queries, stages
+from fathom.llm.quality import quality
+from fathom.llm.toxicity import toxicity
+
+from . import helpers
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -23,6 +27,39 @@ def test_stages_follow_each_other_and_take_effect(spark):
     assert sorted(map(str, packed.select("doc_id", "start", "length").collect())) == sorted(map(str, corpus_pipeline.run(spark, SF).select("doc_id", "start", "length").collect()))
 
 
+def test_each_stage_does_what_its_operator_decides(spark):
+    """On all rows of the small table, with rows that must go added."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = docs.where("doc_id < 20 and text is not null").collect()
+    near = [(10**6 + k, r.text + " end", *r[2:]) for k, r in enumerate(some)]
+    docs = docs.union(spark.createDataFrame(near, docs.schema)).union(spark.createDataFrame([(10**7, "too short", *some[0][2:])], docs.schema))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+
+    scores = {r.doc_id: r.score for r in toxicity(docs, labels).collect()}
+    left = ids(stages.toxicity(spark, docs, SF))
+    assert left == sorted(d for d in texts if scores[d] < 0.5)
+
+    verdicts = {r.doc_id: r.kept for r in quality(docs, labels)[0].collect()}
+    left = ids(stages.quality_rules(spark, docs, SF))
+    assert left == sorted(d for d in texts if verdicts[d]) and 10**7 not in left
+
+    groups = helpers.near_groups(texts, 5, 80)
+    left = ids(stages.near_dedup(spark, docs, SF))
+    assert left == sorted(d for d, (_, c) in groups.items() if c == d) and len(left) < len(texts) - 10
+
+    mixed = {r.doc_id: r for r in stages.mixing(spark, docs, SF).collect()}
+    total = sum(len(helpers.words(t)) for t in texts.values())
+    assert sum(len(helpers.words(r.text)) for r in mixed.values()) == int(0.75 * total)
+    cut = [d for d, r in mixed.items() if r.text != texts[d]]
+    assert all(texts[d].startswith(mixed[d].text) and mixed[d].n_chars == len(mixed[d].text) for d in cut)
+    assert 0 < len(cut) <= len({(r.lang, r.source) for r in mixed.values()})
+
+
+def ids(frame):
+    return sorted(r.doc_id for r in frame.collect())
+
+
 @pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES[:-1]])
 def test_stages_take_odd_rows_and_clashing_columns(spark, stage):
     rows = [(1, "a b c d e f " * 20, "en", "src0", 3, "x", 1), (1, "a b c d e f " * 20, "en", "src0", 3, "x", 1), (None, None, None, None, None, None, None), (2, "", "de", "odd", 0, "y", 2)]
