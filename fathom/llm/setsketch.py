@@ -23,6 +23,7 @@ components are named by doc_id.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ REGISTERS, ROWS = 96, 4  # 24 bands; a pair at 0.8 meets in none of them once in
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 FEW = 32  # members of a bucket that all meet
 CHUNK = 1 << 14  # shingles hashed at a time, so that the work stays in cache
-PIECE = 1 << 22  # bytes of text hashed at a time
+PIECE = 1 << 20  # bytes of text hashed at a time
 
 _rng = np.random.default_rng(20240917)
 _BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -44,6 +45,7 @@ _MUL = _rng.integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.u
 _ADD = _rng.integers(1, 2**63, REGISTERS, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _BACK = np.uint64(pow(int(_STEP), -1, 2**64))
+_BREAK = re.compile(rb"[\t-\r ]")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[str, np.ndarray] = {}
@@ -80,16 +82,28 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     return out
 
 
+def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word and where it begins. PIECE bytes are held at a time, or one word."""
+    hashes, begins, at = [], [], 0
+    while at < len(text):
+        found = _BREAK.search(text, at + PIECE) if at + PIECE < len(text) else None
+        end = found.end() if found else len(text)
+        data = np.frombuffer(text, np.uint8, end - at, at)
+        edge = np.flatnonzero(np.diff(_SPACE[data].astype(np.int8), prepend=1, append=1))
+        first, last = edge[::2], edge[1::2]  # word i is data[first[i]:last[i]]
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.multiply(_BYTES[data], _power(_STEP, len(data))[: len(data)], out=sums[1:])
+        np.cumsum(sums, out=sums)
+        hashes.append(_mix((sums[last] - sums[first]) * _power(_BACK, len(data))[first] + (last - first).astype(np.uint64)))
+        begins.append(first + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(begins)
+
+
 def _sets_of(blobs: list[bytes], words: int) -> list[np.ndarray]:
-    data = np.frombuffer(b" ".join(blobs) + b" ", np.uint8)
     ends = np.cumsum([len(b) + 1 for b in blobs])
-    space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1, append=1))
-    first, last = edge[::2], edge[1::2]  # word i is data[first[i]:last[i]]
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTES[data] * _power(_STEP, len(data))[: len(data)], out=sums[1:])
-        word = _mix((sums[last] - sums[first]) * _power(_BACK, len(data))[first] + (last - first).astype(np.uint64))
+        word, first = _words(b" ".join(blobs) + b" ")
         of = np.searchsorted(first, np.concatenate([[0], ends]))  # words of document d are of[d]:of[d + 1]
         mul = [np.uint64(pow(int(_STEP), i + 1, 2**64)) for i in range(words)]
         n = max(0, len(word) - words + 1)

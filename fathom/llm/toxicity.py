@@ -33,7 +33,7 @@ SIGNIFICANT = 6.0
 #: Features kept, labelled rows that must hold one, and the lengths of word beginnings that
 #: are features beside whole words (so that a stem counts whatever its ending).
 WORDS, SUPPORT, STEMS = 2_000, 5, (4, 5, 6)
-CACHE, LONG = 200_000, 64  # tokens whose words a worker keeps, and the longest of these
+CACHE, LONG = 100_000, 64  # tokens whose words a worker keeps, and the longest of these
 
 _CODE = np.full(256, 27, np.int32)
 _CODE[:128] = 0

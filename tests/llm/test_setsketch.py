@@ -72,7 +72,13 @@ def test_sketches_merge_and_estimate():
     assert abs(joint_estimate([len(np.unique(x))], [len(both)], np.array([(one > two).sum()]), np.array([(one < two).sum()]))[0] - true) < 5 / REGISTERS**0.5
 
 
-def test_long_texts_are_read_whole():
+def test_long_texts_are_read_whole(monkeypatch):
+    r = random.Random(4)
+    some = [" ".join(r.choice(["a", "bc", "d" * 40, "é\t", "\n"]) for _ in range(r.randint(0, 60))) for _ in range(50)]
+    whole = [x.tolist() for x in shingle_sets(some, 3)]
+    monkeypatch.setattr("fathom.llm.setsketch.PIECE", 16)
+    assert [x.tolist() for x in shingle_sets(some, 3)] == whole and [len(x) for x in whole] == [len(helpers.shingles(x, 3)) for x in some]
+    monkeypatch.undo()
     long = " ".join(f"x{i}" for i in range(200_000))
     one, two = shingle_sets([long, long + " end"], 5)
     assert (len(one), len(two)) == (199_996, 199_997)
