@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boost import Boosted
+from .common import lean
 
 _RAW = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style", "title", "textarea", "iframe")}
 _NAME_END = re.compile(r"[\s/>]")
@@ -394,6 +395,7 @@ def main_text(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
     model = model or shipped_model()
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 100):

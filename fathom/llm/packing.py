@@ -31,6 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 TIERS = (512, 1024, 2048, 4096)
 END = 2
 STEP_TOKENS = 8 * 4096
@@ -304,6 +306,7 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, s
     partition's last ones. step_id groups sequences of equal size into equal token counts.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         packer, encode = Packer((task.partitionId() if task else 0) << 40, tiers, step_tokens), encoder(tokenizer_path).encode

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, saved
+from .common import components, discard, lean, saved
 
 REGISTERS, ROWS = 96, 4  # 24 bands; a pair at 0.8 meets in none of them once in 3e5
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
@@ -183,6 +183,7 @@ def joint_estimate(n_a, n_b, greater, less) -> np.ndarray:
 def _sketch_pass(words: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sketch", pa.binary())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -204,6 +205,7 @@ def _sketch_pass(words: int):
 
 
 def _set_pass(words: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -215,6 +217,7 @@ def _set_pass(words: int):
     return run, "id long, set array<long>"
 
 
+@lean
 def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds est to (a, b, na, nb, sa, sb) and drops the sketches."""
     for batch in batches:

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import discard, lean, saved
+
 ORDER, LETTERS = 4, 28  # 0 is a word's edge, 1-26 are a-z, 27 any other letter
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 SWAP, DROP, SPLIT, REPEAT = math.log(0.2), math.log(0.3), math.log(0.1), math.log(0.08)
@@ -48,6 +50,7 @@ _ASCII_UNREAD = "".join(c for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" if c not
 _TRIM = re.compile(rf"^(?:(?![{_UNREAD}])[\W_])+|(?:(?![{_UNREAD}])[\W_])+$")
 
 
+@lean
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each partition's character 4-grams: gram, n."""
     total = np.zeros(LETTERS**ORDER, np.int64)
@@ -304,6 +307,7 @@ def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, sample: int = SAMP
     )
     model = spark.sparkContext.broadcast(lm)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model.value)
         for batch in batches:
@@ -311,8 +315,6 @@ def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, sample: int = SAMP
                 part = batch.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sorted(restorer.words(t)) for t in part.column(1).to_pylist()], pa.list_(pa.string()))], names=["toxic", "words"])
 
-    from .common import discard, saved
-
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = saved(texts.join(F.broadcast(used), "doc_id").select("toxic", "text").mapInArrow(run, "toxic int, words array<string>"), "restored")
     n, bad = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -339,6 +341,7 @@ def score(docs: DataFrame, lm: np.ndarray, intercept: float, weights: dict[str,
     names = docs.columns
     text_at = names.index("text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, weigh = model.value
         table = table.tolist()
