@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .operators import aggregate, feedback, order, store
-from .plans.compiler import Compiler, Node, Schema, compile_query, corpus
+from .plans.compiler import Compiler, Node, Schema, compile_query, corpus, tokenised
 
 
 class Index:
@@ -46,7 +46,8 @@ class Index:
 
     def _weighed(self, node: Node) -> DataFrame:
         stats = corpus(self.schema, node.terms)
-        return self.frame.where(F.coalesce(node.match, F.lit(False))).withColumn("_weight", node.weight(stats).cast("double"))
+        hits = tokenised(self.schema, self.frame.where(F.coalesce(node.match, F.lit(False))), node.terms)
+        return hits.select(*[F.col(f"`{c}`") for c in self.frame.columns], node.weight(stats).cast("double").alias("_weight"))
 
     def search(self, query: object = "*", sort: object = None, offset: int = 0, limit: int = 10, collapse: str | None = None, collapse_max: int = 1, selector: str | None = None, metric: str | None = None, ranked: bool = False) -> DataFrame:
         """A page of hits; by relevance where there is no sort. ranked adds _weight, _rank and _percent."""

@@ -1,7 +1,8 @@
 """Geometry on the sphere: EWKT and object constructors, containment, distance, trixel ids.
 
-Points are (longitude, latitude) in degrees (SRID 4326). Tests are exact on the sphere and
-come out as Spark expressions over two columns; the trixel id of a point (hierarchical
+Points are (longitude, latitude) in degrees (SRID 4326). Tests are exact on the sphere, with
+great-circle edges, and come out as Spark expressions over two columns, after a test of a
+bounding box that scans can use; the trixel id of a point (hierarchical
 triangular mesh) is an Arrow-batched function.
 """
 
@@ -16,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .crs import to_wgs84
+
 EARTH_M = 6_371_000.0
 UNITS = {"nmi": 1852.0, "mi": 1609.344, "km": 1000.0, "m": 1.0, "cm": 0.01, "mm": 0.001, "ft": 0.3048, "in": 0.0254, "yd": 0.9144, "NM": 1852.0}
 KINDS = ("POINT", "CIRCLE", "CONVEX", "POLYGON", "CHULL", "MULTIPOINT", "MULTICIRCLE", "MULTICONVEX", "MULTIPOLYGON", "MULTICHULL", "GEOMETRYCOLLECTION", "GEOMETRYINTERSECTION")
@@ -35,15 +38,54 @@ class Geometry:
         x, y, z = (sum(v[k] for v in vectors) for k in range(3))
         return math.degrees(math.atan2(y, x)), math.degrees(math.atan2(z, math.hypot(x, y)))
 
+    def moved(self, srid: int) -> Geometry:
+        """The geometry of another reference system in WGS 84."""
+        return Geometry(self.kind, [to_wgs84(*p, srid) for p in self.points], self.radius, [g.moved(srid) for g in self.parts])
+
+    def cap(self) -> tuple[float, float, float] | None:
+        """Longitude, latitude and radius (radians) of a circle around it; null if it is none of less than a hemisphere."""
+        if self.kind == "CIRCLE":
+            return *self.points[0], self.radius / EARTH_M
+        if self.kind == "POINT":
+            return *self.points[0], 1e-9
+        inner = [((lon, lat), 0.0) for lon, lat in self.points] or [(c[:2], c[2]) for c in (g.cap() for g in self.parts) if c]
+        if not inner or self.parts and len(inner) < len(self.parts):
+            return None
+        if self.kind in ("CONVEX", "GEOMETRYINTERSECTION"):
+            return min((c for c in (g.cap() for g in self.parts) if c), key=lambda c: c[2])
+        middle = self.centroid()
+        around = max(math.acos(max(-1.0, min(1.0, _dot(unit(*p), unit(*middle))))) + r for p, r in inner)
+        return (*middle, around + 1e-9) if around < math.pi / 2 - 1e-6 else None
+
+    def within_box(self, lon: Column, lat: Column) -> Column:
+        """A test on the bare columns, which a scan can use, that every point of the geometry passes.
+
+        Longitudes are taken to be from -180 to 180 where it bounds them.
+        """
+        cap = self.cap()
+        if cap is None:
+            return F.lit(True)
+        at, up, r = cap[0], math.radians(cap[1]), cap[2] + 1e-9
+        low, high = math.degrees(up - r), math.degrees(up + r)
+        out = (lat >= low) & (lat <= high)
+        if low > -90 and high < 90:
+            wide = math.degrees(math.asin(min(1.0, math.sin(r) / math.cos(up)))) + 1e-9
+            if -180 <= at - wide and at + wide <= 180:
+                out = out & (lon >= at - wide) & (lon <= at + wide) | (lon < -180) | (lon > 180)
+        return out
+
     def contains(self, lon: Column, lat: Column) -> Column:
         """Whether the point of two columns is in the geometry."""
+        return self.within_box(lon, lat) & self._holds(lon, lat)
+
+    def _holds(self, lon: Column, lat: Column) -> Column:
         if self.kind == "POINT":
             return angle(lon, lat, *self.points[0]) <= 1e-9
         if self.kind == "CIRCLE":
             return angle(lon, lat, *self.points[0]) <= self.radius / EARTH_M
         if self.kind in ("POLYGON", "CHULL"):
             return _in_ring(lon, lat, hull(self.points) if self.kind == "CHULL" else self.points)
-        tests = [g.contains(lon, lat) for g in self.parts]
+        tests = [g._holds(lon, lat) for g in self.parts]
         out = tests[0] if tests else F.lit(False)
         for t in tests[1:]:
             out = out & t if self.kind in ("CONVEX", "GEOMETRYINTERSECTION") else out | t
@@ -63,33 +105,80 @@ def angle(lon: Column, lat: Column, to_lon: float, to_lat: float) -> Column:
     return F.acos(F.least(F.greatest(dot, F.lit(-1.0)), F.lit(1.0)))
 
 
+def mean_place(lon: Column, lat: Column) -> list[Column]:
+    """Aggregates _longitude and _latitude of the mean of unit vectors, right across 180 degrees."""
+    a, b = F.radians(lon), F.radians(lat)
+    x, y, z = F.avg(F.cos(b) * F.cos(a)), F.avg(F.cos(b) * F.sin(a)), F.avg(F.sin(b) + a * 0)
+    return [F.degrees(F.atan2(y, x)).alias("_longitude"), F.degrees(F.atan2(z, F.sqrt(x * x + y * y))).alias("_latitude")]
+
+
+def _cross(u: tuple, v: tuple) -> tuple[float, float, float]:
+    return u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]
+
+
+def _dot(u: tuple, v: tuple) -> float:
+    return u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+
+
 def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """The convex hull, counter-clockwise, in degrees."""
+    """The convex hull on the sphere, counter-clockwise from outside, of points of one hemisphere.
+
+    The points are projected from the centre onto the plane that touches the sphere at their
+    mean, where great circles are straight lines.
+    """
     pts = sorted(set(points))
     if len(pts) < 3:
         return pts
+    vectors = [unit(*p) for p in pts]
+    mean = tuple(sum(v[k] for v in vectors) for k in range(3))
+    size = math.sqrt(_dot(mean, mean))
+    mean = tuple(x / size for x in mean) if size > 1e-9 else (0.0, 0.0, 1.0)
+    if min(_dot(v, mean) for v in vectors) <= 1e-9:
+        raise ValueError("the points of a convex hull must lie within a hemisphere")
+    east = _cross((0.0, 0.0, 1.0), mean) if abs(mean[2]) < 0.9 else _cross((1.0, 0.0, 0.0), mean)
+    north = _cross(mean, east)
+    plane = sorted((_dot(v, east) / _dot(v, mean), _dot(v, north) / _dot(v, mean), p) for v, p in zip(vectors, pts, strict=True))
 
     def half(seq):
         out: list = []
         for p in seq:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 1e-15:
                 out.pop()
             out.append(p)
         return out[:-1]
 
-    return half(pts) + half(reversed(pts))
+    return [p for _, _, p in half(plane) + half(plane[::-1])]
 
 
 def _in_ring(lon: Column, lat: Column, ring: list[tuple[float, float]]) -> Column:
-    """Even-odd rule along the meridian; edges run straight in longitude and latitude."""
+    """Whether the point is within the ring, whose edges are great-circle arcs.
+
+    Even-odd rule: the meridian from the point to the north pole crosses an edge if the edge
+    spans the point's longitude and passes north of it, and once more for a ring around the
+    pole. The side of an edge is the sign of a product with the normal of its great circle.
+    """
     pts = ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring
-    crossings = F.lit(0)
-    for (x1, y1), (x2, y2) in zip(pts, [*pts[1:], pts[0]], strict=True):
-        if y1 == y2:
+    a, b = F.radians(lon), F.radians(lat)
+    point = F.cos(b) * F.cos(a), F.cos(b) * F.sin(a), F.sin(b)
+    crossings, turns = F.lit(0), 0.0
+    for p, q in zip(pts, [*pts[1:], pts[0]], strict=True):
+        span = (q[0] - p[0] + 540.0) % 360.0 - 180.0  # the shorter way from p to q
+        if span == -180.0 or span == 0.0:
             continue
-        across = (F.lit(min(y1, y2)) <= lat) & (lat < F.lit(max(y1, y2)))
-        crossings = crossings + (across & (lon < (lat - y1) * ((x2 - x1) / (y2 - y1)) + x1)).cast("int")
-    return crossings % 2 == 1
+        turns += span
+        west = p[0] if span > 0 else q[0]
+        off = F.pmod(lon - west, F.lit(360.0))
+        normal = _cross(unit(*p), unit(*q)) if span > 0 else _cross(unit(*q), unit(*p))
+        below = point[0] * normal[0] + point[1] * normal[1] + point[2] * normal[2] < 0  # south of an edge going east
+        crossings = crossings + ((off < abs(span)) & below).cast("int")
+    around = round(turns / 360.0) % 2 == 1  # the pole is inside, or outside of a ring around the other one
+    pole = around and _pole_inside(pts)
+    return crossings % 2 == (0 if pole else 1)
+
+
+def _pole_inside(pts: list[tuple[float, float]]) -> bool:
+    """Whether a ring around the earth's axis holds the north pole: the nearer one is inside."""
+    return sum(p[1] for p in pts) > 0
 
 
 def radius_of(value: str | float) -> float:
@@ -103,17 +192,13 @@ def radius_of(value: str | float) -> float:
 
 
 def parse_ewkt(text: str) -> Geometry:
-    """A geometry of EWKT, with an optional SRID=4326; prefix."""
+    """A geometry of EWKT, in WGS 84 or the system that an SRID=n; prefix names (see crs)."""
     body = text.strip()
     m = re.match(r"(?i)srid\s*=\s*(\d+)\s*;\s*", body)
-    if m:
-        if m[1] != "4326":
-            raise ValueError(f"SRID {m[1]} isn't supported")
-        body = body[m.end() :]
-    out, rest = _geometry(body)
+    out, rest = _geometry(body[m.end() :] if m else body)
     if rest.strip():
         raise ValueError(f"text after the geometry: {rest!r}")
-    return out
+    return out.moved(int(m[1])) if m else out
 
 
 def _group(text: str) -> tuple[str, str]:

@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dates, geo
-from ..functions.text import tokens
-from ..plans.compiler import Schema, compile_query
+from ..plans.compiler import Compiler, Schema, compile_query
 
 METRICS = ("_count", "_sum", "_avg", "_min", "_max", "_variance", "_std_deviation", "_std", "_median", "_mode", "_stats", "_extended_stats", "_cardinality", "_percentiles", "_percentiles_rank", "_geo_bounds", "_geo_centroid")
 BUCKETS = ("_values", "_value", "_terms", "_term", "_histogram", "_range", "_filter", "_date_histogram", "_date_range", "_missing", "_geo_distance", "_geo_trixels")
+#: Buckets that the query lists, fewer than BUCKET_LIMIT.
+FEW = ("_range", "_filter", "_date_range", "_missing", "_geo_distance")
 BUCKET_LIMIT = 10_000
 
 
@@ -89,10 +90,14 @@ class Aggregator:
         self.schema, self.docs = schema, docs
 
     def frames(self, nodes: list[Node]) -> dict[str, DataFrame]:
-        """A DataFrame for each path a.b.c of the tree's nodes."""
+        """A DataFrame for each path a.b.c of the tree's nodes, with its ancestors' keys: key, key_1, ...
+
+        Within, keys have reserved names, so that documents may have columns of these names.
+        """
         out: dict[str, DataFrame] = {}
         self._level(nodes, self.docs, [], "", out)
-        return out
+        public = {f"__key_{k}": f"key_{k}" if k else "key" for k in range(20)}
+        return {name: frame.withColumnsRenamed({c: public[c] for c in frame.columns if c in public}) for name, frame in out.items()}
 
     def _values(self, name: str, docs: DataFrame, keys: list[str]) -> tuple[DataFrame, T.DataType]:
         f = self.schema.find(name)
@@ -107,19 +112,21 @@ class Aggregator:
             if not node.is_bucket:
                 out[at] = self.metric(node, docs, keys)
                 continue
-            key = f"key_{len(keys)}" if keys else "key"
+            key = f"__key_{len(keys)}"
             rows = self.bucketed(node, docs, key)
             counts = rows.groupBy(*keys, key).agg(F.count("*").alias("doc_count"))
             least = int(node.spec.get("_min_doc_count", 1))
             inner: dict[str, DataFrame] = {}
             self._level(node.children, rows, [*keys, key], at, inner)
             out[at] = self.limited(node, counts.where(F.col("doc_count") >= least), keys, key, {n[len(at) + 1 :]: d for n, d in inner.items()})
+            if node.kind not in FEW or "_limit" in node.spec or least > 1:  # what a bucket that was cut holds goes with it
+                inner = {n: d.join(out[at].select(*keys, key), [*keys, key], "left_semi").select(*[F.col(f"`{c}`") for c in d.columns]) for n, d in inner.items()}
             out |= inner
 
     def metric(self, node: Node, docs: DataFrame, keys: list[str]) -> DataFrame:
         if node.kind in ("_geo_bounds", "_geo_centroid"):
             lon, lat = self.schema.points[node.spec["_field"]]
-            cols = [F.min(lat).alias("_bottom"), F.max(lat).alias("_top"), F.min(lon).alias("_left"), F.max(lon).alias("_right")] if node.kind == "_geo_bounds" else [F.avg(lon).alias("_longitude"), F.avg(lat).alias("_latitude")]
+            cols = [F.min(lat).alias("_bottom"), F.max(lat).alias("_top"), F.min(lon).alias("_left"), F.max(lon).alias("_right")] if node.kind == "_geo_bounds" else geo.mean_place(lon, lat)
             return docs.groupBy(*keys).agg(*cols)
         rows, kind = self._values(node.spec["_field"], docs, keys)
         return rows.groupBy(*keys).agg(*[c.alias(n) for n, c in metric_columns(node, F.col("__v"), kind)])
@@ -142,8 +149,7 @@ class Aggregator:
             return self._ranges(spec, docs.withColumn("__v", geo.angle(lon, lat, *shape.centroid()) * geo.EARTH_M), key, float)
         if kind in ("_terms", "_term"):
             f = self.schema.find(spec["_field"])
-            source = F.array_join(f.column, " ") if f.array else f.column
-            return docs.select("*", F.explode(F.array_distinct(tokens(source))).alias(key))
+            return docs.select("*", F.explode(F.array_distinct(Compiler(self.schema).tokens(f))).alias(key))
         rows, element = self._values(spec["_field"], docs, [])
         rows = rows.where(F.col("__v").isNotNull())
         if kind in ("_values", "_value"):

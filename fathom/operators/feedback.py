@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from ..plans.compiler import Compiler, Field, Node, Schema
@@ -20,12 +18,16 @@ def expansion(schema: Schema, f: Field, ids: list, id_field: str, n_eset: int =
     toks = Compiler(schema).tokens(f)
     rows = schema.frame.select(F.col(id_field).isin(ids).alias("given"), F.array_distinct(toks).alias("ws"))
     given = rows.where("given").select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("r"))
-    everywhere = rows.select(F.explode("ws").alias("w")).join(F.broadcast(given.select("w")), "w").groupBy("w").agg(F.count("*").alias("n"))
-    total, size = schema.frame.count(), len(ids)
+    # The words of the few given documents: what is broadcast doesn't grow with the corpus.
+    everywhere = rows.select(F.explode("ws").alias("w")).join(F.broadcast(given), "w").groupBy("w", "r").agg(F.count("*").alias("n"))
+    if "n" not in schema.known:
+        schema.known["n"] = schema.frame.count()
+    total, size = schema.known["n"], len(ids)
     r, n = F.col("r"), F.col("n")
     weight = r * F.log((r + 0.5) * (total - n - size + r + 0.5) / ((n - r + 0.5) * (size - r + 0.5)))
-    best = given.join(everywhere, "w").select("w", F.round(weight, 9).alias("weight")).where("weight > 0").orderBy(F.desc("weight"), "w").limit(n_eset)
-    return [(x.w, x.weight) for x in best.collect()]
+    best = everywhere.select("w", "n", F.round(weight, 9).alias("weight")).where("weight > 0").orderBy(F.desc("weight"), "w").limit(n_eset).collect()
+    schema.known.setdefault("df", {}).update({(f.key, x.w): x.n for x in best})
+    return [(x.w, x.weight) for x in best]
 
 
 def expanded(schema: Schema, f: Field, ids: list, id_field: str, n_eset: int = N_ESET, n_term: int = N_TERM) -> Node:
@@ -33,7 +35,3 @@ def expanded(schema: Schema, f: Field, ids: list, id_field: str, n_eset: int = N
     words = [w for w, _ in expansion(schema, f, ids, id_field, n_eset)]
     comp = Compiler(schema)
     return comp.elite([comp.word(f, w) for w in words], n_term) if words else Node(F.lit(False), lambda _: F.lit(0.0))
-
-
-def trade_weight(r: int, size: int, n: int, total: int) -> float:
-    return r * math.log((r + 0.5) * (total - n - size + r + 0.5) / ((n - r + 0.5) * (size - r + 0.5)))

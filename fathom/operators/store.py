@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VERSION = "_version"
+_HELD, _OLD, _MOVED = "__held", "__old", "__moved"
 
 
 class VersionConflict(Exception):
@@ -24,8 +25,16 @@ def latest(df: DataFrame, key: str, order: str = VERSION) -> DataFrame:
     return df.withColumn("__r", rank).where("__r = 1").drop("__r")
 
 
+def single(df: DataFrame, key: str) -> DataFrame:
+    """One row of each key: the last one by version if there is one, else by all columns."""
+    if VERSION in df.columns:
+        return latest(df, key)
+    return latest(df.withColumn("__v", F.lit(0)), key, "__v").drop("__v")
+
+
 def put(store: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Replaces or adds the new documents."""
+    """Replaces or adds the new documents; of several of one key the last counts (see single)."""
+    new = single(new, key)
     return store.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
@@ -60,12 +69,12 @@ def _joined(store: DataFrame, new: DataFrame, key: str, how: str) -> DataFrame:
 
 def update(store: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Merges new documents into stored ones; keys that aren't stored are left out."""
-    return _joined(store, new, key, "left")
+    return _joined(store, single(new, key), key, "left")
 
 
 def upsert(store: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Merges new documents into stored ones or adds them."""
-    return _joined(store, new, key, "full")
+    return _joined(store, single(new, key), key, "full")
 
 
 def checked(store: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -98,27 +107,32 @@ def union_indexes(*frames: DataFrame) -> DataFrame:
 def patch(df: DataFrame, ops: list[dict]) -> DataFrame:
     """Applies patch operations to every row: add, remove, replace, copy, move, incr, decr, test.
 
-    Paths are JSON pointers to columns and struct fields. A test that fails leaves its row as
-    it was. incr and decr stop at an optional limit.
+    Paths are JSON pointers to columns, struct fields and array elements ("-" adds at the end;
+    add inserts). Operations see what those before them did. All tests of a row must hold, or
+    the row stays as it was; where there are tests, a field that is removed is null instead,
+    as rows whose tests fail still have it. incr and decr stop at an optional limit.
     """
-    out, held = df, F.lit(True)
+    tests = any(op["op"] == "test" for op in ops)
+    out = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(_OLD), "*", F.lit(True).alias(_HELD))
     for op in ops:
         kind, path = op["op"], _parts(op["path"])
         if kind == "test":
-            held = held & F.coalesce(_at(path) == F.lit(op["value"]), F.lit(False))
-            out = out.withColumn("__held", held) if "__held" not in out.columns else out.withColumn("__held", F.col("__held") & held)
-            held = F.lit(True)
+            value = F.array(*map(F.lit, op["value"])) if isinstance(op["value"], list) else F.lit(op["value"])
+            held = _at(path).isNull() if op["value"] is None else F.coalesce(_at(path) == value, F.lit(False))
+            out = out.withColumn(_HELD, F.col(_HELD) & held)
             continue
-        ok = F.col("__held") if "__held" in out.columns else F.lit(True)
+        if kind in ("remove", "replace", "incr", "decr") and not _has(out.schema, path):
+            raise ValueError(f"nothing at {op['path']!r}")
         if kind == "remove":
-            out = _drop(out, path)
+            out = _drop(out, path, tests)
             continue
         if kind in ("add", "replace"):
-            if kind == "replace" and not _has(out.schema, path):
-                raise ValueError(f"nothing at {op['path']!r}")
             value = F.lit(op["value"]) if not isinstance(op["value"], list) else F.array(*map(F.lit, op["value"]))
         elif kind in ("copy", "move"):
             value = _at(_parts(op["from"]))
+            if kind == "move":
+                out, value = out.withColumn(_MOVED, value), F.col(_MOVED)
+                out = _drop(out, _parts(op["from"]), tests)
         elif kind in ("incr", "decr"):
             step = op.get("value", 1)
             value = _at(path) + (step if kind == "incr" else -step)
@@ -126,14 +140,20 @@ def patch(df: DataFrame, ops: list[dict]) -> DataFrame:
                 value = F.least(value, F.lit(op["limit"])) if kind == "incr" else F.greatest(value, F.lit(op["limit"]))
         else:
             raise ValueError(f"unknown operation {kind!r}")
-        if _has(out.schema, path):
-            value = F.when(ok, value).otherwise(_at(path))
-        else:
-            value = F.when(ok, value)
-        out = _set(out, path, value)
-        if kind == "move":
-            out = _drop(out, _parts(op["from"]))
-    return out.drop("__held")
+        out = _set(out, path, value, insert=kind not in ("replace", "incr", "decr")).drop(_MOVED)
+    if not tests:
+        return out.drop(_HELD, _OLD)
+    old = df.schema
+    stayed = lambda c: _conformed(F.col(_OLD)[c], old[c].dataType, out.schema[c].dataType) if c in old.names else F.lit(None)
+    return out.select(*[F.when(F.col(_HELD), F.col(f"`{c}`")).otherwise(stayed(c)).alias(c) for c in out.columns if c not in (_HELD, _OLD)])
+
+
+def _conformed(value: Column, old: T.DataType, new: T.DataType) -> Column:
+    """A value of the old type in the new one, which may have more fields."""
+    if isinstance(old, T.StructType) and isinstance(new, T.StructType) and old != new:
+        fields = [(_conformed(value[f.name], old[f.name].dataType, f.dataType) if f.name in old.names else F.lit(None).cast(f.dataType)).alias(f.name) for f in new.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value
 
 
 def _parts(pointer: str) -> list[str]:
@@ -161,10 +181,45 @@ def _has(schema: T.StructType, path: list[str]) -> bool:
     return True
 
 
-def _set(df: DataFrame, path: list[str], value: Column) -> DataFrame:
-    top = F.col(f"`{path[0]}`")
-    return df.withColumn(path[0], value if len(path) == 1 else top.withField(".".join(f"`{p}`" for p in path[1:]), value))
-
-
-def _drop(df: DataFrame, path: list[str]) -> DataFrame:
-    return df.drop(path[0]) if len(path) == 1 else df.withColumn(path[0], F.col(f"`{path[0]}`").dropFields(".".join(f"`{p}`" for p in path[1:])))
+def _set(df: DataFrame, path: list[str], value: Column, insert: bool = False) -> DataFrame:
+    if len(path) == 1:
+        return df.withColumn(path[0], value)
+    return df.withColumn(path[0], _set_in(F.col(f"`{path[0]}`"), df.schema[path[0]].dataType, path[1:], value, insert))
+
+
+def _set_in(at: Column, kind: T.DataType, path: list[str], value: Column, insert: bool) -> Column:
+    """`at` with the value at the path below it; beyond an array's end it is added there."""
+    if not path:
+        return value
+    head, rest = path[0], path[1:]
+    if isinstance(kind, T.ArrayType):
+        if head == "-" and not rest:
+            return F.concat(at, F.array(value))
+        if not head.isdigit():
+            raise ValueError(f"not an array's place: {head!r}")
+        k = int(head)
+        if insert and not rest:
+            return F.concat(F.slice(at, F.lit(1), F.lit(k)), F.array(value), F.slice(at, F.lit(k + 1), F.greatest(F.size(at), F.lit(0))))
+        return F.transform(at, lambda x, i: F.when(i == k, _set_in(x, kind.elementType, rest, value, insert)).otherwise(x))
+    below = kind[head].dataType if isinstance(kind, T.StructType) and head in kind.names else T.NullType()
+    return at.withField(f"`{head}`", _set_in(at[head], below, rest, value, insert) if rest else value)
+
+
+def _drop(df: DataFrame, path: list[str], blank: bool) -> DataFrame:
+    """df without what is at the path; with blank, fields are null instead."""
+    if len(path) > 1:
+        return df.withColumn(path[0], _without(F.col(f"`{path[0]}`"), df.schema[path[0]].dataType, path[1:], blank))
+    return df.withColumn(path[0], F.lit(None).cast(df.schema[path[0]].dataType)) if blank else df.drop(path[0])
+
+
+def _without(at: Column, kind: T.DataType, path: list[str], blank: bool) -> Column:
+    head, rest = path[0], path[1:]
+    if isinstance(kind, T.ArrayType):
+        k = int(head)
+        if not rest:
+            return F.filter(at, lambda _, i: i != k)
+        return F.transform(at, lambda x, i: F.when(i == k, _without(x, kind.elementType, rest, True)).otherwise(x))
+    below = kind[head].dataType
+    if rest:
+        return at.withField(f"`{head}`", _without(at[head], below, rest, blank))
+    return at.withField(f"`{head}`", F.lit(None).cast(below)) if blank or len(kind.names) == 1 else at.dropFields(f"`{head}`")

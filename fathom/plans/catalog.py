@@ -115,7 +115,7 @@ filtered("filter_global", "orders", {"_value": "1-URGENT"}, ["o_orderkey"], "low
 filtered("filter_accuracy_num", "orders", {"o_totalprice._10000": 123456}, ["o_orderkey"], "floor(o_totalprice / 10000) = 12")
 filtered("filter_accuracy_date", "orders", {"o_orderdate._month": "1997-06-17"}, ["o_orderkey"], "date_trunc('month', o_orderdate) = TIMESTAMP '1997-06-01'")
 filtered("filter_accuracy_decade", "orders", {"o_orderdate._decade": "1993-01-01"}, ["o_orderkey"], "year(o_orderdate) BETWEEN 1990 AND 1999")
-filtered("filter_list", "nation", {"n_name": ["FRANCE", "GERMANY"]}, ["n_nationkey"], "n_name IN ('FRANCE', 'GERMANY')")
+filtered("filter_list", "orders", {"o_orderpriority": ["1-URGENT", "5-low"]}, ["o_orderkey"], "o_orderpriority IN ('1-URGENT', '5-LOW')")
 filtered("match_all", "nation", "*", ["n_nationkey"], "true")
 filtered("match_none", "nation", {"_match_none": True}, ["n_nationkey"], "false")
 filtered("id_query", "orders", {"_id": 7}, ["o_orderkey", "o_totalprice"], "o_orderkey = 7")
@@ -190,8 +190,18 @@ aggregated("bucket_sort_count_asc", "part", {"b": {"_values": {"_field": "p_name
 aggregated("bucket_sort_metric", "part", {"b": {"_values": {"_field": "p_brand", "_sort": {"m._avg": "desc"}, "_limit": 5}, "_aggs": {"m": {"_avg": {"_field": "p_retailprice"}}}}}, "b", "SELECT p_brand AS key, count(*) AS doc_count FROM part GROUP BY 1 ORDER BY avg(p_retailprice) DESC, 1 DESC LIMIT 5")
 aggregated("bucket_sort_deep", "orders", {"b": {"_values": {"_field": "o_orderpriority", "_sort": {"s._std_deviation_bounds._upper": "asc"}, "_limit": 3}, "_aggs": {"s": {"_std_deviation": {"_field": "o_totalprice"}}}}}, "b", "SELECT o_orderpriority AS key, count(*) AS doc_count FROM orders GROUP BY 1 ORDER BY avg(o_totalprice) + 2 * stddev_samp(o_totalprice), 1 LIMIT 3")
 aggregated("bucket_limit_nested", "part", {"a": {"_values": {"_field": "p_brand"}, "_aggs": {"b": {"_values": {"_field": "p_type", "_limit": 2}}}}}, "a.b", "SELECT p_brand AS key, p_type AS key_1, count(*) AS doc_count FROM part GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type DESC) <= 2")
+_CUT = {"a": {"_values": {"_field": "p_brand", "_limit": 3}, "_aggs": {"b": {"_values": {"_field": "p_type"}}}}}
+aggregated("bucket_limit_children", "part", _CUT, "a.b", "SELECT p_brand AS key, p_type AS key_1, count(*) AS doc_count FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 3) GROUP BY 1, 2")
 aggregated("bucket_min_doc_count", "part", {"b": {"_values": {"_field": "p_name", "_min_doc_count": 30}}}, "b", "SELECT p_name AS key, count(*) AS doc_count FROM part GROUP BY 1 HAVING count(*) >= 30")
 
+@query("bucket_key_columns", "SELECT o_orderpriority AS key, o_orderstatus AS key_1, round(sum(o_totalprice), 2) AS sum FROM orders GROUP BY 1, 2")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over documents whose columns are named as buckets' keys are."""
+    frame = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("key"), F.col("o_orderstatus").alias("key_1"), F.col("o_totalprice").alias("doc_count"))
+    tree = {"p": {"_values": {"_field": "key"}, "_aggs": {"s": {"_values": {"_field": "key_1"}, "_aggs": {"m": {"_sum": {"_field": "doc_count"}}}}}}}
+    return Index(frame, "o_orderkey").aggregations(tree)["p.s.m"].select("key", "key_1", F.round("_sum", 2).alias("sum"))
+
+
 # -- order
 
 
@@ -232,8 +242,47 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Index(rows, "o_custkey").search("*", sort="prices", limit=20).select("o_custkey")
 
 
+def _substrings(text: str) -> list[str]:
+    return sorted({text[i:j] for i in range(len(text)) for j in range(i + 1, len(text) + 1)})
+
+
+def _subsequences(text: str) -> list[str]:
+    out = {""}
+    for c in text:
+        out |= {x + c for x in out}
+    return sorted(out - {""})
+
+
+def _values(items: list[str]) -> str:
+    return ", ".join(f"('{x}')" for x in items)
+
+
+_CODE = "upper({0}[1]) || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(lower({0}), 'bpfvcksgjqxzdtlmnraehiouwy', '11223334455566788900000000'), '0+', '0', 'g'), '1+', '1', 'g'), '2+', '2', 'g'), '3+', '3', 'g'), '4+', '4', 'g'), '5+', '5', 'g'), '6+', '6', 'g'), '7+', '7', 'g'), '8+', '8', 'g'), '9+', '9', 'g')"
+_REFERENCE = "small rung"
 for _m in ("lcs", "lcsq", "soundex"):
-    QUERIES[f"sort_{_m}"] = lambda spark, sf_dir, m=_m: index(spark, sf_dir, "part").search("*", sort="p_name:small rung", metric=m, limit=20).select("p_partkey")
+    QUERIES[f"sort_{_m}"] = lambda spark, sf_dir, m=_m: index(spark, sf_dir, "part").search("*", sort=f"p_name:{_REFERENCE}", metric=m, limit=20).select("p_partkey")
+ORACLE["sort_lcs"] = f"""
+    WITH s(x) AS (VALUES {_values(_substrings(_REFERENCE))}),
+    n AS (SELECT p_name, max(length(x)) AS k FROM (SELECT DISTINCT p_name FROM part), s WHERE contains(p_name, x) GROUP BY 1)
+    SELECT p_partkey FROM part LEFT JOIN n USING (p_name) ORDER BY 1.0::DOUBLE - coalesce(k, 0)::DOUBLE / greatest(length(p_name), {len(_REFERENCE)}), p_partkey LIMIT 20"""
+ORACLE["sort_lcsq"] = f"""
+    WITH s(x) AS (VALUES {_values(_subsequences(_REFERENCE))}),
+    p AS (SELECT x, '%' || array_to_string(string_split(x, ''), '%') || '%' AS p FROM s),
+    n AS (SELECT p_name, max(length(x)) AS k FROM (SELECT DISTINCT p_name FROM part), p WHERE p_name LIKE p GROUP BY 1)
+    SELECT p_partkey FROM part LEFT JOIN n USING (p_name) ORDER BY 1.0::DOUBLE - coalesce(k, 0)::DOUBLE / greatest(length(p_name), {len(_REFERENCE)}), p_partkey LIMIT 20"""
+_SMALL_RUNG = "S38079084"  # the code of _REFERENCE
+ORACLE["sort_soundex"] = f"""
+    WITH s(x) AS (VALUES {_values(_subsequences(_SMALL_RUNG))}),
+    p AS (SELECT x, '%' || array_to_string(string_split(x, ''), '%') || '%' AS p FROM s),
+    c AS (SELECT DISTINCT p_name, {_CODE.format("letters")} AS code FROM (SELECT p_name, regexp_replace(p_name, '[^A-Za-z]', '', 'g') AS letters FROM part)),
+    n AS (SELECT p_name, code, max(length(x)) AS k FROM c, p WHERE code LIKE p GROUP BY 1, 2)
+    SELECT p_partkey FROM part LEFT JOIN n USING (p_name) ORDER BY 1.0::DOUBLE - coalesce(k, 0)::DOUBLE / greatest(length(code), {len(_SMALL_RUNG)}), p_partkey LIMIT 20"""
+
+
+@query("sort_array_string", "SELECT n_nationkey FROM (SELECT c_nationkey AS n_nationkey, list(DISTINCT c_name) AS names FROM customer GROUP BY 1) ORDER BY list_min(list_transform(names, lambda x: levenshtein(x, 'Customer#000000100')::DOUBLE / greatest(length(x), 18))), 1 LIMIT 12")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.collect_set("c_name").alias("names"))
+    return Index(rows, "n_nationkey").search("*", sort={"names": {"_value": "Customer#000000100", "_metric": "levenshtein"}}, limit=12).select("n_nationkey")
 
 
 @query("page_offset_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 30")
@@ -285,7 +334,10 @@ text_filter("text_partial", {"text": "therh**"}, "len(list_filter(w, lambda x: s
 text_filter("text_fuzzy", {"text": "thee~1"}, "len(list_filter(w, lambda x: levenshtein(x, 'thee') <= 1)) > 0")
 text_filter("text_wildcard", {"text": "th?rh*"}, "len(list_filter(w, lambda x: regexp_full_match(x, 'th.rh.*'))) > 0")
 text_filter("text_boolean", {"text": {"_and": "the AND NOT heon"}}, "list_contains(w, 'the') AND NOT list_contains(w, 'heon')")
-text_filter("text_near", {"text": {"_near": "heon stti"}}, "len(list_filter(range(1, len(w) + 1), lambda i: list_contains(w[i:i + 10], 'heon') AND list_contains(w[i:i + 10], 'stti'))) > 0")
+text_filter("text_near", {"text": {"_near": "heon the"}}, "len(list_filter(range(1, len(w) + 1), lambda i: list_contains(w[i:i + 10], 'heon') AND list_contains(w[i:i + 10], 'the'))) > 0")
+text_filter("text_near_n", {"text": "heon NEAR/3 the"}, "len(list_filter(range(1, len(w) + 1), lambda i: list_contains(w[i:i + 3], 'heon') AND list_contains(w[i:i + 3], 'the'))) > 0")
+text_filter("text_adj_n", {"text": "heon ADJ/3 the"}, "len(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'heon' AND list_contains(w[i + 1:i + 3], 'the'))) > 0")
+text_filter("text_hyphen_phrase", {"text": "of-the"}, "contains(' ' || array_to_string(w, ' ') || ' ', ' of the ')")
 text_filter("text_ordered", {"text": {"_phrase": "the and of"}}, r"len(list_filter(range(1, len(w) + 1), lambda i: regexp_matches(array_to_string(w[i:i + 11], ' '), '^the( \S+)* and( \S+)* of( |$)'))) > 0")
 
 
@@ -294,7 +346,17 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir, stop_language="en").matching({"text": "the idiot of"}).select("doc_id")
 
 
-def _bm25(words: list[str], where: str, scored: list[str] | None = None, limit: int = 20) -> str:
+@query("text_stop_words", f"WITH d AS ({_WORDS}) SELECT doc_id FROM d WHERE list_contains(w, 'heon')")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir, stop_words=("idiot", "clown")).matching({"text": "idiot heon clown"}).select("doc_id")
+
+
+@query("text_stemmed", f"WITH d AS ({_WORDS}) SELECT doc_id FROM d WHERE list_has_any(w, ['idiot', 'idiots', 'idioted', 'idioting'])")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir, stem="some").matching({"text": "idiots"}).select("doc_id")
+
+
+def _bm25(words: list[str], where: str, scored: list[str] | None = None, limit: int = 20, times: int = 1) -> str:
     """SQL of the ranking by BM25 over documents.text."""
     scored = words if scored is None else scored
     df = ", ".join(f"count(*) FILTER (list_contains(w, '{x}')) AS d{i}" for i, x in enumerate(scored))
@@ -302,15 +364,20 @@ def _bm25(words: list[str], where: str, scored: list[str] | None = None, limit:
         f"CASE WHEN f{i} > 0 THEN f{i} / (greatest(len(w) / m, 0.5) * 0.5 + 0.5 + f{i}) * ln(CASE WHEN (n - d{i} + 0.5) / (d{i} + 0.5) < 2 THEN (n - d{i} + 0.5) / (d{i} + 0.5) / 2 + 1 ELSE (n - d{i} + 0.5) / (d{i} + 0.5) END) * 2 ELSE 0 END"
         for i in range(len(scored))
     )
-    freq = ", ".join(f"len(list_filter(w, lambda y: y = '{x}')) AS f{i}" for i, x in enumerate(scored))
+    freq = ", ".join(f"{times} * len(list_filter(w, lambda y: y = '{x}')) AS f{i}" for i, x in enumerate(scored))
     return f"WITH d AS ({_WORDS}), s AS (SELECT count(*) AS n, avg(len(w)) AS m, {df} FROM d), k AS (SELECT *, {freq} FROM d, s WHERE {where}) SELECT doc_id, round({parts}, 6) AS weight FROM k ORDER BY weight DESC, doc_id LIMIT {limit}"
 
 
-def _ranked(spark: SparkSession, sf_dir: str, q: object, limit: int = 20) -> DataFrame:
-    hits = texts(spark, sf_dir).scored(q).select("doc_id", F.round("_weight", 6).alias("weight"))
+def _ranked(spark: SparkSession, sf_dir: str, q: object, limit: int = 20, **options: object) -> DataFrame:
+    hits = texts(spark, sf_dir, **options).scored(q).select("doc_id", F.round("_weight", 6).alias("weight"))
     return hits.orderBy(F.desc("weight"), "doc_id").limit(limit)
 
 
+@query("bm25_field_weight", _bm25(["idiot", "clown"], "list_has_any(w, ['idiot', 'clown'])", times=3))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir, {"text": "idiot clown"}, weights={"text": 3})
+
+
 for _name, _q, _sql in (
     ("bm25_topk", {"text": "idiot clown heon"}, _bm25(["idiot", "clown", "heon"], "list_has_any(w, ['idiot', 'clown', 'heon'])")),
     ("bm25_and_maybe", {"_and_maybe": [{"text": "idiot"}, {"text": "clown"}]}, _bm25(["idiot", "clown"], "list_contains(w, 'idiot')")),
@@ -330,12 +397,31 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("word").agg(F.count("*").alias("documents"), F.sum("f").alias("total"))
 
 
-@query("nearest_docs")
+_IDF = "ln(CASE WHEN (n - k + 0.5) / (k + 0.5) < 2 THEN (n - k + 0.5) / (k + 0.5) / 2 + 1 ELSE (n - k + 0.5) / (k + 0.5) END) * 2"
+_PART = "f / (greatest(length / m, 0.5) * 0.5 + 0.5 + f) * idf"
+#: The best five hits of "idiot", the words that set them apart, and the weight of each in each document.
+_FEEDBACK = f"""
+    WITH d AS MATERIALIZED ({_WORDS}), s AS (SELECT count(*) AS n, avg(len(w)) AS m FROM d),
+    t AS MATERIALIZED (SELECT doc_id, word, count(*) AS f FROM (SELECT doc_id, unnest(w) AS word FROM d) GROUP BY 1, 2),
+    c AS MATERIALIZED (SELECT word, count(*) AS k FROM t GROUP BY 1),
+    i AS MATERIALIZED (SELECT word, k, {_IDF} AS idf FROM c, s),
+    p AS MATERIALIZED (SELECT doc_id, word, {_PART} AS part FROM t JOIN i USING (word) JOIN (SELECT doc_id, len(w) AS length FROM d) USING (doc_id), s),
+    hits AS (SELECT doc_id FROM p WHERE word = 'idiot' ORDER BY part DESC, doc_id LIMIT 5),
+    r AS (SELECT word, count(*) AS r FROM t WHERE doc_id IN (SELECT doc_id FROM hits) GROUP BY 1),
+    e AS MATERIALIZED (
+        SELECT word, weight, idf FROM (
+            SELECT word, idf, round(r * ln((r + 0.5) * (n - k - h + r + 0.5) / ((k - r + 0.5) * (h - r + 0.5))), 9) AS weight
+            FROM r JOIN i USING (word), s, (SELECT count(*) AS h FROM hits))
+        WHERE weight > 0 ORDER BY weight DESC, word LIMIT 32),
+    elite AS (SELECT word FROM e ORDER BY idf DESC, weight DESC, word LIMIT 10)"""
+
+
+@query("nearest_docs", f"{_FEEDBACK} SELECT doc_id, round(sum(part), 6) AS weight FROM p WHERE word IN (FROM elite) GROUP BY 1 ORDER BY sum(part) DESC, 1 LIMIT 10")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).like({"text": "idiot"}, "text").select("doc_id", F.round("_weight", 6).alias("weight"))
 
 
-@query("fuzzy_docs")
+@query("fuzzy_docs", f"{_FEEDBACK} SELECT doc_id, round(sum(part * (CASE WHEN word IN (FROM elite) THEN 1 ELSE 0 END + CASE WHEN word = 'idiot' THEN 1 ELSE 0 END)), 6) AS weight FROM p WHERE word IN (FROM elite) OR word = 'idiot' GROUP BY 1 ORDER BY sum(part * (CASE WHEN word IN (FROM elite) THEN 1 ELSE 0 END + CASE WHEN word = 'idiot' THEN 1 ELSE 0 END)) DESC, 1 LIMIT 10")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).like({"text": "idiot"}, "text", keep=True).select("doc_id", F.round("_weight", 6).alias("weight"))
 
@@ -371,17 +457,62 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places(spark, sf_dir).matching({"place": {"_in": {"_circle": {"_longitude": 10, "_latitude": 21, "_radius": "3000km"}}}}).select("c_custkey")
 
 
-@query("geo_polygon", f"SELECT c_custkey FROM customer WHERE {_LON} >= 0 AND {_LON} < 40 AND {_LAT} >= -10 AND {_LAT} < 30")
+@query("geo_sort", f"SELECT c_custkey FROM customer ORDER BY round({_ANGLE}, 9), c_custkey LIMIT 15")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return places(spark, sf_dir).matching({"place": {"_in": {"_ewkt": "POLYGON((0 -10, 40 -10, 40 30, 0 30, 0 -10))"}}}).select("c_custkey")
+    return places(spark, sf_dir).search("*", sort={"place": {"_value": "POINT(10 21)"}}, limit=15).select("c_custkey")
 
 
-@query("geo_sort", f"SELECT c_custkey FROM customer ORDER BY round({_ANGLE}, 9), c_custkey LIMIT 15")
+def _ring_sql(ring: list[tuple[float, float]]) -> str:
+    """Whether a point is west of every edge of a convex ring, counter-clockwise: a product with each edge's normal."""
+    tests = []
+    for p, q in zip(ring, [*ring[1:], ring[0]], strict=True):
+        u, v = geo.unit(*p), geo.unit(*q)
+        n = u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]
+        tests.append(f"cos(radians({_LAT})) * cos(radians({_LON})) * {n[0]!r} + cos(radians({_LAT})) * sin(radians({_LON})) * {n[1]!r} + sin(radians({_LAT})) * {n[2]!r} > 0")
+    return " AND ".join(tests)
+
+
+for _name, _ring in {"geo_polygon": [(0.5, -10.5), (40.5, -10.5), (40.5, 30.5), (0.5, 30.5)], "geo_polygon_antimeridian": [(160.5, -20.5), (-150.5, -30.5), (-160.5, 40.5), (170.5, 30.5)], "geo_polygon_pole": [(0.5, 60.5), (90.5, 55.5), (-179.5, 50.5), (-90.5, 65.5)]}.items():
+    _text = f"POLYGON(({', '.join(f'{x} {y}' for x, y in [*_ring, _ring[0]])}))"
+    QUERIES[_name] = lambda spark, sf_dir, text=_text: places(spark, sf_dir).matching({"place": {"_in": {"_ewkt": text}}}).select("c_custkey")
+    ORACLE[_name] = f"SELECT c_custkey FROM customer WHERE {_ring_sql(_ring)}"
+
+
+@query("geo_centroid", f"SELECT round(degrees(atan2(y, x)), 6) AS longitude, round(degrees(atan2(z, sqrt(x * x + y * y))), 6) AS latitude FROM (SELECT avg(cos(radians({_LAT})) * cos(radians({_LON}))) AS x, avg(cos(radians({_LAT})) * sin(radians({_LON}))) AS y, avg(sin(radians({_LAT}))) AS z FROM customer)")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return places(spark, sf_dir).search("*", sort={"place": {"_value": "POINT(10 21)"}}, limit=15).select("c_custkey")
+    out = places(spark, sf_dir).aggregations({"g": {"_geo_centroid": {"_field": "place"}}})["g"]
+    return out.select(F.round("_longitude", 6).alias("longitude"), F.round("_latitude", 6).alias("latitude"))
+
+
+def _trixels(level: int) -> list[tuple[int, tuple]]:
+    """Every mesh triangle of a level: id and corners."""
+    corners = [(0.0, 0.0, 1.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (-1.0, 0.0, 0.0), (0.0, -1.0, 0.0), (0.0, 0.0, -1.0)]
+    found = [(8 + k, tuple(corners[i] for i in f)) for k, f in enumerate([(1, 5, 2), (2, 5, 3), (3, 5, 4), (4, 5, 1), (1, 0, 4), (4, 0, 3), (3, 0, 2), (2, 0, 1)])]
+
+    def middle(u: tuple, v: tuple) -> tuple:
+        w = [a + b for a, b in zip(u, v, strict=True)]
+        size = sum(x * x for x in w) ** 0.5
+        return tuple(x / size for x in w)
+
+    for _ in range(level):
+        found = [(4 * i + k, t) for i, (u, v, w) in found for k, t in enumerate([(u, middle(u, v), middle(u, w)), (v, middle(v, w), middle(u, v)), (w, middle(u, w), middle(v, w)), (middle(v, w), middle(u, w), middle(u, v))])]
+    return found
 
 
-@query("geo_htm_bucket")
+def _trixel_sql(level: int) -> str:
+    rows = []
+    for i, (u, v, w) in _trixels(level):
+        normals = [(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]) for a, b in ((u, v), (v, w), (w, u))]
+        rows.append(f"({i}, {', '.join(repr(x) for n in normals for x in n)})")
+    inside = " AND ".join(f"x * n{k}x + y * n{k}y + z * n{k}z >= -1e-12" for k in range(3))
+    names = ", ".join(f"n{k}{c}" for k in range(3) for c in "xyz")
+    return f"""
+        WITH t(id, {names}) AS (VALUES {', '.join(rows)}),
+        p AS (SELECT c_custkey, cos(radians({_LAT})) * cos(radians({_LON})) AS x, cos(radians({_LAT})) * sin(radians({_LON})) AS y, sin(radians({_LAT})) AS z FROM customer)
+        SELECT key, count(*) AS doc_count FROM (SELECT c_custkey, CAST(min(id) AS BIGINT) AS key FROM p, t WHERE {inside} GROUP BY 1) GROUP BY 1"""
+
+
+@query("geo_htm_bucket", _trixel_sql(3))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places(spark, sf_dir).aggregations({"t": {"_geo_trixels": {"_field": "place", "_level": 3}}})["t"]
 
@@ -422,6 +553,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infer.type_counts(read(spark, sf_dir, "events").select(body.alias("j")), "j")
 
 
+@query("json_infer_deep", "SELECT 'a.b.c.d.e.f.g.h' AS path, 'keyword' AS type, true AS array, count(*) AS n FROM events UNION ALL SELECT 'a.n', 'floating', false, count(*) FROM events")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.concat(F.lit('{"a": {"n": 1.5, "z": null, "b": {"c": {"d": {"e": {"f": {"g": [{"h": "'), F.col("event_type"), F.lit('"}]}}}}}}}'))
+    return infer.type_counts(read(spark, sf_dir, "events").select(body.alias("j")), "j")
+
+
 def _changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     base = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").withColumn(store.VERSION, F.lit(1))
     new = base.where("o_orderkey % 10 = 0").select(F.when(F.col("o_orderkey") % 20 == 0, F.col("o_orderkey")).otherwise(-F.col("o_orderkey")).alias("o_orderkey"), F.lit("X").alias("o_orderstatus"), F.lit(None).cast("double").alias("o_totalprice"))
@@ -443,6 +580,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert(base, new, "o_orderkey").withColumnRenamed(store.VERSION, "version")
 
 
+@query("doc_upsert_repeated", f"SELECT coalesce(k, o_orderkey) AS o_orderkey, CASE WHEN k IS NULL THEN o_orderstatus ELSE 'Y' END AS o_orderstatus FROM orders FULL JOIN {_NEW} ON k = o_orderkey")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, new = _changes(spark, sf_dir)
+    return store.upsert(base, new.union(new.withColumn("o_orderstatus", F.lit("Y")).withColumn(store.VERSION, F.lit(2))), "o_orderkey").select("o_orderkey", "o_orderstatus")
+
+
 @query("doc_merge", f"SELECT o_orderkey, CASE WHEN k IS NULL THEN o_orderstatus ELSE 'X' END AS o_orderstatus, o_totalprice FROM orders LEFT JOIN {_NEW} ON k = o_orderkey")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, new = _changes(spark, sf_dir)
@@ -461,12 +604,27 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir, "customer").patch(ops, "c_acctbal:0..").frame.select("c_custkey", "title", "c_nationkey", "c_mktsegment")
 
 
+_TESTED = "c_mktsegment = 'BUILDING'"
+
+
+@query("doc_patch_test_remove", f"SELECT c_custkey, CASE WHEN {_TESTED} THEN NULL ELSE c_name END AS c_name, CASE WHEN {_TESTED} THEN 0 ELSE c_nationkey END AS c_nationkey FROM customer")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = [{"op": "replace", "path": "/c_nationkey", "value": 0}, {"op": "test", "path": "/c_mktsegment", "value": "BUILDING"}, {"op": "remove", "path": "/c_name"}]
+    return index(spark, sf_dir, "customer").patch(ops).frame.select("c_custkey", "c_name", "c_nationkey")
+
+
+@query("doc_patch_test_move", f"SELECT c_custkey, CASE WHEN {_TESTED} THEN NULL ELSE c_name END AS c_name, CASE WHEN {_TESTED} THEN c_name END AS title FROM customer")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = [{"op": "test", "path": "/c_mktsegment", "value": "BUILDING"}, {"op": "move", "from": "/c_name", "path": "/title"}]
+    return index(spark, sf_dir, "customer").patch(ops).frame.select("c_custkey", "c_name", "title")
+
+
 @query("doc_get", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 3")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir, "orders").get(3).select("o_orderkey", "o_totalprice")
 
 
-@query("relevance_terms")
+@query("relevance_terms", f"{_FEEDBACK} SELECT word, weight FROM e")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = texts(spark, sf_dir)
     ids = [r[0] for r in at.search({"text": "idiot"}, limit=feedback.N_RSET).select("doc_id").collect()]

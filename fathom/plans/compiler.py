@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 from functools import reduce
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import casts, dates, geo, text
+from ..functions import casts, dates, geo, porter, text
 from .querystring import parse, parse_range, parse_text, unquote
 
 BM25_K1, BM25_K3, BM25_B, BM25_MIN_LEN = 1.0, 1.0, 0.5, 0.5
@@ -40,6 +40,11 @@ class Field:
     array: bool
     text: bool = False
     bool_term: bool = False
+    stemmed: bool = False
+
+    @property
+    def key(self) -> str:
+        return f"{self.name}~" if self.stemmed else self.name
 
 
 @dataclass
@@ -49,7 +54,10 @@ class Schema:
     text: names of full-text fields; bool_terms: keyword fields compared with case; points:
     name -> (longitude, latitude) columns; spread: ranking by all text fields together isn't
     done: lengths are counted by field. Fields with an upper-case letter in the name are
-    bool_terms, as are those listed.
+    bool_terms, as are those listed. weights: name -> what each occurrence in a text field
+    counts for in ranking. Words of stop_language, or stop_words, are no tokens. stem: "some"
+    compares stems of plain words that don't begin with a capital letter, "all" of all words
+    but in patterns (English; see porter). cjk: see text.tokens.
     """
 
     frame: DataFrame
@@ -58,7 +66,16 @@ class Schema:
     points: dict[str, tuple[Column, Column]] = field(default_factory=dict)
     id_field: str | None = None
     stop_language: str | None = None
+    stop_words: tuple[str, ...] = ()
+    stem: str | None = None
+    cjk: bool = False
+    weights: dict[str, float] = field(default_factory=dict)
     open_ranges: bool = False
+    known: dict = field(default_factory=dict, init=False, repr=False, compare=False)  # what corpus() has counted of the frame
+
+    @property
+    def stops(self) -> list[str]:
+        return [*text.STOP_WORDS.get(self.stop_language or "", []), *self.stop_words]
 
     def find(self, name: str) -> Field | None:
         kind: T.DataType = self.frame.schema
@@ -366,6 +383,7 @@ class Compiler:
         toks, ws = self.tokens(f), text.words(value)
         if key in ("_near", "_phrase") and ws:
             test = text.has_near if key == "_near" else text.has_ordered
+            ws = [porter.stem(w) for w in ws] if self.schema.stem == "all" else ws
             return self.weighed(test(toks, ws, len(ws) + 9), f, ws)
         if key in ("_wildcard", "_partial", "_fuzzy"):
             end = {"_wildcard": "", "_partial": "**", "_fuzzy": "~"}[key]
@@ -376,22 +394,32 @@ class Compiler:
 
     # -- text
 
-    def tokens(self, f: Field) -> Column:
-        source = F.array_join(f.column, " ") if f.array else f.column
-        return text.tokens(source, self.schema.stop_language)
+    def source(self, f: Field) -> Column:
+        return F.array_join(f.column, " ") if f.array else f.column
 
-    def word(self, f: Field, w: str) -> Node:
+    def tokens(self, f: Field) -> Column:
+        found = text.tokens(self.source(f), self.schema.stops, self.schema.cjk)
+        return porter.stems(found) if f.stemmed or self.schema.stem == "all" else found
+
+    def word(self, f: Field, w: str, capital: bool = False) -> Node:
+        if self.schema.cjk and len(grams := text.cjk_words(w)) > 1:
+            return self.combine("_and", [self.weighed(F.array_contains(self.tokens(f), g), f, [g]) for g in grams])
+        if self.schema.stem == "all" or self.schema.stem == "some" and not capital:
+            f, w = replace(f, stemmed=True), porter.stem(w)
         return self.weighed(F.array_contains(self.tokens(f), w), f, [w])
 
     def weighed(self, match: Column, f: Field, ws: list[str]) -> Node:
+        """match, which all of the words are needed for; texts without them aren't split into tokens."""
         terms = [Term(f, w, ws.count(w)) for w in dict.fromkeys(ws)]
-        return Node(match, lambda s: reduce(lambda a, b: a + b, [bm25(s, t, self.tokens(f)) for t in terms]), terms)
+        factor = self.schema.weights.get(f.name, 1)
+        held = match if f.stemmed or self.schema.stem == "all" else text.may_hold(self.source(f), ws) & match
+        return Node(held, lambda s: reduce(lambda a, b: a + b, [bm25(s, t, F.col(token_column(f)), factor) for t in terms]), terms)
 
     def text(self, f: Field, value: str, op: str) -> Node:
         if op in ("_and", "_or") and any(w in value.split() for w in ("AND", "OR", "NOT", "XOR")):
             return self.query(_in_field(parse(value), f.name))
         q = parse_text(value)
-        stop = text.STOP_WORDS.get(self.schema.stop_language or "", [])
+        stop = self.schema.stops
         loose = [i for i in q.any if not (i[0] == "word" and i[1] in stop)]
         any_of = [self.part(f, i) for i in loose]
         must, never = ([self.part(f, i) for i in items] for items in (q.must, q.never))
@@ -405,9 +433,12 @@ class Compiler:
 
     def part(self, f: Field, item: tuple) -> Node:
         kind, value = item[:2]
-        toks = self.tokens(f)
         if kind == "word":
-            return self.word(f, value)
+            return self.word(f, value, len(item) > 2)
+        toks = self.tokens(f)
+        value = [porter.stem(w) for w in value] if self.schema.stem == "all" and isinstance(value, list) else value
+        if kind in ("near", "adj"):
+            return self.weighed((text.has_near if kind == "near" else text.has_ordered)(toks, value, item[2]), f, value)
         if kind == "phrase":
             return self.weighed(text.has_phrase(toks, value), f, value)
         if kind == "wild":
@@ -486,25 +517,44 @@ def _literal(value: object) -> Column:
 # -- ranking
 
 
-def corpus(schema: Schema, terms: list[Term]) -> dict:
-    """Document count, each field's mean length and each term's document frequency, in one job."""
-    fields = {t.field.name: t.field for t in terms}
-    words = {(t.field.name, t.word) for t in terms}
-    if not terms:
-        return {"n": 0, "mean": {}, "df": {}}
+def token_column(f: Field) -> str:
+    """The column that holds a field's tokens while documents are weighed; see tokenised()."""
+    return f"__tokens.{f.key}".replace(".", "_")
+
+
+def tokenised(schema: Schema, frame: DataFrame, terms: list[Term]) -> DataFrame:
+    """The frame with the tokens of the terms' fields, each split once a row."""
     comp = Compiler(schema)
-    toks = schema.frame.select(*[comp.tokens(f).alias(f"t{i}") for i, f in enumerate(fields.values())])
-    place = {name: f"t{i}" for i, name in enumerate(fields)}
-    listed = sorted(words)
-    aggs = [F.count("*").alias("n")]
-    aggs += [F.avg(F.coalesce(F.size(c), F.lit(0))).alias(f"m_{c}") for c in place.values()]
-    aggs += [F.count(F.when(F.array_contains(place[name], w), True)).alias(f"d_{i}") for i, (name, w) in enumerate(listed)]
-    row = toks.agg(*aggs).first()
-    return {"n": row["n"], "mean": {name: row[f"m_{c}"] or 1.0 for name, c in place.items()}, "df": {k: row[f"d_{i}"] for i, k in enumerate(listed)}}
+    fields = {t.field.key: t.field for t in terms}
+    return frame.select("*", *[comp.tokens(f).alias(token_column(f)) for f in fields.values()])
+
+
+def corpus(schema: Schema, terms: list[Term]) -> dict:
+    """Document count, each field's mean length and each term's document frequency.
+
+    One job counts whatever isn't known yet of the schema's frame, which is taken as a
+    snapshot: its figures are kept.
+    """
+    known = schema.known
+    means, dfs = known.setdefault("mean", {}), known.setdefault("df", {})
+    fields = {t.field.key: t.field for t in terms}
+    words = sorted({(t.field.key, t.word) for t in terms} - dfs.keys())
+    new = [f for name, f in fields.items() if name not in means]
+    if words or new:
+        used = {name for name, _ in words} | {f.key for f in new}
+        toks = tokenised(schema, schema.frame, [t for t in terms if t.field.key in used]).select(*[F.col(token_column(fields[n])) for n in sorted(used)])
+        aggs = [F.count("*").alias("n")]
+        aggs += [F.avg(F.coalesce(F.size(token_column(f)), F.lit(0))).alias(f"m_{i}") for i, f in enumerate(new)]
+        aggs += [F.count(F.when(F.array_contains(token_column(fields[name]), w), True)).alias(f"d_{i}") for i, (name, w) in enumerate(words)]
+        row = toks.agg(*aggs).first()
+        known["n"] = row["n"]
+        means.update({f.key: row[f"m_{i}"] or 1.0 for i, f in enumerate(new)})
+        dfs.update({k: row[f"d_{i}"] for i, k in enumerate(words)})
+    return {"n": known.get("n", 0), "mean": means, "df": dfs}
 
 
 def _idf(stats: dict, t: Term) -> float:
-    n, df = stats["n"], stats["df"].get((t.field.name, t.word), 0)
+    n, df = stats["n"], stats["df"].get((t.field.key, t.word), 0)
     odds = (n - df + 0.5) / (df + 0.5)
     return math.log(odds / 2 + 1 if odds < 2 else odds) * (BM25_K3 + 1) * t.wqf / (BM25_K3 + t.wqf) * (BM25_K1 + 1)
 
@@ -513,10 +563,10 @@ def most_weight(stats: dict, t: Term) -> float:
     return _idf(stats, t)
 
 
-def bm25(stats: dict, t: Term, toks: Column) -> Column:
-    """The weight of one term of a document."""
-    wdf = text.term_count(toks, t.word)
-    length = F.greatest(F.size(toks) / stats["mean"].get(t.field.name, 1.0), F.lit(BM25_MIN_LEN))
+def bm25(stats: dict, t: Term, toks: Column, factor: float = 1) -> Column:
+    """The weight of one term of a document, each occurrence of which counts `factor`."""
+    wdf = text.term_count(toks, t.word) * factor
+    length = F.greatest(F.size(toks) / stats["mean"].get(t.field.key, 1.0), F.lit(BM25_MIN_LEN))
     return F.when(wdf > 0, wdf / (BM25_K1 * (length * BM25_B + (1 - BM25_B)) + wdf) * _idf(stats, t)).otherwise(0.0)
 
 

@@ -6,9 +6,15 @@ a path of two types is a conflict, unless one is a wider number.
 
 from __future__ import annotations
 
+import json
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: What a string is taken for, in this order, each by a pattern over the whole string.
@@ -34,46 +40,66 @@ class FieldSpec:
     array: bool = False
 
 
-def string_type(x: Column) -> Column:
-    """uuid, datetime, timedelta, time, geo, boolean, text or keyword."""
-    out = F.when((F.octet_length(x) >= 128) | x.rlike(r"[^\w.\-]"), "text").otherwise("keyword")
-    for kind, pattern in reversed(DETECTORS):
-        out = F.when(x.rlike(pattern), kind).otherwise(out)
-    return out
+_PATTERNS = [(kind, re.compile(pattern, re.ASCII)) for kind, pattern in DETECTORS]
+_PLAIN = re.compile(r"[\w.\-]*", re.ASCII)
 
 
-def value_types(df: DataFrame, json_col: str, depth: int = 6) -> DataFrame:
-    """(path, type, array) of every value of a JSON column; nulls are left out."""
-    found = None
-    now = df.select(F.lit("").alias("path"), F.lit(False).alias("array"), F.parse_json(json_col).alias("v"))
-    for _ in range(depth):
-        kind = F.schema_of_variant("v")
-        entries = now.select("path", "array", "v", kind.alias("k"))
-        done = entries.where(~F.col("k").startswith("OBJECT") & ~F.col("k").startswith("ARRAY") & (F.col("k") != "VOID"))
-        value = F.col("v").try_cast("string") if hasattr(F.col("v"), "try_cast") else F.try_variant_get("v", "$", "string")
-        leaf = (
-            F.when(F.col("k") == "BOOLEAN", "boolean")
-            .when(F.col("k") == "BIGINT", F.when(value.startswith("-"), "integer").otherwise("positive"))
-            .when(F.col("k").startswith("DECIMAL") | F.col("k").isin("DOUBLE", "FLOAT"), "floating")
-            .otherwise(string_type(value))
-        )
-        here = done.select("path", leaf.alias("type"), "array")
-        found = here if found is None else found.unionByName(here)
-        objects = entries.where(F.col("k").startswith("OBJECT")).select("path", "array", F.explode(F.expr("try_variant_get(v, '$', 'map<string,variant>')")).alias("name", "v"))
-        objects = objects.where(~F.col("name").startswith("#") & (F.col("name") != "")).select(F.concat("path", F.when(F.col("path") == "", "").otherwise("."), "name").alias("path"), "array", "v")
-        arrays = entries.where(F.col("k").startswith("ARRAY")).select("path", F.lit(True).alias("array"), F.explode(F.expr("try_variant_get(v, '$', 'array<variant>')")).alias("v"))
-        now = objects.unionByName(arrays)
-    return found
-
-
-def type_counts(df: DataFrame, json_col: str, depth: int = 6) -> DataFrame:
-    return value_types(df, json_col, depth).groupBy("path", "type", "array").agg(F.count("*").alias("n"))
-
-
-def infer(df: DataFrame, json_col: str, depth: int = 6) -> dict[str, FieldSpec]:
+@lru_cache(maxsize=50_000)
+def string_type(x: str) -> str:
+    """uuid, datetime, timedelta, time, geo, boolean, text or keyword."""
+    for kind, pattern in _PATTERNS:
+        if pattern.search(x):
+            return kind
+    return "keyword" if len(x.encode()) < 128 and _PLAIN.fullmatch(x) else "text"
+
+
+def _refuse(name: str):
+    raise ValueError(f"not JSON: {name}")
+
+
+def document_types(text: str) -> Iterator[tuple[str, str, bool]]:
+    """(path, type, array) of every value of a JSON text but nulls, however deep."""
+    todo = [("", False, json.loads(text, parse_constant=_refuse))]
+    while todo:
+        path, array, v = todo.pop()
+        if isinstance(v, dict):
+            todo += [(f"{path}.{k}" if path else k, array, x) for k, x in v.items() if k and not k.startswith("#")]
+        elif isinstance(v, list):
+            todo += [(path, True, x) for x in v]
+        elif isinstance(v, str):
+            yield path, string_type(v) if len(v) < 256 else "text", array
+        elif isinstance(v, bool):
+            yield path, "boolean", array
+        elif isinstance(v, float) or isinstance(v, int) and not -(2**63) <= v < 2**63:
+            yield path, "floating", array
+        elif v is not None:
+            yield path, "integer" if v < 0 else "positive", array
+
+
+def type_counts(df: DataFrame, json_col: str) -> DataFrame:
+    """path, type, array, n: how many values of each type a JSON column holds at each path.
+
+    No expression walks documents of any depth, so this is one Arrow-batched pass, of which
+    each task gives its own counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text is not None:
+                    seen.update(document_types(text))
+        paths, kinds, arrays = zip(*seen, strict=True) if seen else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(kinds, pa.string()), pa.array(arrays, pa.bool_()), pa.array(list(seen.values()), pa.int64())], names=["path", "type", "array", "n"])
+
+    found = df.select(F.col(json_col).cast("string").alias("j")).mapInArrow(run, "path string, type string, array boolean, n long")
+    return found.groupBy("path", "type", "array").agg(F.sum("n").alias("n"))
+
+
+def infer(df: DataFrame, json_col: str) -> dict[str, FieldSpec]:
     """The frozen schema of a JSON column: path -> FieldSpec. Bounded by the number of paths."""
     out: dict[str, FieldSpec] = {}
-    for r in type_counts(df, json_col, depth).orderBy("path", "type").collect():
+    for r in type_counts(df, json_col).orderBy("path", "type").collect():
         before = out.get(r.path)
         kind = r.type
         if before and before.type != kind:

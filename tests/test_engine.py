@@ -166,7 +166,9 @@ def test_store_versions(spark):
 def test_patch(spark):
     df = spark.createDataFrame([(1, ("x", 5))], "_id int, s struct<a string, n int>")
     ops = [{"op": "test", "path": "/_id", "value": 1}, {"op": "decr", "path": "/s/n", "value": 3, "limit": 4}, {"op": "move", "from": "/s/a", "path": "/b"}, {"op": "add", "path": "/s/c", "value": True}]
-    assert store.patch(df, ops).first().asDict(True) == {"_id": 1, "s": {"n": 4, "c": True}, "b": "x"}
+    assert store.patch(df, ops[1:]).first().asDict(True) == {"_id": 1, "s": {"n": 4, "c": True}, "b": "x"}
+    # With a test some rows may stay as they were, so a field that goes is null.
+    assert store.patch(df, ops).first().asDict(True) == {"_id": 1, "s": {"a": None, "n": 4, "c": True}, "b": "x"}
     same = store.patch(df, [{"op": "test", "path": "/_id", "value": 2}, {"op": "incr", "path": "/s/n"}]).first().asDict(True)
     assert same["s"]["n"] == 5
 
@@ -221,3 +223,140 @@ def test_string_distance_reads_whole_arrays(spark, metric):
         assert set(got[-2:]) == {3, 4} and got[3] == 6 and got[0] == 1
         down = [r._id for r in Index(df).search("*", sort=[{"names": {**spec, "_order": "desc"}}]).collect()]
         assert down[:4] == [1, 2, 5, 6]
+
+
+@pytest.mark.parametrize("ops", [
+    [{"op": "test", "path": "/_id", "value": 1}, {"op": "remove", "path": "/a"}],
+    [{"op": "remove", "path": "/a"}, {"op": "test", "path": "/_id", "value": 1}],
+    [{"op": "test", "path": "/_id", "value": 1}, {"op": "move", "from": "/a", "path": "/b"}],
+    [{"op": "replace", "path": "/n", "value": 0}, {"op": "test", "path": "/_id", "value": 1}],
+    [{"op": "add", "path": "/s/x", "value": "new"}, {"op": "remove", "path": "/s/p"}, {"op": "test", "path": "/_id", "value": 1}, {"op": "test", "path": "/n", "value": 5}],
+    [{"op": "add", "path": "/l/1", "value": 9}, {"op": "remove", "path": "/l/0"}, {"op": "test", "path": "/l/0", "value": 9}, {"op": "test", "path": "/_id", "value": 1}],
+])
+def test_a_failed_test_leaves_its_row(spark, ops):
+    df = spark.createDataFrame([(1, "A", 5, ("p", 1), [1, 2]), (2, "B", 6, ("q", 2), [3, 4]), (3, None, None, None, None)], "_id int, a string, n int, s struct<p string, q int>, l array<int>")
+    got = {r["_id"]: r.asDict(True) for r in store.patch(df, ops).collect()}
+    for old in (r.asDict(True) for r in df.where("_id > 1").collect()):
+        new = got[old["_id"]]
+        for k, v in old.items():
+            kept = {x: y for x, y in new[k].items() if x in v} if isinstance(v, dict) else new[k]
+            assert kept == v, (k, new)
+        assert all(new[k] is None for k in new if k not in old)
+    assert got[1] != df.where("_id = 1").first().asDict(True)
+
+
+def test_patches_of_arrays(spark):
+    df = spark.createDataFrame([(1, [1, 2, 3], [("x", 1), ("y", 2)])], "_id int, l array<int>, o array<struct<k string, v int>>")
+    ops = [{"op": "add", "path": "/l/1", "value": 9}, {"op": "add", "path": "/l/-", "value": 7}, {"op": "remove", "path": "/l/0"}, {"op": "replace", "path": "/l/0", "value": 8}, {"op": "incr", "path": "/o/1/v", "value": 5}, {"op": "copy", "from": "/l/1", "path": "/first"}]
+    got = store.patch(df, ops).first().asDict(True)
+    assert got == {"_id": 1, "l": [8, 2, 3, 7], "o": [{"k": "x", "v": 1}, {"k": "y", "v": 7}], "first": 2}
+    with pytest.raises(ValueError):
+        store.patch(df, [{"op": "remove", "path": "/nothing"}])
+
+
+def test_buckets_cut_by_a_limit_take_their_children(spark):
+    df = spark.createDataFrame([(k, "a" if k < 6 else "b", f"x{k % 2}", 1.0) for k in range(10)], "_id int, p string, c string, v double")
+    tree = {"ps": {"_values": {"_field": "p", "_limit": 1}, "_aggs": {"cs": {"_values": {"_field": "c"}, "_aggs": {"m": {"_sum": {"_field": "v"}}}}, "s": {"_sum": {"_field": "v"}}}}}
+    got = Index(df).aggregations(tree)
+    assert {r["key"] for name in got for r in got[name].collect()} == {"a"}
+    assert got["ps.cs"].count() == 2 and got["ps.cs.m"].columns[:2] == ["key", "key_1"]
+
+
+def test_documents_may_have_columns_named_like_keys(spark):
+    df = spark.createDataFrame([(1, "a", "q", 2), (2, "a", "r", 3)], "_id int, k string, key string, key_1 int")
+    got = Index(df).aggregations({"ks": {"_values": {"_field": "k"}, "_aggs": {"keys": {"_values": {"_field": "key"}, "_aggs": {"m": {"_sum": {"_field": "key_1"}}}}}}})
+    assert sorted(tuple(r) for r in got["ks.keys.m"].collect()) == [("a", "q", 2.0), ("a", "r", 3.0)]
+
+
+def test_repeated_keys_of_an_update_are_one(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "_id int, x string")
+    new = spark.createDataFrame([(2, "c"), (2, "d"), (3, "e"), (3, "e")], "_id int, x string")
+    for change, want in ((store.upsert, {1: "a", 2: "d", 3: "e"}), (store.update, {1: "a", 2: "d"}), (store.put, {1: "a", 2: "d", 3: "e"})):
+        rows = change(base, new, "_id").collect()
+        assert {r["_id"]: r["x"] for r in rows} == want and len(rows) == len(want)
+
+
+def test_deep_documents_are_inferred(spark):
+    deep = {"v": -1}
+    for k in range(40):
+        deep = {f"k{k}": [deep]}
+    found = infer.infer(spark.createDataFrame([(json.dumps(deep),), (None,), ("3",)], "j string"), "j")
+    (path,) = [p for p in found if p.endswith(".v")]
+    assert path.count(".") == 40 and found[path].array and found[path].type == "integer"
+
+
+def test_great_circle_polygons(spark):
+    df = spark.createDataFrame([(0, 179.5, 0.0), (1, -179.5, 5.0), (2, 0.0, 0.0), (3, 0.0, 44.0), (4, 0.0, 40.5), (5, 12.0, 89.0), (6, None, 1.0)], "id int, lon double, lat double")
+    inside = lambda text: [r[0] for r in df.where(geo.parse_ewkt(text).contains(F.col("lon"), F.col("lat"))).orderBy("id").collect()]
+    assert inside("POLYGON((170 -10, -170 -10, -170 10, 170 10, 170 -10))") == [0, 1]
+    # the arc from (-40, 40) to (40, 40) rises to 47.6 degrees: 44 lies south of it
+    assert inside("POLYGON((-40 40, 40 40, 40 60, -40 60, -40 40))") == []
+    assert inside("POLYGON((-40 20, 40 20, 40 40, -40 40, -40 20))") == [3, 4]
+    assert inside("POLYGON((0 60, 90 60, 180 60, -90 60, 0 60))") == [5]
+    assert inside("CHULL((170 -10, -170 -10, -170 10, 170 10, 180 0))") == [0, 1]
+    assert len(geo.hull([(170.0, -10.0), (-170.0, -10.0), (-170.0, 10.0), (170.0, 10.0), (180.0, 0.0)])) == 4
+    place = df.where("id < 2").agg(*geo.mean_place(F.col("lon"), F.col("lat"))).first()
+    assert abs(abs(place[0]) - 180) < 1 and abs(place[1] - 2.5) < 0.1
+
+
+def test_boxes_hold_their_shapes(spark):
+    import random
+
+    r = random.Random(3)
+    df = spark.createDataFrame([(r.uniform(-180, 180), r.uniform(-90, 90)) for _ in range(4000)], "lon double, lat double")
+    shapes = ["CIRCLE(0 0, 2000000)", "CIRCLE(179 10, 900000)", "CIRCLE(20 85, 1500000)", "POLYGON((-40 40, 40 40, 40 60, -40 60, -40 40))", "CONVEX((0 0, 2000000), (10 10, 1000000))", "MULTICIRCLE((0 0, 500000), (60 10, 900000))"]
+    for text in shapes:
+        g = geo.parse_ewkt(text)
+        lon, lat = F.col("lon"), F.col("lat")
+        assert df.where(g._holds(lon, lat) & ~g.within_box(lon, lat)).count() == 0
+        assert 0 < df.where(g.contains(lon, lat)).count() == df.where(g._holds(lon, lat)).count()
+
+
+def test_other_reference_systems():
+    from fathom.functions.crs import DATUMS, geocentric, geodetic, to_wgs84
+
+    for srid, (axes, _) in DATUMS.items():
+        lon, lat = to_wgs84(10.0, 45.0, srid)
+        assert abs(lon - 10) < 0.02 and abs(lat - 45) < 0.02
+        assert max(map(abs, (a - b for a, b in zip(geodetic(*geocentric(-70.5, -33.25, axes), axes), (-70.5, -33.25), strict=True)))) < 1e-9
+    assert geo.parse_ewkt("SRID=4326;POINT(10 21)").points == [(10.0, 21.0)]
+    assert geo.parse_ewkt("SRID=4277;CIRCLE(-1 52, 10)").points != [(-1.0, 52.0)]
+    with pytest.raises(ValueError):
+        geo.parse_ewkt("SRID=9999;POINT(1 2)")
+
+
+def found(frame, q, **options):
+    return sorted(r[0] for r in Index(frame, text=("t",), **options).matching({"t": q}).select("_id").collect())
+
+
+def test_windows_in_text_queries(spark):
+    df = spark.createDataFrame([(1, "red small fox runs"), (2, "fox then a red hen"), (3, "red a b c d e f g h i j k fox"), (4, "red fox")], "_id int, t string")
+    assert parse_text("a NEAR/3 b NEAR c d").any == [("near", ["a", "b", "c"], 12), ("word", "d")]
+    assert found(df, "red NEAR/2 fox") == [1, 4] and found(df, "red NEAR/3 fox") == [1, 2, 4]
+    assert found(df, "red ADJ/3 fox") == [1, 4] and found(df, "red ADJ fox") == [1, 4] and found(df, "fox ADJ red") == [2]
+    assert found(df, {"_near": "fox red"}) == [1, 2, 4] and found(df, {"_phrase": "red fox"}) == [1, 4]
+
+
+def test_stems_stop_words_and_weights(spark):
+    df = spark.createDataFrame([(1, "relational tables"), (2, "a relation"), (3, "Relate it"), (4, "hopping the fence"), (5, None)], "_id int, t string")
+    assert found(df, "relations") == [] and found(df, "relations", stem="some") == [1, 2, 3] and found(df, "Relational", stem="some") == [1]
+    assert found(df, "Relates", stem="all") == [1, 2, 3] and found(df, "hops", stem="some") == [4] and found(df, '"hopping the"', stem="some") == [4]
+    assert found(df, "the hopping", stop_words=("the",)) == [4] and found(df, "the", stop_language="en") == []
+    plain = Index(df, text=("t",)).scored({"t": "fence"}).first()["_weight"]
+    heavy = Index(df, text=("t",), weights={"t": 3}).scored({"t": "fence"}).first()["_weight"]
+    assert heavy > plain > 0
+    stemmed = {r["_id"]: r["_weight"] for r in Index(df, text=("t",), stem="some").scored({"t": "relations fences"}).collect()}
+    assert set(stemmed) == {1, 2, 3, 4} and min(stemmed.values()) > 0
+
+
+def test_chinese_words_are_grams(spark):
+    df = spark.createDataFrame([(1, "我爱北京abc天安门"), (2, "北方 京城"), (3, "カタカナ text")], "_id int, t string")
+    assert found(df, "北京", cjk=True) == [1] and found(df, "京", cjk=True) == [1, 2] and found(df, "天安门", cjk=True) == [1]
+    assert found(df, "abc", cjk=True) == [1] and found(df, "タカ", cjk=True) == [3] and found(df, "北京") == []
+
+
+def test_a_stop_list_is_read_from_a_file(tmp_path):
+    from fathom.functions.text import read_stop_words
+
+    (tmp_path / "x.txt").write_text(" | a list\nel | the\n\nLa\n# no\n", encoding="utf-8")
+    assert read_stop_words(str(tmp_path / "x.txt")) == ["el", "la"]
