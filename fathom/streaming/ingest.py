@@ -5,21 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.store import latest
+from ..operators.table import Table
 
 
-def ingest(stream: DataFrame, table: str, key: str, order: str, checkpoint: str, once: bool = True):
-    """Starts folding the stream into the Parquet table; returns the running query.
+def ingest(stream: DataFrame, table: str, key: str, order: str, checkpoint: str, once: bool = True, keep: int = 3):
+    """Starts folding the stream into the table; returns the running query.
 
-    Each batch keeps the last row of each key, by `order`, and writes a new generation of the
-    table beside the old one; a batch that is run again gives the same generation.
+    Each batch keeps the last row of each key, by `order`, and rewrites the buckets that its
+    keys fall into. A batch that was committed before isn't folded again. The last `keep`
+    states stay readable.
     """
-    spark = stream.sparkSession
+    at = Table(stream.sparkSession, table, key)
+
+    def merge(stored: DataFrame | None, new: DataFrame) -> DataFrame:
+        return latest(new if stored is None else stored.unionByName(new, allowMissingColumns=True), key, order)
 
     def fold(batch: DataFrame, number: int) -> None:
-        new = latest(batch, key, order)
-        before = generation(spark, table, number - 1)
-        out = new if before is None else latest(before.unionByName(new, allowMissingColumns=True), key, order)
-        out.write.mode("overwrite").parquet(f"{table}/g{number:010d}")
+        if at.last_batch() >= number:
+            return
+        new = latest(batch, key, order).persist()
+        try:
+            if not new.isEmpty():
+                at.change(new, merge, batch=number)
+                at.expire(keep)
+        finally:
+            new.unpersist()
 
     writer = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -27,12 +37,5 @@ def ingest(stream: DataFrame, table: str, key: str, order: str, checkpoint: str,
 
 def generation(spark: SparkSession, table: str, number: int | None = None) -> DataFrame | None:
     """The table as of a batch, or as it is; null if nothing was written."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(table)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        return None
-    found = sorted(s.getPath().getName() for s in fs.listStatus(at) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    if number is not None:
-        found = [n for n in found if int(n[1:]) <= number]
-    return spark.read.parquet(f"{table}/{found[-1]}") if found else None
+    at = Table(spark, table, "")
+    return at.read() if number is None else at.as_of(number)

@@ -360,3 +360,64 @@ def test_a_stop_list_is_read_from_a_file(tmp_path):
 
     (tmp_path / "x.txt").write_text(" | a list\nel | the\n\nLa\n# no\n", encoding="utf-8")
     assert read_stop_words(str(tmp_path / "x.txt")) == ["el", "la"]
+
+
+def test_one_document_is_described(spark):
+    df = spark.createDataFrame([(1, "Red fox, red", "A b", [3, 3, 4], None)], "_id int, t string, k string, l array<int>, n int")
+    got = sorted(tuple(r) for r in Index(df, text=("t",), weights={"t": 2}).describe(1).where("field in ('t', 'k', 'l', 'n')").collect() if r.kind == "term")
+    assert got == [("term", "k", "a b", 1.0), ("term", "l", "3", 1.0), ("term", "l", "4", 1.0), ("term", "t", "fox", 2.0), ("term", "t", "red", 4.0)]
+    assert Index(df).get(1, "{k}").columns == ["k"]
+    blobs = spark.createDataFrame([(1, [("image/png", bytearray(b"x")), ("text/plain", bytearray(b"y"))])], "_id int, _blobs array<struct<content_type string, data binary>>")
+    assert bytes(Index(blobs).blob(1, "text/plain").first()[0]) == b"y"
+
+
+def test_scripts_see_the_stored_document(spark):
+    e = Engine()
+    e.create("a", spark.createDataFrame([(1, "x", 1), (2, "y", 5)], "_id int, v string, n int"))
+
+    def count(docs, method, by):
+        assert method == "upsert"
+        return docs.withColumn("n", F.coalesce("_old_doc.n", F.lit(0)) + by).where("v != 'no'")
+
+    e.script("count", count)
+    new = spark.createDataFrame([(1, "z", 0), (3, "w", 0), (2, "no", 0)], "_id int, v string, n int")
+    assert sorted(tuple(r) for r in e.write("a", new, "upsert", "count", by=10).frame.collect()) == [(1, "z", 11), (2, "y", 5), (3, "w", 10)]
+    e.settings("a", text=("v",), stem="all")
+    assert e.described("a")["settings"]["stem"] == "all" and e.described("a")["schema"]["n"] == "int"
+
+
+def test_tables_change_bucket_by_bucket(spark, tmp_path):
+    from fathom.operators.table import Table
+
+    table = Table(spark, str(tmp_path / "t"), "k", buckets=8)
+    assert table.read() is None
+    merge = lambda old, new: store.latest(new if old is None else old.unionByName(new), "k", "_version")
+    first = spark.createDataFrame([(k, "a", 1) for k in range(100)], "k int, v string, _version int")
+    assert table.change(first, merge) == 0
+    places = table.manifest(0)["buckets"]
+    assert table.change(spark.createDataFrame([(5, "b", 2), (200, "c", 1)], first.schema), merge, batch=7) == 1
+    moved = [b for b, p in table.manifest(1)["buckets"].items() if places.get(b) != p]
+    assert 1 <= len(moved) <= 2
+    assert {r.k: r.v for r in table.read().collect()} == {k: "a" for k in range(100)} | {5: "b", 200: "c"}
+    assert table.read(0).count() == 100 and table.as_of(3).count() == 100 and table.last_batch() == 7
+    raced = []
+
+    def slow(old, new):  # another writer commits in between, once
+        if not raced:
+            raced.append(1)
+            Table(spark, table.path, "k").change(spark.createDataFrame([(5, "won", 3)], first.schema), merge)
+        return merge(old, new)
+
+    assert table.change(spark.createDataFrame([(6, "later", 2)], first.schema), slow) == 3
+    assert {r.k: r.v for r in table.read().where("k in (5, 6)").collect()} == {5: "won", 6: "later"}
+    table.expire(1)
+    assert table.numbers() == [3] and table.read().count() == 101
+    with pytest.raises(store.VersionConflict):
+        table._commit(3, {})
+
+
+def test_an_index_is_committed(spark, tmp_path):
+    at = Index(spark.createDataFrame([(k, "x") for k in range(20)], "_id int, v string")).commit(str(tmp_path / "i"))
+    assert at.count() == 20
+    at = at.delete(spark.createDataFrame([(3,)], "_id int")).put(spark.createDataFrame([(4, "y"), (99, "z")], "_id int, v string")).commit(str(tmp_path / "i"))
+    assert at.count() == 20 and not at.exists(3) and at.get(4).first().v == "y"
