@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .crs import to_wgs84
 
 EARTH_M = 6_371_000.0
+SAME = 3e-8  # radians, some 20 cm: what the cosine of an angle can tell from 0
 UNITS = {"nmi": 1852.0, "mi": 1609.344, "km": 1000.0, "m": 1.0, "cm": 0.01, "mm": 0.001, "ft": 0.3048, "in": 0.0254, "yd": 0.9144, "NM": 1852.0}
 KINDS = ("POINT", "CIRCLE", "CONVEX", "POLYGON", "CHULL", "MULTIPOINT", "MULTICIRCLE", "MULTICONVEX", "MULTIPOLYGON", "MULTICHULL", "GEOMETRYCOLLECTION", "GEOMETRYINTERSECTION")
 
@@ -47,7 +48,7 @@ class Geometry:
         if self.kind == "CIRCLE":
             return *self.points[0], self.radius / EARTH_M
         if self.kind == "POINT":
-            return *self.points[0], 1e-9
+            return *self.points[0], 2 * SAME
         inner = [((lon, lat), 0.0) for lon, lat in self.points] or [(c[:2], c[2]) for c in (g.cap() for g in self.parts) if c]
         if not inner or self.parts and len(inner) < len(self.parts):
             return None
@@ -80,7 +81,7 @@ class Geometry:
 
     def _holds(self, lon: Column, lat: Column) -> Column:
         if self.kind == "POINT":
-            return angle(lon, lat, *self.points[0]) <= 1e-9
+            return angle(lon, lat, *self.points[0]) <= SAME
         if self.kind == "CIRCLE":
             return angle(lon, lat, *self.points[0]) <= self.radius / EARTH_M
         if self.kind in ("POLYGON", "CHULL"):

@@ -356,7 +356,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir, stem="some").matching({"text": "idiots"}).select("doc_id")
 
 
-def _bm25(words: list[str], where: str, scored: list[str] | None = None, limit: int = 20, times: int = 1) -> str:
+def _bm25(words: list[str], where: str, scored: list[str] | None = None, limit: int = 20, times: int = 1, boost: float = 1) -> str:
     """SQL of the ranking by BM25 over documents.text."""
     scored = words if scored is None else scored
     df = ", ".join(f"count(*) FILTER (list_contains(w, '{x}')) AS d{i}" for i, x in enumerate(scored))
@@ -365,7 +365,7 @@ def _bm25(words: list[str], where: str, scored: list[str] | None = None, limit:
         for i in range(len(scored))
     )
     freq = ", ".join(f"{times} * len(list_filter(w, lambda y: y = '{x}')) AS f{i}" for i, x in enumerate(scored))
-    return f"WITH d AS ({_WORDS}), s AS (SELECT count(*) AS n, avg(len(w)) AS m, {df} FROM d), k AS (SELECT *, {freq} FROM d, s WHERE {where}) SELECT doc_id, round({parts}, 6) AS weight FROM k ORDER BY weight DESC, doc_id LIMIT {limit}"
+    return f"WITH d AS ({_WORDS}), s AS (SELECT count(*) AS n, avg(len(w)) AS m, {df} FROM d), k AS (SELECT *, {freq} FROM d, s WHERE {where}) SELECT doc_id, round({f'{boost} * ({parts})' if boost != 1 else parts}, 6) AS weight FROM k ORDER BY weight DESC, doc_id LIMIT {limit}"
 
 
 def _ranked(spark: SparkSession, sf_dir: str, q: object, limit: int = 20, **options: object) -> DataFrame:
@@ -529,6 +529,113 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.toDF(*[c.strip("_") for c in out.columns])
 
 
+def _from(lon: float, lat: float) -> str:
+    """Radians from a customer's place to another."""
+    return f"acos(least(greatest(sin(radians({_LAT})) * sin(radians({lat})) + cos(radians({_LAT})) * cos(radians({lat})) * cos(radians({_LON} - {lon})), -1.0), 1.0))"
+
+
+def _near_sql(lon: float, lat: float, metres: int) -> str:
+    return f"{_from(lon, lat)} <= {metres} / 6371000.0"
+
+
+_BOX = [(0.5, -10.5), (40.5, -10.5), (40.5, 30.5), (0.5, 30.5)]
+_FAR_BOX = [(100.5, -10.5), (140.5, -10.5), (140.5, 30.5), (100.5, 30.5)]
+_text_of = lambda ring: ", ".join(f"{x} {y}" for x, y in [*ring, ring[0]])
+for _name, _shape, _where in (
+    ("geo_point", {"_point": {"_longitude": -179, "_latitude": -78}}, f"{_LON} = -179 AND {_LAT} = -78"),
+    ("geo_convex", {"_ewkt": "CONVEX((0.5 0.5, 3000000), (20.5 10.5, 2000000))"}, f"{_near_sql(0.5, 0.5, 3000000)} AND {_near_sql(20.5, 10.5, 2000000)}"),
+    ("geo_multipoint", {"_ewkt": "MULTIPOINT(-179 -78, -178 -71)"}, f"({_LON} = -179 AND {_LAT} = -78) OR ({_LON} = -178 AND {_LAT} = -71)"),
+    ("geo_multicircle", {"_ewkt": "MULTICIRCLE((0.5 0.5, 2000000), (179.5 10.5, 2000000))"}, f"{_near_sql(0.5, 0.5, 2000000)} OR {_near_sql(179.5, 10.5, 2000000)}"),
+    ("geo_multiconvex", {"_ewkt": "MULTICONVEX(((0.5 0.5, 3000000), (20.5 10.5, 2000000)), ((90.5 40.5, 2500000)))"}, f"({_near_sql(0.5, 0.5, 3000000)} AND {_near_sql(20.5, 10.5, 2000000)}) OR {_near_sql(90.5, 40.5, 2500000)}"),
+    ("geo_multipolygon", {"_ewkt": f"MULTIPOLYGON((({_text_of(_BOX)})), (({_text_of(_FAR_BOX)})))"}, f"({_ring_sql(_BOX)}) OR ({_ring_sql(_FAR_BOX)})"),
+    ("geo_chull", {"_ewkt": f"CHULL(({_text_of(_BOX)}, 20.5 10.5))"}, _ring_sql(_BOX)),
+    ("geo_collection", {"_ewkt": f"GEOMETRYCOLLECTION(CIRCLE(179.5 10.5, 2000000), POLYGON(({_text_of(_BOX)})))"}, f"{_near_sql(179.5, 10.5, 2000000)} OR ({_ring_sql(_BOX)})"),
+    ("geo_intersection", {"_ewkt": f"GEOMETRYINTERSECTION(CIRCLE(0.5 0.5, 3000000), POLYGON(({_text_of(_BOX)})))"}, f"{_near_sql(0.5, 0.5, 3000000)} AND ({_ring_sql(_BOX)})"),
+):
+    QUERIES[_name] = lambda spark, sf_dir, shape=_shape: places(spark, sf_dir).matching({"place": {"_in": shape}}).select("c_custkey")
+    ORACLE[_name] = f"SELECT c_custkey FROM customer WHERE {_where}"
+
+
+@query("geo_weight", f"SELECT c_custkey, round(pi() - {_from(10.0, 21.0)}, 6) AS weight FROM customer WHERE {_near_sql(10.0, 21.0, 3000000)}")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = places(spark, sf_dir).scored({"place": {"_in": {"_ewkt": "CIRCLE(10 21, 3000000)"}}})
+    return hits.select("c_custkey", F.round("_weight", 6).alias("weight"))
+
+
+_CELL = geo.trixel_ids([10.5], [21.5], 2)[0].item()
+
+
+@query("filter_accuracy_geo", _trixel_sql(2).replace("SELECT key, count(*) AS doc_count FROM", "SELECT c_custkey FROM").removesuffix("GROUP BY 1") + f"WHERE key = {_CELL}")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places(spark, sf_dir).matching({"place._geo2": _CELL}).select("c_custkey")
+
+
+# -- more of the language
+
+
+@query("range_weight", "SELECT o_orderkey, 1.0::DOUBLE AS weight FROM orders WHERE o_totalprice >= 300000")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir, "orders").scored("o_totalprice:300000..").select("o_orderkey", F.col("_weight").alias("weight"))
+
+
+filtered("filter_type_mismatch", "orders", {"o_orderkey": "1-URGENT"}, ["o_orderkey"], "lower(o_orderstatus) = '1-urgent' OR lower(o_orderpriority) = '1-urgent'")
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> Index:
+    """Events with a time of day and a span of time as text."""
+    at = F.pmod("event_id", F.lit(86400))
+    clock = F.format_string("%02d:%02d:%02d", F.floor(at / 3600).cast("int"), F.pmod(F.floor(at / 60), F.lit(60)).cast("int"), F.pmod(at, F.lit(60)).cast("int"))
+    return Index(read(spark, sf_dir, "events").select("event_id", clock.alias("at"), F.concat(F.lit("-"), clock).alias("span")), "event_id")
+
+
+@query("filter_accuracy_time", "SELECT event_id FROM events WHERE event_id % 86400 // 60 = 7")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _timed(spark, sf_dir).matching({"at._tminute": "00:07:30"}).select("event_id")
+
+
+@query("filter_accuracy_timedelta", "SELECT event_id FROM events WHERE floor(-(event_id % 86400) / 60.0) = -8")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _timed(spark, sf_dir).matching({"span._tdminute": "-00:07:30"}).select("event_id")
+
+
+@query("agg_cardinality", "SELECT count(DISTINCT c_mktsegment) AS cardinality FROM customer")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir, "customer").aggregations({"m": {"_cardinality": {"_field": "c_mktsegment"}}})["m"].select(F.col("_cardinality").alias("cardinality"))
+
+
+@query("bucket_missing", "SELECT 'missing' AS key, count(*) AS doc_count FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = read(spark, sf_dir, "customer").withColumn("segment", F.nullif("c_mktsegment", F.lit("BUILDING")))
+    return Index(frame, "c_custkey").aggregations({"m": {"_missing": {"_field": "segment"}}})["m"]
+
+
+@query("search_ranked", f"SELECT doc_id, CAST(row_number() OVER (ORDER BY w DESC, doc_id) - 1 AS INTEGER) AS rank, round(100 * w / max(w) OVER (), 4) AS percent FROM ({_bm25(['idiot', 'clown'], "list_has_any(w, ['idiot', 'clown'])", limit=10).replace('AS weight', 'AS w').replace('ORDER BY weight', 'ORDER BY w')})")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = texts(spark, sf_dir).search({"text": "idiot clown"}, ranked=True)
+    return hits.select("doc_id", F.col("_rank").alias("rank"), F.round("_percent", 4).alias("percent"))
+
+
+_EITHER = _bm25(["idiot", "clown"], "list_has_any(w, ['idiot', 'clown'])")
+for _op in ("_synonym", "_max"):
+    QUERIES[f"text{_op}"] = lambda spark, sf_dir, op=_op: _ranked(spark, sf_dir, {"text": {op: "idiot clown"}})
+    ORACLE[f"text{_op}"] = _EITHER.replace("round(CASE", "round(greatest(CASE").replace(" END + CASE WHEN f1", " END, CASE WHEN f1").replace("END, 6)", "END), 6)")
+
+
+@query("boost", _bm25(["idiot"], "list_contains(w, 'idiot')", boost=2.5))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir, {"_boost": {"_query": {"text": "idiot"}, "_factor": 2.5}})
+
+
+@query("get_selected", "SELECT o_totalprice FROM orders WHERE o_orderkey = 3")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir, "orders").get(3, "{o_totalprice}")
+
+
+@query("doc_terms", f"WITH d AS ({_WORDS} WHERE doc_id = 3) SELECT 'text' AS field, word AS value, count(*)::DOUBLE AS wdf FROM (SELECT unnest(w) AS word FROM d) GROUP BY 2 UNION ALL SELECT 'lang', lower(lang), 1.0::DOUBLE FROM d")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).describe(3).where("kind = 'term' and field in ('text', 'lang')").select("field", "value", "wdf")
+
+
 # -- functions
 
 
@@ -598,6 +705,17 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.delete(base, new, "o_orderkey").select("o_orderkey")
 
 
+@query("doc_script", f"SELECT o_orderkey, CASE WHEN k IS NULL THEN o_orderstatus ELSE 'X' END AS o_orderstatus, CASE WHEN k IS NULL THEN o_totalprice ELSE o_totalprice + 5 END AS o_totalprice FROM orders LEFT JOIN {_NEW} ON k = o_orderkey")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..engine import Engine
+
+    base, new = (x.drop(store.VERSION) for x in _changes(spark, sf_dir))
+    e = Engine()
+    e.create("orders", base, id_field="o_orderkey")
+    e.script("raise", lambda docs, method, by: docs.where("_old_doc is not null").withColumn("o_totalprice", F.col("_old_doc.o_totalprice") + by))
+    return e.write("orders", new, "update", "raise", by=5).frame
+
+
 @query("doc_patch", "SELECT c_custkey, c_name AS title, least(c_nationkey + 5, 20) AS c_nationkey, 'new' AS c_mktsegment FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT c_custkey, NULL, c_nationkey, c_mktsegment FROM customer WHERE c_acctbal < 0")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = [{"op": "copy", "from": "/c_name", "path": "/title"}, {"op": "incr", "path": "/c_nationkey", "value": 5, "limit": 20}, {"op": "replace", "path": "/c_mktsegment", "value": "new"}]
