@@ -233,7 +233,7 @@ def _sizes_fit(a: str, b: str, percent: int):
 
 
 def _first_shared(loose: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(id, n, c, s): the shingles by which documents of different components may be linked.
+    """(id, n, c, m, s): the shingles by which documents of different components may be linked.
 
     A link of a document of n shingles takes percent * n / 100 common ones at least, all of
     which another component holds, too. Of m such shingles in an order that all documents
@@ -244,20 +244,23 @@ def _first_shared(loose: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     shared = items.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")).where("lo != hi").select("s", "df")
     ordered = items.join(shared, "s").groupBy("id", "n", "c").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"))
     slots = F.size("x") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    return ordered.where(slots > 0).select("id", "n", "c", F.explode(F.slice("x", F.lit(1), slots)).alias("x")).select("id", "n", "c", "x.s")
+    return ordered.where(slots > 0).select("id", "n", "c", F.size("x").alias("m"), F.explode(F.slice("x", F.lit(1), slots)).alias("x")).select("id", "n", "c", "m", "x.s")
 
 
 def _across(first: DataFrame, percent: int) -> DataFrame:
     """(a, b) of different components and fitting sizes that have a first shingle in common.
 
     Per shingle, only members of other components than the largest one are held against all,
-    so a component of k near copies costs k pairs for each document beside it, not k * k.
+    so a component of k near copies costs k pairs for each document beside it, not k * k. Two
+    documents have m common shingles at most, by either's count; where that is too few for
+    their sizes, they aren't paired.
     """
     lead = first.groupBy("s", "c").agg(F.count("*").alias("k")).groupBy("s").agg(F.max_by("c", F.struct("k", "c")).alias("lead"))
     placed = first.join(lead, "s")
-    x, y = (placed.select(*[F.col(c).alias(f"{c}{k}") for c in ("s", "lead", "id", "n", "c")]) for k in "xy")
+    x, y = (placed.select(*[F.col(c).alias(f"{c}{k}") for c in ("s", "lead", "id", "n", "c", "m")]) for k in "xy")
+    enough = (100 + percent) * F.least("mx", "my") >= percent * (F.col("nx") + F.col("ny"))
     once = (F.col("cy") == F.col("leady")) | (F.col("idx") > F.col("idy"))
-    pairs = x.where("cx != leadx").join(y, (F.col("sx") == F.col("sy")) & (F.col("cx") != F.col("cy")) & once & _sizes_fit("nx", "ny", percent))
+    pairs = x.where("cx != leadx").join(y, (F.col("sx") == F.col("sy")) & (F.col("cx") != F.col("cy")) & once & _sizes_fit("nx", "ny", percent) & enough)
     return pairs.select(F.greatest("idx", "idy").alias("a"), F.least("idx", "idy").alias("b"))
 
 

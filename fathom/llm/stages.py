@@ -34,18 +34,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group, that of the least doc_id.
 
-    Of rows that share a doc_id one stays; rows with a null doc_id all do.
+    Where ids repeat or are null, rows get numbers of their own first, so that each is judged
+    by its own text, and the first row of each group stays.
     """
     from .setsketch import near_duplicates
 
-    found = saved(near_duplicates(docs, words=5, percent=80), "groups")
-    gone = found.where("not kept").select("doc_id").distinct().hint("merge")
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return left
-    rest = left.join(again, "doc_id", "left_anti").select(docs.columns)
-    return rest.unionByName(left.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    named, key = docs, "doc_id"
+    unclear = docs.groupBy("doc_id").count().where("doc_id is null or count > 1")
+    if not unclear.isEmpty():
+        key = "__row" + "_" * max(map(len, docs.columns))  # no column has that name
+        named = saved(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    found = saved(near_duplicates(named, words=5, percent=80, id_col=key), "groups")
+    gone = found.where("not kept").select(F.col("doc_id").alias(key)).hint("merge")  # a share of all: merged at every size
+    return named.join(gone, key, "left_anti").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,14 @@ def test_each_stage_does_what_its_operator_decides(spark):
     assert 0 < len(cut) <= len({(r.lang, r.source) for r in mixed.values()})
 
 
+def test_rows_of_one_id_or_none_are_judged_by_their_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (1, a), (None, c), (None, c + " end"), (None, None), (2, b + " end"), (3, None)]
+    docs = spark.createDataFrame([(*x, "__row") for x in rows], "doc_id long, text string, note string")
+    left = sorted(((r.doc_id, (r.text or "")[:2]) for r in stages.near_dedup(spark, docs.coalesce(1), SF).collect()), key=str)
+    assert left == sorted([(1, "a0"), (1, "b0"), (None, "c0"), (None, ""), (3, "")], key=str)
+
+
 def ids(frame):
     return sorted(r.doc_id for r in frame.collect())
 
