@@ -16,7 +16,7 @@ from .boost import Boosted, fit
 from .html import TOKENS, Page, features
 
 YES, NO = "\ue000", "\ue001"  # begin each text run that is, or is not, main text
-PAGES = 3200
+PAGES = 4000
 
 
 class Maker:
@@ -27,6 +27,7 @@ class Maker:
         self.words = ["".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(400)]
         self.glue = r.choice([" "] * 6 + [" | ", "!! ", "*** ", " "])  # between the words of prose
         self.sep = r.choice(["", "", "\n", "\n  "])
+        self.junk = r.choice([None] * 7 + [["%%%", "***", "$$$", "###", "&amp;&amp;&amp;", ""]])  # after each word of prose
 
     def phrase(self, a: int, b: int) -> str:
         return " ".join(self.r.choice(self.words) for _ in range(self.r.randint(a, b)))
@@ -36,6 +37,8 @@ class Maker:
         for _ in range(sentences):
             s = self.phrase(1, 3) if self.r.random() < 0.2 else self.phrase(4, 22)
             s = s.replace(" ", self.glue)
+            if self.junk:
+                s = " ".join(w + self.r.choice(self.junk) for w in s.split(" "))
             if self.r.random() < 0.4:
                 s = s.replace(" ", ", ", 1)
             out.append(s.capitalize() + self.r.choice("...!?"))
@@ -92,7 +95,7 @@ class Maker:
 
     def article(self) -> str:
         r = self.r
-        size = r.choice([1, 1, 2, 3, 5, 8, 12, 20])
+        size = r.choice([1, 1, 2, 3, 5, 8, 12, 20, 30])
         long = r.choice([1, 2, 4, 7])
         bare = r.random() < 0.15  # text in divs or divided by <br>
         parts = []

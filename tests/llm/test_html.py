@@ -1,10 +1,12 @@
+import os
 import random
+import re
 import time
 
 import numpy as np
 import pytest
 
-from fathom.llm.html import Page, decode, features, main_text
+from fathom.llm.html import Page, decode, extract, features, main_text, shipped_model
 
 
 def page(r):
@@ -108,3 +110,19 @@ def ancestors(made, i):
         out.append(i)
         i = made.parent[i]
     return out
+
+
+def test_articles_of_the_test_pages_are_whole():
+    """The test tables hold one article a page, beside menus, adverts and footers."""
+    from html import unescape
+
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    pages = [p for p in pq.read_table(path).column("html").to_pylist() if p]
+    got = extract(pages, shipped_model())
+    for html, text in zip(pages, got, strict=True):
+        inner = re.search(r"<article[^>]*>(.*)</article>", html, re.DOTALL)
+        assert text.split() == unescape(re.sub(r"<[^>]+>", " ", inner[1])).split()
