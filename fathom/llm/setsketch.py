@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from .common import components, discard, lean, saved
 REGISTERS, ROWS = 96, 4  # 24 bands; a pair at 0.8 meets in none of them once in 3e5
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 FEW = 32  # members of a bucket that all meet
+LONGS = 16  # of 64 bins each; see parities()
+_BITS = [f"b{k}" for k in range(LONGS)]
 CHUNK = 1 << 14  # shingles hashed at a time, so that the work stays in cache
 PIECE = 1 << 20  # bytes of text hashed at a time
 
@@ -212,9 +215,24 @@ def _set_pass(words: int):
                 part = batch.slice(at, 500)
                 sets = [s.view(np.int64) for s in shingle_sets(part.column(1).to_pylist(), words)]
                 to = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(to), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], names=["id", "set"])
+                bits = parities(sets)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(to), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))), *[pa.array(bits[:, k]) for k in range(LONGS)]], names=["id", "set", *_BITS]
+                )
+
+    return run, f"id long, set array<long>, {', '.join(f'{b} long' for b in _BITS)}"
+
 
-    return run, "id long, set array<long>"
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """(len(sets), LONGS) int64: how many shingles fall into each of 64 * LONGS bins, modulo 2.
+
+    The bins in which two sets differ are no more than the shingles that one of them has alone.
+    """
+    out = np.zeros((len(sets), LONGS), np.int64)
+    for k, s in enumerate(sets):
+        odd = np.bincount((s.view(np.uint64) * _STEP >> np.uint64(64 - 6 - LONGS.bit_length() + 1)).astype(np.int64), minlength=64 * LONGS) & 1
+        out[k] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return out
 
 
 @lean
@@ -233,7 +251,7 @@ def _sizes_fit(a: str, b: str, percent: int):
 
 
 def _first_shared(loose: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(id, n, c, m, s): the shingles by which documents of different components may be linked.
+    """(id, n, c, m, at, s, and parities): the shingles by which documents of different components may be linked.
 
     A link of a document of n shingles takes percent * n / 100 common ones at least, all of
     which another component holds, too. Of m such shingles in an order that all documents
@@ -244,7 +262,9 @@ def _first_shared(loose: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     shared = items.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")).where("lo != hi").select("s", "df")
     ordered = items.join(shared, "s").groupBy("id", "n", "c").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"))
     slots = F.size("x") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    return ordered.where(slots > 0).select("id", "n", "c", F.size("x").alias("m"), F.explode(F.slice("x", F.lit(1), slots)).alias("x")).select("id", "n", "c", "m", "x.s")
+    bits = sets.select("id", F.size("set").alias("n"), *_BITS)
+    placed = ordered.where(slots > 0).join(bits, ["id", "n"])
+    return placed.select("id", "n", "c", F.size("x").alias("m"), *_BITS, F.posexplode(F.slice("x", F.lit(1), slots)).alias("at", "x")).select("id", "n", "c", "m", *_BITS, "at", "x.s")
 
 
 def _across(first: DataFrame, percent: int) -> DataFrame:
@@ -252,13 +272,16 @@ def _across(first: DataFrame, percent: int) -> DataFrame:
 
     Per shingle, only members of other components than the largest one are held against all,
     so a component of k near copies costs k pairs for each document beside it, not k * k. Two
-    documents have m common shingles at most, by either's count; where that is too few for
-    their sizes, they aren't paired.
+    documents aren't paired by their first common shingle where either has too few after it,
+    or where their parities differ in more bins than they may have shingles of their own.
     """
     lead = first.groupBy("s", "c").agg(F.count("*").alias("k")).groupBy("s").agg(F.max_by("c", F.struct("k", "c")).alias("lead"))
     placed = first.join(lead, "s")
-    x, y = (placed.select(*[F.col(c).alias(f"{c}{k}") for c in ("s", "lead", "id", "n", "c", "m")]) for k in "xy")
-    enough = (100 + percent) * F.least("mx", "my") >= percent * (F.col("nx") + F.col("ny"))
+    # "at" counts from 0: of the m shingles in their common order, m - at begin at this one.
+    x, y = (placed.select(*[F.col(c).alias(f"{c}{k}") for c in ("s", "lead", "id", "n", "c", "m", "at", *_BITS)]) for k in "xy")
+    apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{b}x").bitwiseXOR(F.col(f"{b}y"))) for b in _BITS])
+    enough = (100 + percent) * F.least(F.col("mx") - F.col("atx"), F.col("my") - F.col("aty")) >= percent * (F.col("nx") + F.col("ny"))
+    enough = enough & ((100 + percent) * apart <= (100 - percent) * (F.col("nx") + F.col("ny")))
     once = (F.col("cy") == F.col("leady")) | (F.col("idx") > F.col("idy"))
     pairs = x.where("cx != leadx").join(y, (F.col("sx") == F.col("sy")) & (F.col("cx") != F.col("cy")) & once & _sizes_fit("nx", "ny", percent) & enough)
     return pairs.select(F.greatest("idx", "idy").alias("a"), F.least("idx", "idy").alias("b"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from fathom.llm.common import components
-from fathom.llm.setsketch import REGISTERS, joint_estimate, near_duplicates, shingle_sets, sketches
+from fathom.llm.setsketch import REGISTERS, joint_estimate, near_duplicates, parities, shingle_sets, sketches
 
 from . import helpers
 
@@ -72,6 +72,16 @@ def test_sketches_merge_and_estimate():
     assert abs(joint_estimate([len(np.unique(x))], [len(both)], np.array([(one > two).sum()]), np.array([(one < two).sum()]))[0] - true) < 5 / REGISTERS**0.5
 
 
+def test_parities_differ_in_no_more_bins_than_sets_in_shingles():
+    r = np.random.default_rng(5)
+    for n in (1, 5, 100, 900, 5000):
+        a = np.unique(r.integers(0, 2**63, n)).astype(np.int64)
+        b = np.unique(np.concatenate([a[: n // 2], r.integers(0, 2**63, n // 3)])).astype(np.int64)
+        p, q, same = parities([a, b, a.copy()])
+        apart = sum(int(x).bit_count() for x in (p ^ q).view(np.uint64))
+        assert (p == same).all() and apart <= len(np.setxor1d(a, b)) and (n < 100 or apart > 20)
+
+
 def test_long_texts_are_read_whole(monkeypatch):
     r = random.Random(4)
     some = [" ".join(r.choice(["a", "bc", "d" * 40, "é\t", "\n"]) for _ in range(r.randint(0, 60))) for _ in range(50)]
