@@ -105,7 +105,8 @@ filtered("filter_date_range", "orders", {"o_orderdate": {"_in": {"_range": {"_fr
 filtered("filter_date_math", "orders", {"o_orderdate": {"_in": {"_range": {"_from": "1997-03-15||//M", "_to": "1997-03-15||+1M/M"}}}}, ["o_orderkey"], "o_orderdate >= TIMESTAMP '1997-03-01' AND o_orderdate < TIMESTAMP '1997-05-01'")
 filtered("filter_exists", "customer", {"c_mktsegment": "*"}, ["c_custkey"], "c_mktsegment IS NOT NULL")
 filtered("filter_prefix", "part", {"p_type": "STANDARD*"}, ["p_partkey"], "lower(p_type) LIKE 'standard%'")
-filtered("filter_partial", "part", {"p_name": "sm**"}, ["p_partkey"], "lower(p_name) LIKE 'sm%'")
+filtered("filter_partial", "part", {"p_name": "sm**"}, ["p_partkey"], "lower(p_name) IN (SELECT v FROM (SELECT lower(p_name) AS v, count(*) AS c FROM part WHERE lower(p_name) LIKE 'sm%' GROUP BY 1 ORDER BY c DESC, v LIMIT 50))")
+filtered("filter_partial_frequent", "customer", {"c_name": "customer#0**"}, ["c_custkey"], "lower(c_name) IN (SELECT v FROM (SELECT lower(c_name) AS v, count(*) AS c FROM customer WHERE lower(c_name) LIKE 'customer#0%' GROUP BY 1 ORDER BY c DESC, v LIMIT 50))")
 filtered("filter_glob", "part", {"p_name": {"_wildcard": "s*l r?ng"}}, ["p_partkey"], "regexp_full_match(lower(p_name), 's.*l r.ng')")
 filtered("filter_fuzzy_keyword", "part", {"p_name": "smoll rong~3"}, ["p_partkey"], "levenshtein(lower(p_name), 'smoll rong') <= 3")
 filtered("filter_case_insensitive", "customer", {"c_mktsegment": "bUiLdInG"}, ["c_custkey"], "lower(c_mktsegment) = 'building'")

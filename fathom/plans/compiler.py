@@ -369,7 +369,9 @@ class Compiler:
             word, most = (fuzzy[0], int(fuzzy[2] or 2)) if fuzzy[1] else (value, 2)
             return Node(self.each(f, lambda x: F.levenshtein(fold(x), F.lit(word), most) >= 0), _ZERO)
         if mode == "_partial" or value.endswith("**"):
-            return Node(self.each(f, lambda x: fold(x).startswith(value.rstrip("*"))), _ZERO)
+            prefix = value.rstrip("*")
+            few = self.frequent_values(f, fold, prefix)
+            return Node(self.each(f, lambda x: fold(x).startswith(prefix) if few is None else fold(x).isin(few)), _ZERO)
         if "*" in value or "?" in value and mode == "_wildcard":
             if value.find("*") == len(value) - 1 and "?" not in value:
                 return Node(self.each(f, lambda x: fold(x).startswith(value[:-1])), _ZERO)
@@ -452,6 +454,12 @@ class Compiler:
         rows = self.schema.frame.select(F.explode(F.array_distinct(self.tokens(f))).alias("w")).where(F.col("w").startswith(prefix))
         return [r.w for r in rows.groupBy("w").count().orderBy(F.desc("count"), "w").limit(EXPANSION).collect()]
 
+    def frequent_values(self, f: Field, fold: Callable[[Column], Column], prefix: str) -> list[str] | None:
+        """The EXPANSION most frequent values that begin so; null if there are no more than these."""
+        values = self.schema.frame.select(F.explode(F.array_distinct(f.column)).alias("v") if f.array else f.column.alias("v")).select(fold(F.col("v")).alias("v"))
+        rows = values.where(F.col("v").startswith(prefix)).groupBy("v").count().orderBy(F.desc("count"), "v").limit(EXPANSION + 1).collect()
+        return [r.v for r in rows[:EXPANSION]] if len(rows) > EXPANSION else None
+
     # -- buckets and places
 
     def bucket(self, name: str, unit: str, value: object) -> Node:
