@@ -328,6 +328,60 @@ def trixel_ids(lon: np.ndarray, lat: np.ndarray, level: int) -> np.ndarray:
     return ids
 
 
+def cover(shape: Geometry, level: int, most: int = 64) -> list[tuple[int, int]]:
+    """Ranges of mesh ids of a level (both ends included) that hold every point of the geometry.
+
+    Convex shapes and intersections intersect their parts' covers, collections unite them;
+    other shapes are covered by the triangles that meet a circle around them. The least gaps
+    are closed until at most `most` ranges are left.
+    """
+    if shape.kind in ("CONVEX", "GEOMETRYINTERSECTION"):
+        found = cover(shape.parts[0], level, most)
+        for g in shape.parts[1:]:
+            found = intersect_ranges(found, cover(g, level, most))
+    elif shape.parts or shape.kind not in ("POINT", "CIRCLE", "POLYGON", "CHULL"):
+        found = []
+        for g in shape.parts:
+            found = union_ranges(found, cover(g, level, most))
+    else:
+        found = _circle_cover(shape.cap(), level)
+    while len(found) > most:
+        k = min(range(1, len(found)), key=lambda i: found[i][0] - found[i - 1][1])
+        found = [*found[: k - 1], (found[k - 1][0], found[k][1]), *found[k + 1 :]]
+    return found
+
+
+def _circle_cover(cap: tuple[float, float, float] | None, level: int) -> list[tuple[int, int]]:
+    """Ranges of the triangles that meet a circle; triangles wholly within it aren't divided."""
+    if cap is None:
+        return [(8 << 2 * level, (16 << 2 * level) - 1)]
+    middle, reach = unit(cap[0], cap[1]), cap[2] + 1e-9
+    apart = lambda u, v: math.acos(max(-1.0, min(1.0, _dot(u, v))))
+    out: list[tuple[int, int]] = []
+    todo = [(8 + k, tuple(tuple(_CORNERS[i]) for i in face), 0) for k, face in enumerate(_FACES)]
+    while todo:
+        at, (u, v, w), depth = todo.pop()
+        heart = _between(*(tuple(sum(c) for c in zip(u, v, w, strict=True)),) * 2)
+        size = max(apart(heart, x) for x in (u, v, w))
+        off = apart(heart, middle)
+        if off > reach + size + 1e-9:
+            continue
+        shift = 2 * (level - depth)
+        if shift == 0 or off + size <= reach and reach < math.pi / 2:
+            out.append((at << shift, ((at + 1) << shift) - 1))
+            continue
+        a, b, c = _between(v, w), _between(u, w), _between(u, v)
+        todo += [(4 * at + k, t, depth + 1) for k, t in enumerate([(u, c, b), (v, a, c), (w, b, a), (a, b, c)])]
+    return union_ranges(out, [])
+
+
+def _between(u: tuple, v: tuple) -> tuple[float, float, float]:
+    """The middle of the arc between two points."""
+    w = [float(x + y) for x, y in zip(u, v, strict=True)]
+    size = math.sqrt(_dot(w, w))
+    return w[0] / size, w[1] / size, w[2] / size
+
+
 def trixel(lon: Column, lat: Column, level: int) -> Column:
     """The mesh id of the point at a level from 0 to 25."""
     if not 0 <= level <= 25:

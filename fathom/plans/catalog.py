@@ -557,6 +557,15 @@ for _name, _shape, _where in (
     ORACLE[_name] = f"SELECT c_custkey FROM customer WHERE {_where}"
 
 
+@query("geo_mesh_ranges", f"SELECT c_custkey FROM customer WHERE {_near_sql(0.5, 0.5, 3000000)} AND ({_ring_sql(_BOX)})")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = places(spark, sf_dir).schema
+    lon, lat = at.points["place"]
+    frame = at.frame.withColumn("mesh", geo.trixel(lon, lat, 8))
+    shape = f"GEOMETRYINTERSECTION(CIRCLE(0.5 0.5, 3000000), POLYGON(({_text_of(_BOX)})))"
+    return Index(frame, "c_custkey", points=at.points, meshes={"place": ("mesh", 8)}).matching({"place": {"_in": {"_ewkt": shape}}}).select("c_custkey")
+
+
 @query("geo_weight", f"SELECT c_custkey, round(pi() - {_from(10.0, 21.0)}, 6) AS weight FROM customer WHERE {_near_sql(10.0, 21.0, 3000000)}")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = places(spark, sf_dir).scored({"place": {"_in": {"_ewkt": "CIRCLE(10 21, 3000000)"}}})

@@ -57,13 +57,16 @@ class Schema:
     bool_terms, as are those listed. weights: name -> what each occurrence in a text field
     counts for in ranking. Words of stop_language, or stop_words, are no tokens. stem: "some"
     compares stems of plain words that don't begin with a capital letter, "all" of all words
-    but in patterns (English; see porter). cjk: see text.tokens.
+    but in patterns (English; see porter). cjk: see text.tokens. meshes: name of a place ->
+    (column of its mesh ids, their level); where there is one, shapes are looked for by
+    ranges of ids first, which a scan of sorted files can skip by.
     """
 
     frame: DataFrame
     text: tuple[str, ...] = ()
     bool_terms: tuple[str, ...] = ()
     points: dict[str, tuple[Column, Column]] = field(default_factory=dict)
+    meshes: dict[str, tuple[str, int]] = field(default_factory=dict)
     id_field: str | None = None
     stop_language: str | None = None
     stop_words: tuple[str, ...] = ()
@@ -501,7 +504,11 @@ class Compiler:
             inner = value.get("_in", value)
             ((kind, v),) = inner.items() if isinstance(inner, dict) else (("_ewkt", inner),)
             shape = geo.parse_ewkt(v) if kind == "_ewkt" else geo.from_object(kind, v)
-        return Node(F.coalesce(shape.contains(lon, lat), F.lit(False)), lambda _: math.pi - geo.angle(lon, lat, *shape.centroid()))
+        held = shape.contains(lon, lat)
+        if name in self.schema.meshes:
+            ids, level = self.schema.meshes[name]
+            held = _any([F.col(ids).between(a, b) for a, b in geo.cover(shape, level)]) & held
+        return Node(F.coalesce(held, F.lit(False)), lambda _: math.pi - geo.angle(lon, lat, *shape.centroid()))
 
 
 def _in_field(q: object, name: str) -> object:

@@ -421,3 +421,28 @@ def test_an_index_is_committed(spark, tmp_path):
     assert at.count() == 20
     at = at.delete(spark.createDataFrame([(3,)], "_id int")).put(spark.createDataFrame([(4, "y"), (99, "z")], "_id int, v string")).commit(str(tmp_path / "i"))
     assert at.count() == 20 and not at.exists(3) and at.get(4).first().v == "y"
+
+
+def test_covers_hold_their_shapes():
+    import math
+    import random
+
+    import numpy as np
+
+    r = random.Random(9)
+    points = [(r.uniform(-180, 180), math.degrees(math.asin(r.uniform(-1, 1)))) for _ in range(4000)] + [(r.uniform(-3, 3), r.uniform(-3, 3)) for _ in range(500)]
+    vectors = np.array([geo.unit(*p) for p in points])
+    near = lambda lon, lat, metres: np.arccos(np.clip(vectors @ np.array(geo.unit(lon, lat)), -1, 1)) <= metres / geo.EARTH_M
+    cases = {
+        "CIRCLE(0 0, 300000)": near(0, 0, 300000), "CIRCLE(179 80, 3000000)": near(179, 80, 3000000), "CONVEX((0 0, 300000), (2 1, 250000))": near(0, 0, 300000) & near(2, 1, 250000),
+        "MULTICIRCLE((0 0, 100000), (60 10, 900000))": near(0, 0, 100000) | near(60, 10, 900000),
+    }
+    for level in (2, 7):
+        ids = geo.trixel_ids(*np.array(points).T, level)
+        for text, inside in cases.items():
+            ranges = geo.cover(geo.parse_ewkt(text), level)
+            held = np.zeros(len(points), bool)
+            for a, b in ranges:
+                held |= (ids >= a) & (ids <= b)
+            assert held[inside].all() and inside.any() and len(ranges) <= 64
+            assert level < 7 or held.sum() < 0.5 * len(points)
