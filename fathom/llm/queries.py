@@ -81,6 +81,10 @@ def op5_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+_WORDS_SQL = "list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda y: y <> '')"
+_PAIRS_SQL = "list_distinct(list_transform(range(1, len({0})), lambda k: ({0})[k] || ' ' || ({0})[k + 1]))"
+
+
 def _license_sql() -> str:
     from .licenses import TEMPLATES, THRESHOLD, bigrams, normal_words
 
@@ -93,8 +97,16 @@ def _license_sql() -> str:
         g AS (SELECT doc_id, scope, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1),
         d AS (SELECT doc_id, scope, license, 2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM g, t
               WHERE len(g) >= len(b) * {THRESHOLD} / (2 - {THRESHOLD}) - 1e-9 AND len(g) <= len(b) * (2 - {THRESHOLD}) / {THRESHOLD} + 1e-9),
-        m AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, scope = 'line', license) AS k
-              FROM d WHERE dice >= {THRESHOLD} - 1e-12)
+        l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_WORDS_SQL.format("x")}), lambda w: len(w) > 0) AS lines FROM documents WHERE contains(text, chr(10))),
+        near AS (SELECT doc_id, lines, license, b FROM l, t WHERE len(lines) > 1 AND len(list_intersect({_PAIRS_SQL.format("flatten(lines)")}, b)) >= len(b) * {THRESHOLD} / (2 - {THRESHOLD}) - 1e-9),
+        i AS (SELECT *, unnest(range(1, len(lines))) AS i FROM near),
+        j AS (SELECT *, unnest(range(i + 1, len(lines) + 1)) AS j FROM i),
+        run AS (SELECT doc_id, license, max(2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b))) AS dice FROM (SELECT doc_id, license, b, {_PAIRS_SQL.format("flatten(lines[i:j])")} AS g FROM j) GROUP BY 1, 2),
+        one AS (SELECT doc_id, license, max(2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b))) AS alone FROM (
+            SELECT doc_id, license, b, {_PAIRS_SQL.format("w")} AS g FROM (SELECT doc_id, license, b, unnest(list_prepend(flatten(lines), lines)) AS w FROM near)) GROUP BY 1, 2),
+        every AS (SELECT * FROM d UNION ALL SELECT doc_id, 'lines', license, dice FROM run JOIN one USING (doc_id, license) WHERE dice > alone + 1e-12),
+        m AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, scope <> 'text', license, scope) AS k
+              FROM every WHERE dice >= {THRESHOLD} - 1e-12)
         SELECT doc_id, license, dice, scope, CAST(coalesce(n, 0) AS BIGINT) AS n_matches
         FROM (SELECT doc_id FROM documents) LEFT JOIN (FROM m WHERE k = 1) USING (doc_id)
     """

@@ -1,6 +1,10 @@
 import random
+import re
 import textwrap
 
+import duckdb
+
+from fathom.llm import queries
 from fathom.llm.licenses import TEMPLATES, THRESHOLD, bigrams, normal_words, scan, size_bounds
 
 
@@ -72,3 +76,26 @@ def test_wrapped_passages_within_longer_texts(spark):
         assert got[d].n_matches == n + len(runs)
         assert abs((got[d].dice or 0) - max([near or 0, *runs.values()])) < 1e-9
         assert (got[d].scope == "lines") == (max(runs.values(), default=0) > (near or 0))
+
+
+FULL = {
+    "MIT-license": "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + "\n\n".join(textwrap.fill(x, 78) for x in re.split(r"(?<=conditions:) |(?<=portions of the Software\\.) ", TEMPLATES["MIT-license"])),
+    "BSD-2-Clause": "Copyright 2019 Some People. All rights reserved.\n\n" + textwrap.fill(TEMPLATES["BSD-2-Clause"], 72),
+    "Apache-2.0-notice": "\n".join("// " + x for x in ["Copyright 2021 The Authors", "", *textwrap.wrap(TEMPLATES["Apache-2.0-notice"], 70)]) + "\n\npackage main\n\nimport fmt\n\nfunc main() { fmt.Println(1) }\n",
+    "GPL-2.0-header": "/*\n" + "\n".join(" * " + x for x in textwrap.wrap(TEMPLATES["GPL-2.0-header"], 66)) + "\n */\nint main(void)\n{\n    return 0;\n}\n",
+}
+
+
+def test_whole_licences_wrapped_in_files_are_found_as_by_the_sql(spark, tmp_path):
+    code = "\n".join(f"value_{i} = compute(value_{i - 1}, {i})" for i in range(25))
+    texts = [*FULL.values(), *[f"{x}\n{code}" for x in FULL.values()], code, "All rights reserved.\nplain words of text", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op5_license_dice(spark, str(tmp_path)).collect()}
+    for d, k in enumerate([*FULL, *FULL]):
+        assert got[d].license.split("-")[0] == k.split("-")[0] and got[d].dice >= 0.8, (k, got[d])
+    assert got[len([*FULL, *FULL])].license is None
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    show = lambda r: (r[0], r[1], None if r[2] is None else round(r[2], 9), r[3], r[4])
+    want = db.execute(f"SELECT doc_id, license, dice, scope, n_matches FROM ({queries.ORACLE['op5_license_dice']})").fetchall()
+    assert sorted(map(show, want)) == sorted(show(tuple(r)) for r in got.values())
