@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The letters of each code, and the letters that are read as others first.
 _EN = {"bp": "1", "fv": "2", "cks": "3", "gj": "4", "qxz": "5", "dt": "6", "l": "7", "mn": "8", "r": "9", "aehiouwy": "0"}
 _EN_FROM, _EN_TO = "".join(_EN), "".join(d * len(k) for k, d in _EN.items())
 _DE = {"AEIJOUY": "0", "BP": "1", "DT": "2", "FVW": "3", "GKQ": "4", "L": "5", "MN": "6", "R": "7", "CSZ": "8"}
