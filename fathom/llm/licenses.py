@@ -3,8 +3,8 @@
 Text is normalised to lower-cased runs of letters and digits. Dice is
 2 |A & B| / (|A| + |B|) over sets of adjacent word pairs. It can't reach the threshold t
 unless |A| lies between |B| t / (2 - t) and |B| (2 - t) / t, so templates outside these
-bounds are pruned before anything is compared. Everything is done within a row; only
-matches are grouped by document.
+bounds are pruned before anything is compared, as are texts that hold too few bigrams of
+every template. Everything is done within a row; only matches are grouped by document.
 
 Null and empty texts match nothing; a text or line of one word has no bigrams.
 """
@@ -17,6 +17,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 # Public licence wording.
 #: Short notices, licence openings and whole short licences, by SPDX-like id.
 TEMPLATES: dict[str, str] = {
@@ -119,6 +121,27 @@ def _passages(texts: DataFrame, grams: dict[str, list[str]], threshold: float) -
     return found.select("doc_id", F.lit("lines").alias("scope"), F.explode_outer(F.when(fits, F.array(F.struct("dice", "license")))).alias("m")).where("m is not null")
 
 
+def _likely(texts: DataFrame, grams: dict[str, list[str]], threshold: float) -> DataFrame:
+    """The texts that hold enough bigrams of some template for a part of them to match it.
+
+    A part's bigrams are the text's, so one that reaches the threshold shares at least the
+    template's lower size bound with the text, too. Bigrams are compared as 64-bit hashes
+    here: equal ones have equal hashes, and what is let through is compared in full.
+    """
+    known = sorted({x for g in grams.values() for x in g})
+    row = texts.sparkSession.range(1).select(F.array(*[F.xxhash64(*map(F.lit, x.split(" "))) for x in known]).alias("h")).first()
+    code = dict(zip(known, row.h, strict=True))
+    hashes = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1)))
+    held = F.array_distinct(F.filter(hashes, lambda h: h.isin(list(code.values()))))
+    some = texts.select("doc_id", "text", _words(F.col("text")).alias("words")).select("doc_id", "text", held.alias("held"))
+    near = F.lit(False)
+    for g in grams.values():
+        near = near | (F.size(F.array_intersect("held", F.array(*[F.lit(code[x]).cast("long") for x in g]))) >= size_bounds(len(g), threshold)[0])
+    # As elsewhere here, no filter stands on what is computed, as it would be computed again.
+    kept = some.select(F.explode_outer(F.when((F.size("held") > 0) & near, F.array(F.struct("doc_id", "text")))).alias("x"))
+    return kept.where("x is not null").select("x.doc_id", "x.text")
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, license, dice, scope, n_matches.
 
@@ -134,6 +157,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     bounds = {k: size_bounds(len(g), threshold) for k, g in grams.items()}
     least, most = min(b[0] for b in bounds.values()), max(b[1] for b in bounds.values())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = saved(_likely(texts, grams, threshold), "licences")
     lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit("line").alias("scope"), x.alias("unit")))
     units = texts.select("doc_id", F.explode(F.concat(F.array(F.struct(F.lit("text").alias("scope"), F.col("text").alias("unit"))), lines)).alias("u")).select("doc_id", "u.scope", "u.unit")
     # A set of s bigrams takes s + 1 words and, at one letter a word, 2 s + 1 characters; d
