@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.compiler import Compiler, Field, Node, Schema
@@ -16,10 +17,15 @@ def expansion(schema: Schema, f: Field, ids: list, id_field: str, n_eset: int =
     r * log((r + .5)(N - n - R + r + .5) / ((n - r + .5)(R - r + .5))).
     """
     toks = Compiler(schema).tokens(f)
-    rows = schema.frame.select(F.col(id_field).isin(ids).alias("given"), F.array_distinct(toks).alias("ws"))
-    given = rows.where("given").select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("r"))
-    # The words of the few given documents: what is broadcast doesn't grow with the corpus.
-    everywhere = rows.select(F.explode("ws").alias("w")).join(F.broadcast(given), "w").groupBy("w", "r").agg(F.count("*").alias("n"))
+    given = schema.frame.where(F.col(id_field).isin(ids)).select(F.explode(F.array_distinct(toks)).alias("w")).groupBy("w").agg(F.count("*").alias("r"))
+    # The words of the few given documents: what goes through the driver doesn't grow with the corpus.
+    times = {x.w: x.r for x in given.collect()}
+    if not times:
+        return []
+    held = F.array_distinct(F.filter(toks, lambda w: w.isin(list(times))))
+    everywhere = schema.frame.select(F.explode(held).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    in_given = schema.frame.sparkSession.createDataFrame(list(times.items()), "w string, r long")
+    everywhere = everywhere.join(F.broadcast(in_given), "w")
     if "n" not in schema.known:
         schema.known["n"] = schema.frame.count()
     total, size = schema.known["n"], len(ids)
@@ -35,3 +41,16 @@ def expanded(schema: Schema, f: Field, ids: list, id_field: str, n_eset: int = N
     words = [w for w, _ in expansion(schema, f, ids, id_field, n_eset)]
     comp = Compiler(schema)
     return comp.elite([comp.word(f, w) for w in words], n_term) if words else Node(F.lit(False), lambda _: F.lit(0.0))
+
+
+def term_statistics(schema: Schema, f: Field) -> DataFrame:
+    """word, documents (that hold it), total (occurrences) of every word of a text field.
+
+    One aggregation by word: a document gives each occurrence and each distinct word, so that
+    tasks combine counts before the shuffle and no pair of word and document is shuffled.
+    """
+    toks = Compiler(schema).tokens(f)
+    mark = lambda ws, d, t: F.transform(ws, lambda w: F.struct(w.alias("word"), F.lit(d).alias("d"), F.lit(t).alias("t")))
+    each = lambda ts: F.explode(F.flatten(F.transform(F.array(ts), lambda ws: F.concat(mark(ws, 0, 1), mark(F.array_distinct(ws), 1, 0)))))
+    rows = schema.frame.select(each(toks).alias("x")).select("x.*")
+    return rows.groupBy("word").agg(F.sum("d").alias("documents"), F.sum("t").alias("total"))

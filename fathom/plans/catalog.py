@@ -391,11 +391,9 @@ for _name, _q, _sql in (
 
 @query("term_stats", f"WITH d AS ({_WORDS}), t AS (SELECT doc_id, unnest(w) AS word FROM d) SELECT word, count(DISTINCT doc_id) AS documents, count(*) AS total FROM t GROUP BY 1")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.text import tokens
+    at = texts(spark, sf_dir)
+    return feedback.term_statistics(at.schema, at.schema.find("text"))
 
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(tokens(F.col("text"))).alias("word"))
-    each = rows.groupBy("word", "doc_id").agg(F.count("*").alias("f"))
-    return each.groupBy("word").agg(F.count("*").alias("documents"), F.sum("f").alias("total"))
 
 
 _IDF = "ln(CASE WHEN (n - k + 0.5) / (k + 0.5) < 2 THEN (n - k + 0.5) / (k + 0.5) / 2 + 1 ELSE (n - k + 0.5) / (k + 0.5) END) * 2"
