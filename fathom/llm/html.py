@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boost import Boosted
-from .common import lean
+from .common import lean, small_batches
 
 _RAW = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style", "title", "textarea", "iframe")}
 _NAME_END = re.compile(r"[\s/>]")
@@ -403,5 +403,6 @@ def main_text(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
                 texts = extract(part.column(2).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    small_batches(pages.sparkSession)
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return plain.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, lean, saved
+from .common import components, discard, lean, saved, small_batches
 
 REGISTERS, ROWS = 96, 4  # 24 bands; a pair at 0.8 meets in none of them once in 3e5
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
@@ -295,6 +295,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     is the document's own. Extra columns of docs are ignored. A null doc_id keeps a null
     component and is kept.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = saved(texts.mapInArrow(*_sketch_pass(words)), "sketch")
     known = sketch.where("n > 0 and doc_id is not null")

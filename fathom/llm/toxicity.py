@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, lean, saved
+from .common import discard, lean, saved, small_batches
 
 ORDER, LETTERS = 4, 28  # 0 is a word's edge, 1-26 are a-z, 27 any other letter
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
@@ -74,6 +74,7 @@ def char_model(texts: DataFrame) -> np.ndarray:
     The counts meet in one row a gram, at most LETTERS ** 4 (614,656) rows however long the
     corpus is.
     """
+    small_batches(texts.sparkSession)
     grams = texts.select("text").mapInArrow(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     found = grams.toArrow()
     n = np.zeros(LETTERS**ORDER)
@@ -337,6 +338,7 @@ def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, sample: int = SAMP
 
 def score(docs: DataFrame, lm: np.ndarray, intercept: float, weights: dict[str, float], name: str = "score") -> DataFrame:
     """docs(text, and any other columns) with the column `name`, each row's score."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast((lm, weights))
     names = docs.columns
     text_at = names.index("text")
