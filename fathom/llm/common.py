@@ -38,7 +38,7 @@ def small_batches(spark: SparkSession) -> None:
     Each task holds a batch in both processes, and the JVM keeps the memory for good.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") == "67108864b":  # the default
+    if spark.conf.get(key, None) == "67108864b":  # the default
         spark.conf.set(key, "8m")
 
 
