@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from .store import VersionConflict
 
-BUCKETS = 64
+BUCKETS = 64  # a table's buckets are best a few GB each; large ones are written by several tasks
 _BUCKET = "__bucket"
 
 
@@ -106,7 +106,7 @@ class Table:
             stored = self._rows(before, touched) if before else None
             out = merge(stored, new)
             folder = f"g{number:020d}-{uuid.uuid4().hex}"
-            out.withColumn(_BUCKET, self.bucket(buckets)).repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(f"{self.path}/{folder}")
+            out.withColumn(_BUCKET, self.bucket(buckets)).hint("rebalance", _BUCKET).write.partitionBy(_BUCKET).parquet(f"{self.path}/{folder}")
             written = {s.getPath().getName().partition("=")[2] for s in self._fs.listStatus(self._at(folder)) if "=" in s.getPath().getName()}
             places = {b: p for b, p in (before["buckets"] if before else {}).items() if b not in touched} | dict.fromkeys(sorted(written), folder)
             try:
