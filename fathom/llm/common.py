@@ -95,7 +95,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (u, v): rows (node, component), component the least node.
 
     Alternating large-star and small-star contraction: every step is a min per node and a
-    join, so no neighbourhood is ever collected, and the number of edges never grows. Nodes
+    join, so no neighbourhood is ever collected, and the number of edges never grows; a node
+with very many edges is a skewed side of the join, which adaptive execution splits. Nodes
     must be comparable (long or string); self-loops and repeated edges are harmless; edges
     with a null end are dropped. An empty input gives an empty result.
     """
