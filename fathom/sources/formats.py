@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -90,45 +91,125 @@ def loads(text: str) -> object:
     return json.loads(strip_json(text))
 
 
+_KEY = re.compile(r"""("(?:\\.|[^"\\])*"|'(?:''|[^'])*'|[^\s\[\]{}#"',|>&*!%@`-][^#]*?|-[^\s#][^#]*?)\s*:(?:\s+(.*))?$""")
+
+
 def yaml_loads(text: str) -> object:
-    """The plain subset of YAML that queries use: nested maps, lists and scalars."""
-    rows = [(len(x) - len(x.lstrip()), x.strip()) for x in text.splitlines() if x.strip() and not x.lstrip().startswith(("#", "---"))]
-    value, rest = _block(rows, rows[0][0] if rows else 0)
+    """The YAML that queries and documents use: nested maps and lists, quoted and plain scalars,
+    flow lists and maps, literal and folded blocks, comments. No anchors, tags or directives.
+    """
+    rows = []
+    lines = text.splitlines()
+    k = 0
+    while k < len(lines):
+        line, k = lines[k], k + 1
+        bare = _uncommented(line).rstrip()
+        if not bare.strip() or bare.startswith(("---", "...")):
+            continue
+        depth = len(bare) - len(bare.lstrip(" "))
+        block = re.search(r"(?:^|[:\-]\s)\s*([|>])([+-]?)$", bare)
+        if block:
+            inner = []
+            while k < len(lines) and (not lines[k].strip() or len(lines[k]) - len(lines[k].lstrip(" ")) > depth):
+                inner.append(lines[k])
+                k += 1
+            indent = min((len(x) - len(x.lstrip(" ")) for x in inner if x.strip()), default=0)
+            body = [x[indent:] for x in inner]
+            joined = ("\n" if block[1] == "|" else " ").join(body).rstrip("\n ")
+            rows.append((depth, bare[: block.start(1)].strip() + " " + json.dumps(joined + ("" if block[2] == "-" or not joined else "\n"))))
+        else:
+            rows.append((depth, bare.strip()))
+    value, rest = _block(rows, rows[0][0]) if rows else (None, [])
     if rest:
         raise ValueError(f"can't read {rest[0][1]!r}")
     return value
 
 
+def _uncommented(line: str) -> str:
+    """The line without a comment, which begins with "#" at its start or after a space, outside quotes."""
+    quote = ""
+    for i, c in enumerate(line):
+        if quote:
+            quote = "" if c == quote and not (quote == '"' and line[i - 1] == "\\") else quote
+        elif c in "\"'" and (i == 0 or line[i - 1] in " \t[{,:-'"):  # '' within quotes is one of them
+            quote = c
+        elif c == "#" and (i == 0 or line[i - 1] in " \t"):
+            return line[:i]
+    return line
+
+
 def _scalar(x: str) -> object:
+    if x[:1] in "[{":
+        value, rest = _flow(x)
+        if rest.strip():
+            raise ValueError(f"can't read {rest!r}")
+        return value
+    if len(x) > 1 and x[0] == x[-1] == "'":
+        return x[1:-1].replace("''", "'")
+    known = {"null": None, "~": None, "": None, "yes": True, "no": False, "true": True, "false": False, "on": True, "off": False}
+    if x.lower() in known:
+        return known[x.lower()]
     try:
         return json.loads(x)
     except ValueError:
-        return {"null": None, "~": None, "yes": True, "no": False, "": None}.get(x, x.strip("'"))
+        return x
+
+
+def _flow(x: str) -> tuple[object, str]:
+    """The value of a flow list or map at the beginning of x, and what follows it."""
+    x = x.lstrip()
+    if x[:1] not in ("[", "{"):
+        m = re.match(r"""("(?:\\.|[^"\\])*"|'(?:''|[^'])*'|[^,\]}]*)""", x)
+        return _scalar(m[1].strip()), x[m.end() :].lstrip()
+    close, listed = ("]", True) if x[0] == "[" else ("}", False)
+    items: list = []
+    x = x[1:].lstrip()
+    while not x.startswith(close):
+        if listed:
+            item, x = _flow(x)
+        else:
+            m = re.match(r"""("(?:\\.|[^"\\])*"|'(?:''|[^'])*'|[^:,}]*?)\s*:\s*""", x)
+            if not m:
+                raise ValueError(f"a key is missing: {x!r}")
+            value, x = _flow(x[m.end() :])
+            item = str(_scalar(m[1])), value
+        items.append(item)
+        if x.startswith(","):
+            x = x[1:].lstrip()
+        elif not x.startswith(close):
+            raise ValueError(f"{close!r} is missing: {x!r}")
+    return (items if listed else dict(items)), x[1:].lstrip()
 
 
 def _block(rows: list, depth: int) -> tuple[object, list]:
-    if rows and rows[0][1].startswith("- ") or rows and rows[0][1] == "-":
+    first = rows[0][1]
+    if first == "-" or first.startswith("- "):
         items: list = []
-        while rows and rows[0][0] == depth and rows[0][1].startswith("-"):
-            inner = rows[0][1][1:].strip()
-            rows = rows[1:]
-            if inner and ":" in inner and not inner.startswith(('"', "{", "[")):
-                rows = [(depth + 2, inner), *rows]
-                value, rows = _block(rows, depth + 2)
-            elif inner:
-                value = _scalar(inner)
+        while rows and rows[0][0] == depth and (rows[0][1] == "-" or rows[0][1].startswith("- ")):
+            inner = rows[0][1][1:]
+            within = depth + 1 + len(inner) - len(inner.lstrip())
+            inner, rows = inner.strip(), rows[1:]
+            if not inner:
+                value, rows = _block(rows, rows[0][0]) if rows and rows[0][0] > depth else (None, rows)
+            elif inner == "-" or inner.startswith("- ") or inner[0] not in "[{" and _KEY.match(inner):
+                value, rows = _block([(within, inner), *rows], within)
             else:
-                value, rows = _block(rows, rows[0][0])
+                value = _scalar(inner)
             items.append(value)
         return items, rows
+    if first[0] in "[{" or not _KEY.match(first):
+        return _scalar(first), rows[1:]
     out: dict = {}
     while rows and rows[0][0] == depth:
-        key, _, inner = rows[0][1].partition(":")
-        rows = rows[1:]
-        if inner.strip():
-            out[str(_scalar(key.strip()))] = _scalar(inner.strip())
-        elif rows and rows[0][0] > depth or rows and rows[0][0] == depth and rows[0][1].startswith("-"):
-            out[str(_scalar(key.strip()))], rows = _block(rows, rows[0][0])
+        m = _KEY.match(rows[0][1])
+        if not m:
+            break
+        key, inner, rows = m[1], (m[2] or "").strip(), rows[1:]
+        name = str(_scalar(key)) if key[0] in "\"'" else key
+        if inner:
+            out[name] = _scalar(inner)
+        elif rows and (rows[0][0] > depth or rows[0][0] == depth and (rows[0][1] == "-" or rows[0][1].startswith("- "))):
+            out[name], rows = _block(rows, rows[0][0])
         else:
-            out[str(_scalar(key.strip()))] = None
+            out[name] = None
     return out, rows

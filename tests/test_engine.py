@@ -446,3 +446,45 @@ def test_covers_hold_their_shapes():
                 held |= (ids >= a) & (ids <= b)
             assert held[inside].all() and inside.any() and len(ranges) <= 64
             assert level < 7 or held.sum() < 0.5 * len(points)
+
+
+def test_yaml():
+    text = """
+---
+# a query
+_query:
+  "a:b": 'it''s # no comment'   # a comment
+  url: http://x.org/?q=1
+  list: [1, "two, three", {k: v, n: [true, null]}]
+  map: {a: 1.5, 'b c': "x:y"}
+  none:
+  yes_no: [yes, no]
+  text: |
+    one
+      two
+
+    three
+  folded: >-
+    four
+    five
+  items:
+    - name: x
+      deep:
+      - - 1
+        - -2
+      - plain words: here
+    - just a string
+    -
+      k: 3
+_limit: 10
+"""
+    assert formats.yaml_loads(text) == {
+        "_query": {
+            "a:b": "it's # no comment", "url": "http://x.org/?q=1", "list": [1, "two, three", {"k": "v", "n": [True, None]}], "map": {"a": 1.5, "b c": "x:y"}, "none": None, "yes_no": [True, False],
+            "text": "one\n  two\n\nthree\n", "folded": "four five", "items": [{"name": "x", "deep": [[1, -2], {"plain words": "here"}]}, "just a string", {"k": 3}],
+        },
+        "_limit": 10,
+    }
+    assert formats.yaml_loads("") is None and formats.yaml_loads("- a\n- 2") == ["a", 2] and formats.yaml_loads("plain") == "plain"
+    with pytest.raises(ValueError):
+        formats.yaml_loads("a: [1, 2")
