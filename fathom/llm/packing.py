@@ -38,7 +38,7 @@ END = 2
 STEP_TOKENS = 8 * 4096
 WAITING = 96  # pieces that a tier lets wait before it fills a window
 CACHE = 400_000  # pieces whose ids a worker keeps
-CHUNK = 1 << 21  # bytes of text that are encoded at a time; a longer text goes alone
+CHUNK = 1 << 20  # bytes of text that are encoded at a time; a longer text goes alone
 
 
 def _byte_letters() -> dict[int, str]:

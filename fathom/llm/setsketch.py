@@ -40,7 +40,7 @@ FEW = 32  # members of a bucket that all meet
 LONGS = 16  # of 64 bins each; see parities()
 _BITS = [f"b{k}" for k in range(LONGS)]
 CHUNK = 1 << 14  # shingles hashed at a time, so that the work stays in cache
-PIECE = 1 << 20  # bytes of text hashed at a time
+PIECE = 1 << 17  # bytes of text hashed at a time
 
 _rng = np.random.default_rng(20240917)
 _BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

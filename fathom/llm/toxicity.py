@@ -35,7 +35,7 @@ SIGNIFICANT = 6.0
 #: Features kept, labelled rows that must hold one, and the lengths of word beginnings that
 #: are features beside whole words (so that a stem counts whatever its ending).
 WORDS, SUPPORT, STEMS = 2_000, 5, (4, 5, 6)
-CACHE, LONG = 100_000, 64  # tokens whose words a worker keeps, and the longest of these
+CACHE, LONG = 60_000, 64  # tokens whose words a worker keeps, and the longest of these
 
 _CODE = np.full(256, 27, np.int32)
 _CODE[:128] = 0
@@ -55,11 +55,11 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each partition's character 4-grams: gram, n."""
     total = np.zeros(LETTERS**ORDER, np.int64)
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            data = " ".join(t for t in batch.slice(at, 1000).column(0).to_pylist() if t)
+        for at in range(0, batch.num_rows, 200):
+            data = " ".join(t for t in batch.slice(at, 200).column(0).to_pylist() if t)
             data = np.frombuffer(f"   {data}   ".encode("utf-8", "surrogatepass"), np.uint8)
-            for k in range(0, len(data), 1 << 20):
-                c = _CODE[data[k : k + (1 << 20) + ORDER - 1]]
+            for k in range(0, len(data), 1 << 17):
+                c = _CODE[data[k : k + (1 << 17) + ORDER - 1]]
                 if len(c) >= ORDER:
                     g = ((c[:-3] * LETTERS + c[1:-2]) * LETTERS + c[2:-1]) * LETTERS + c[3:]
                     got = np.bincount(g)
