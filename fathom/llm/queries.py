@@ -98,10 +98,12 @@ def _license_sql() -> str:
         d AS (SELECT doc_id, scope, license, 2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM g, t
               WHERE len(g) >= len(b) * {THRESHOLD} / (2 - {THRESHOLD}) - 1e-9 AND len(g) <= len(b) * (2 - {THRESHOLD}) / {THRESHOLD} + 1e-9),
         l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_WORDS_SQL.format("x")}), lambda w: len(w) > 0) AS lines FROM documents WHERE contains(text, chr(10))),
-        near AS (SELECT doc_id, lines, license, b FROM l, t WHERE len(lines) > 1 AND len(list_intersect({_PAIRS_SQL.format("flatten(lines)")}, b)) >= len(b) * {THRESHOLD} / (2 - {THRESHOLD}) - 1e-9),
+        f AS (SELECT doc_id, lines, flatten(lines) AS w FROM l WHERE len(lines) > 1),
+        p AS MATERIALIZED (SELECT doc_id, lines, {_PAIRS_SQL.format("w")} AS g FROM f),
+        near AS MATERIALIZED (SELECT doc_id, lines, license, b FROM p, t WHERE len(list_intersect(g, b)) >= len(b) * {THRESHOLD} / (2 - {THRESHOLD}) - 1e-9),
         i AS (SELECT *, unnest(range(1, len(lines))) AS i FROM near),
-        j AS (SELECT *, unnest(range(i + 1, len(lines) + 1)) AS j FROM i),
-        run AS (SELECT doc_id, license, max(2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b))) AS dice FROM (SELECT doc_id, license, b, {_PAIRS_SQL.format("flatten(lines[i:j])")} AS g FROM j) GROUP BY 1, 2),
+        j AS (SELECT doc_id, license, b, flatten(lines[i:j]) AS w FROM (SELECT *, unnest(range(i + 1, len(lines) + 1)) AS j FROM i)),
+        run AS (SELECT doc_id, license, max(2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b))) AS dice FROM (SELECT doc_id, license, b, {_PAIRS_SQL.format("w")} AS g FROM j) GROUP BY 1, 2),
         one AS (SELECT doc_id, license, max(2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b))) AS alone FROM (
             SELECT doc_id, license, b, {_PAIRS_SQL.format("w")} AS g FROM (SELECT doc_id, license, b, unnest(list_prepend(flatten(lines), lines)) AS w FROM near)) GROUP BY 1, 2),
         every AS (SELECT * FROM d UNION ALL SELECT doc_id, 'lines', license, dice FROM run JOIN one USING (doc_id, license) WHERE dice > alone + 1e-12),
