@@ -118,11 +118,12 @@ class Index:
         nodes = aggregate.plan(aggs)
         return aggregate.render(nodes, aggregate.Aggregator(self.schema, self.matching(query)).frames(nodes))
 
-    def like(self, query: object, text_field: str, keep: bool = False, n_rset: int = feedback.N_RSET, n_eset: int = feedback.N_ESET, n_term: int = feedback.N_TERM, limit: int = 10) -> DataFrame:
-        """Documents like the best n_rset hits, with _weight; keep also matches the query itself."""
+    def like(self, query: object, text_field: str | list[str], keep: bool = False, n_rset: int = feedback.N_RSET, n_eset: int = feedback.N_ESET, n_term: int = feedback.N_TERM, limit: int = 10) -> DataFrame:
+        """Documents like the best n_rset hits, by words of the text fields, with _weight; keep also matches the query itself."""
         top = self.search(query, limit=n_rset).select(self.schema.id_field)
         ids = [r[0] for r in top.collect()]
-        node = feedback.expanded(self.schema, self.schema.find(text_field), ids, self.schema.id_field, n_eset, n_term)
+        fields = [self.schema.find(f) for f in ([text_field] if isinstance(text_field, str) else text_field)]
+        node = feedback.expanded(self.schema, fields, ids, self.schema.id_field, n_eset, n_term)
         if keep:
             node = Compiler(self.schema).combine("_or", [self.compiled(query), node])
         hits = self._weighed(node)

@@ -36,11 +36,12 @@ def expansion(schema: Schema, f: Field, ids: list, id_field: str, n_eset: int =
     return [(x.w, x.weight) for x in best]
 
 
-def expanded(schema: Schema, f: Field, ids: list, id_field: str, n_eset: int = N_ESET, n_term: int = N_TERM) -> Node:
-    """The elite set of the expansion's words, as a query."""
-    words = [w for w, _ in expansion(schema, f, ids, id_field, n_eset)]
+def expanded(schema: Schema, fields: list[Field], ids: list, id_field: str, n_eset: int = N_ESET, n_term: int = N_TERM) -> Node:
+    """The elite set of the best n_eset words of the fields' expansions, as a query."""
+    found = [(weight, w, f) for f in fields for w, weight in expansion(schema, f, ids, id_field, n_eset)]
+    best = sorted(found, key=lambda x: (-x[0], x[1], x[2].name))[:n_eset]
     comp = Compiler(schema)
-    return comp.elite([comp.word(f, w) for w in words], n_term) if words else Node(F.lit(False), lambda _: F.lit(0.0))
+    return comp.elite([comp.word(f, w) for _, w, f in best], n_term) if best else Node(F.lit(False), lambda _: F.lit(0.0))
 
 
 def term_statistics(schema: Schema, f: Field) -> DataFrame:

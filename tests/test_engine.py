@@ -488,3 +488,10 @@ _limit: 10
     assert formats.yaml_loads("") is None and formats.yaml_loads("- a\n- 2") == ["a", 2] and formats.yaml_loads("plain") == "plain"
     with pytest.raises(ValueError):
         formats.yaml_loads("a: [1, 2")
+
+
+def test_documents_alike_by_several_fields(spark):
+    rows = [(k, f"common words {k % 3}", "plain title") for k in range(30)] + [(100, "rare quokka", "zebra"), (101, "quokka sight", "other"), (102, "nothing", "zebra crossing")]
+    at = Index(spark.createDataFrame(rows, "_id int, t string, title string"), text=("t", "title"))
+    ids = lambda fields: {r["_id"] for r in at.like({"_id": 100}, fields).collect()}
+    assert ids("t") == {100, 101} and ids(["t", "title"]) == {100, 101, 102}
