@@ -19,10 +19,10 @@ from pyspark.sql import types as T
 from ..functions import dates, geo
 from ..plans.compiler import Compiler, Schema, compile_query
 
-METRICS = ("_count", "_sum", "_avg", "_min", "_max", "_variance", "_std_deviation", "_std", "_median", "_mode", "_stats", "_extended_stats", "_cardinality", "_percentiles", "_percentiles_rank", "_geo_bounds", "_geo_centroid")
-BUCKETS = ("_values", "_value", "_terms", "_term", "_histogram", "_range", "_filter", "_date_histogram", "_date_range", "_missing", "_geo_distance", "_geo_trixels")
+METRICS = ("_count", "_sum", "_avg", "_min", "_max", "_variance", "_std_deviation", "_std", "_median", "_mode", "_stats", "_extended_stats", "_cardinality", "_percentiles", "_percentiles_rank", "_geo_bounds", "_geo_centroid", "_scripted_metric")
+BUCKETS = ("_values", "_value", "_terms", "_term", "_histogram", "_range", "_filter", "_date_histogram", "_date_range", "_missing", "_geo_distance", "_geo_trixels", "_ip_range")
 #: Buckets that the query lists, fewer than BUCKET_LIMIT.
-FEW = ("_range", "_filter", "_date_range", "_missing", "_geo_distance")
+FEW = ("_range", "_filter", "_date_range", "_missing", "_geo_distance", "_ip_range")
 BUCKET_LIMIT = 10_000
 
 
@@ -54,6 +54,8 @@ def plan(aggs: dict) -> list[Node]:
 
 def metric_columns(node: Node, x: Column, kind: T.DataType) -> list[tuple[str, Column]]:
     """(name, aggregate) of a metric over the values x."""
+    if node.kind == "_scripted_metric":  # a function from the values' Column to an aggregate
+        return [(node.kind, node.spec["_script"](x))]
     if isinstance(kind, T.TimestampType | T.TimestampNTZType | T.DateType) and node.kind != "_count":
         x = F.unix_micros(x.cast("timestamp")) / 1e6
     elif isinstance(kind, T.BooleanType) and node.kind != "_count":
@@ -156,6 +158,9 @@ class Aggregator:
             return rows.withColumnRenamed("__v", key)
         if kind == "_date_histogram":
             return rows.withColumn(key, dates.truncate(F.col("__v"), spec["_interval"])).drop("__v")
+        if kind == "_ip_range":
+            spec = {"_ranges": [_ip_bounds(r) for r in spec["_ranges"]]}
+            return self._ranges(spec, rows.withColumn("__v", _ip_number(F.col("__v"))), key, int)
         temporal = isinstance(element, T.TimestampType | T.TimestampNTZType | T.DateType)
         if kind == "_date_range" or kind == "_range" and temporal:
             return self._ranges(spec, rows, key, _instant)
@@ -188,9 +193,10 @@ class Aggregator:
 
     def limited(self, node: Node, buckets: DataFrame, keys: list[str], key: str, inner: dict[str, DataFrame]) -> DataFrame:
         """The buckets in their order, numbered within their parent, as many as _limit."""
-        order = node.spec.get("_sort", "_key" if node.kind in ("_histogram", "_date_histogram") else None if node.kind in ("_range", "_date_range", "_geo_distance") else {"_doc_count": "desc"})
+        order = node.spec.get("_sort", "_key" if node.kind in ("_histogram", "_date_histogram") else None if node.kind in ("_range", "_date_range", "_geo_distance", "_ip_range") else {"_doc_count": "desc"})
         if order is None:
-            names = [r.get("_key") or f"{'' if r.get('_from') is None else r['_from']}..{'' if r.get('_to') is None else r['_to']}" for r in node.spec["_ranges"]]
+            ranges = [_ip_bounds(r) for r in node.spec["_ranges"]] if node.kind == "_ip_range" else node.spec["_ranges"]
+            names = [r.get("_key") or f"{'' if r.get('_from') is None else r['_from']}..{'' if r.get('_to') is None else r['_to']}" for r in ranges]
             by = [F.array_position(F.array(*[F.lit(n) for n in names]), F.col(key)).asc()]
             rows = buckets
         else:
@@ -225,6 +231,24 @@ class Aggregator:
         return buckets.join(wanted, keys, "left"), F.col("__by")
 
 
+def _ip_number(ip: Column) -> Column:
+    """The number of a dotted IPv4 address; null for anything else."""
+    parts = F.split(ip, r"\.")
+    number = F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n * 256 + p.cast("long"))
+    return F.when(ip.rlike(r"^((25[0-5]|2[0-4]\d|1?\d?\d)(\.|$)){4}$") & ~ip.endswith("."), number)
+
+
+def _ip_bounds(r: dict) -> dict:
+    """A range of {_from, _to} addresses (the end left out) or of {_mask: "a.b.c.d/n"}, as numbers with a _key."""
+    import ipaddress
+
+    if "_mask" in r:
+        net = ipaddress.ip_network(r["_mask"], strict=False)
+        return {"_key": r.get("_key") or r["_mask"], "_from": int(net.network_address), "_to": int(net.broadcast_address) + 1}
+    name = r.get("_key") or f"{r.get('_from', '')}..{r.get('_to', '')}"
+    return {"_key": name} | {k: int(ipaddress.ip_address(r[k])) for k in ("_from", "_to") if r.get(k)}
+
+
 def _lit(value: object) -> Column:
     return F.lit(value).cast("timestamp_ntz") if isinstance(value, datetime) else F.lit(value)
 

@@ -617,6 +617,19 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Index(frame, "c_custkey").aggregations({"m": {"_missing": {"_field": "segment"}}})["m"]
 
 
+@query("agg_scripted", "SELECT round(sqrt(sum(c_acctbal * c_acctbal)), 2) AS norm FROM customer")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = {"m": {"_scripted_metric": {"_field": "c_acctbal", "_script": lambda x: F.sqrt(F.sum(x * x))}}}
+    return index(spark, sf_dir, "customer").aggregations(tree)["m"].select(F.round("_scripted_metric", 2).alias("norm"))
+
+
+@query("bucket_ip_range", "SELECT unnest(list_filter([CASE WHEN c_custkey % 4 = 1 THEN '10.1.0.0/16' END, CASE WHEN c_custkey % 4 >= 2 THEN 'high' END], lambda x: x IS NOT NULL)) AS key, count(*) AS doc_count FROM customer GROUP BY 1")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ip = F.concat(F.lit("10."), (F.col("c_custkey") % 4).cast("string"), F.lit("."), (F.col("c_custkey") % 200).cast("string"), F.lit(".7"))
+    at = Index(read(spark, sf_dir, "customer").select("c_custkey", ip.alias("ip")), "c_custkey")
+    return at.aggregations({"b": {"_ip_range": {"_field": "ip", "_ranges": [{"_mask": "10.1.0.0/16"}, {"_key": "high", "_from": "10.2.0.0", "_to": "10.4.0.0"}]}}})["b"]
+
+
 @query("search_ranked", f"SELECT doc_id, CAST(row_number() OVER (ORDER BY w DESC, doc_id) - 1 AS INTEGER) AS rank, round(100 * w / max(w) OVER (), 4) AS percent FROM ({_bm25(['idiot', 'clown'], "list_has_any(w, ['idiot', 'clown'])", limit=10).replace('AS weight', 'AS w').replace('ORDER BY weight', 'ORDER BY w')})")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = texts(spark, sf_dir).search({"text": "idiot clown"}, ranked=True)
