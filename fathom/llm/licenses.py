@@ -66,6 +66,11 @@ def size_bounds(size: int, threshold: float) -> tuple[int, int]:
     return math.ceil(size * threshold / (2 - threshold) - 1e-9), math.floor(size * (2 - threshold) / threshold + 1e-9)
 
 
+def _strings(items: list[str]) -> Column:
+    """An array of bigrams, as one parsed literal: thousands of single ones take the driver seconds."""
+    return F.expr(f"array({', '.join(f"'{x}'" for x in items)})")
+
+
 def _words(col: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(F.lower(col), "[^a-z0-9]+", " "), " "), "")
 
@@ -79,8 +84,8 @@ def _passages(texts: DataFrame, grams: dict[str, list[str]], threshold: float) -
     # A passage of that dice shares at least the lower size bound with the template, and so
     # does the text around it, which few texts do. As in scan, no filter stands on what is
     # computed here, nor does a plain explode, as that infers one.
-    wanted = F.array(*[F.struct(F.lit(k).alias("license"), F.array(*[F.lit(x) for x in g]).alias("b"), F.lit(size_bounds(len(g), threshold)[0]).alias("low"), F.lit(size_bounds(len(g), threshold)[1]).alias("high")) for k, g in grams.items()])
-    known = F.array(*[F.lit(x) for x in sorted({x for g in grams.values() for x in g})])
+    wanted = F.array(*[F.struct(F.lit(k).alias("license"), _strings(g).alias("b"), F.lit(size_bounds(len(g), threshold)[0]).alias("low"), F.lit(size_bounds(len(g), threshold)[1]).alias("high")) for k, g in grams.items()])
+    known = _strings(sorted({x for g in grams.values() for x in g}))
     whole = texts.where(F.col("text").contains("\n")).select("doc_id", "text", _words(F.col("text")).alias("all"))
     pairs = lambda w: F.filter(F.array_distinct(F.transform(w, lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))), lambda p: p.contains(" "))
     held = whole.select("doc_id", "text", F.array_intersect(pairs(F.col("all")), known).alias("held"))
@@ -129,14 +134,13 @@ def _likely(texts: DataFrame, grams: dict[str, list[str]], threshold: float) ->
     here: equal ones have equal hashes, and what is let through is compared in full.
     """
     known = sorted({x for g in grams.values() for x in g})
-    row = texts.sparkSession.range(1).select(F.array(*[F.xxhash64(*map(F.lit, x.split(" "))) for x in known]).alias("h")).first()
-    code = dict(zip(known, row.h, strict=True))
-    hashes = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1)))
-    held = F.array_distinct(F.filter(hashes, lambda h: h.isin(list(code.values()))))
+    row = texts.sparkSession.range(1).select(F.transform(_strings(known), lambda x: F.xxhash64(F.substring_index(x, " ", 1), F.substring_index(x, " ", -1))).alias("h")).first()
+    code = {x: f"{h}L" if h > -(2**63) else "(-9223372036854775807L - 1L)" for x, h in zip(known, row.h, strict=True)}
+    held = F.expr(f"array_distinct(filter(transform(words, (w, i) -> xxhash64(w, get(words, i + 1))), h -> h in ({', '.join(code.values())})))")
     some = texts.select("doc_id", "text", _words(F.col("text")).alias("words")).select("doc_id", "text", held.alias("held"))
     near = F.lit(False)
     for g in grams.values():
-        near = near | (F.size(F.array_intersect("held", F.array(*[F.lit(code[x]).cast("long") for x in g]))) >= size_bounds(len(g), threshold)[0])
+        near = near | (F.size(F.array_intersect("held", F.expr(f"array({', '.join(code[x] for x in g)})"))) >= size_bounds(len(g), threshold)[0])
     # As elsewhere here, no filter stands on what is computed, as it would be computed again.
     kept = some.select(F.explode_outer(F.when((F.size("held") > 0) & near, F.array(F.struct("doc_id", "text")))).alias("x"))
     return kept.where("x is not null").select("x.doc_id", "x.text")
@@ -171,9 +175,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     found = []
     for k, g in grams.items():
         low, high = bounds[k]
-        dice = 2.0 * F.size(F.array_intersect("g", F.array(*[F.lit(x) for x in g]))) / (F.size("g") + len(g))
+        dice = 2.0 * F.size(F.array_intersect("g", _strings(g))) / (F.size("g") + len(g))
         found.append(F.when(F.size("g").between(low, high), F.struct(dice.alias("dice"), F.lit(k).alias("license"))))
-    known = F.array(*[F.lit(x) for x in sorted({x for g in grams.values() for x in g})])
+    known = _strings(sorted({x for g in grams.values() for x in g}))
     near = F.when(F.size("g").between(least, most) & F.arrays_overlap("g", known), F.array_compact(F.array(*found)))
     hits = sets.select("doc_id", "scope", F.explode(near).alias("m")).where(F.col("m.dice") >= threshold - 1e-12)
     hits = hits.union(_passages(texts, grams, threshold))
