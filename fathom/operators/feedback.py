@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.compiler import Compiler, Field, Node, Schema
@@ -47,11 +47,15 @@ def expanded(schema: Schema, fields: list[Field], ids: list, id_field: str, n_es
 def term_statistics(schema: Schema, f: Field) -> DataFrame:
     """word, documents (that hold it), total (occurrences) of every word of a text field.
 
-    One aggregation by word: a document gives each occurrence and each distinct word, so that
-    tasks combine counts before the shuffle and no pair of word and document is shuffled.
+    One aggregation by word: a document gives each of its words once, with the length of the
+    word's run among its sorted tokens, so that tasks combine counts before the shuffle and no
+    pair of word and document is shuffled.
     """
-    toks = Compiler(schema).tokens(f)
-    mark = lambda ws, d, t: F.transform(ws, lambda w: F.struct(w.alias("word"), F.lit(d).alias("d"), F.lit(t).alias("t")))
-    each = lambda ts: F.explode(F.flatten(F.transform(F.array(ts), lambda ws: F.concat(mark(ws, 0, 1), mark(F.array_distinct(ws), 1, 0)))))
-    rows = schema.frame.select(each(toks).alias("x")).select("x.*")
-    return rows.groupBy("word").agg(F.sum("d").alias("documents"), F.sum("t").alias("total"))
+
+    def counted(ws: Column) -> Column:
+        begins = F.filter(F.transform(ws, lambda w, i: F.when((i == 0) | (w != F.get(ws, i - 1)), i)), lambda i: i.isNotNull())
+        return F.flatten(F.transform(F.array(begins), lambda at: F.transform(at, lambda i, k: F.struct(F.get(ws, i).alias("word"), (F.coalesce(F.get(at, k + 1), F.size(ws)) - i).alias("n")))))
+
+    sorted_words = F.array(F.sort_array(Compiler(schema).tokens(f)))
+    rows = schema.frame.select(F.explode(F.flatten(F.transform(sorted_words, counted))).alias("x")).select("x.*")
+    return rows.groupBy("word").agg(F.count("*").alias("documents"), F.sum("n").alias("total"))
