@@ -21,7 +21,7 @@ STOP_WORDS = {
 
 
 def may_hold(text: Column, terms: list[str]) -> Column:
-    """A cheap test that every text with all of these words passes, and few others do."""
+    """A cheap test that every text with all of these words, or beginnings of words, passes, and few others do."""
     low = F.lower(text)
     return reduce(lambda a, b: a & b, [low.contains(w) for w in dict.fromkeys(terms)])
 

@@ -450,12 +450,8 @@ class Compiler:
             return Node(F.exists(toks, lambda w: w.rlike(text.glob(value))), _ZERO)
         if kind == "fuzzy":
             return Node(F.exists(toks, lambda w: F.levenshtein(w, F.lit(value), item[2]) >= 0), _ZERO)
-        return Node(F.arrays_overlap(toks, F.array(*[F.lit(w) for w in self.frequent(f, value)] or [F.lit(None).cast("string")])), _ZERO)
-
-    def frequent(self, f: Field, prefix: str) -> list[str]:
-        """The EXPANSION most frequent words that begin so."""
-        rows = self.schema.frame.select(F.explode(F.array_distinct(self.tokens(f))).alias("w")).where(F.col("w").startswith(prefix))
-        return [r.w for r in rows.groupBy("w").count().orderBy(F.desc("count"), "w").limit(EXPANSION).collect()]
+        match = F.exists(toks, lambda w: w.startswith(value))
+        return Node(match if self.schema.stem == "all" else text.may_hold(self.source(f), [value]) & match, _ZERO)
 
     def frequent_values(self, f: Field, fold: Callable[[Column], Column], prefix: str) -> list[str] | None:
         """The EXPANSION most frequent values that begin so; null if there are no more than these."""

@@ -495,3 +495,14 @@ def test_documents_alike_by_several_fields(spark):
     at = Index(spark.createDataFrame(rows, "_id int, t string, title string"), text=("t", "title"))
     ids = lambda fields: {r["_id"] for r in at.like({"_id": 100}, fields).collect()}
     assert ids("t") == {100, 101} and ids(["t", "title"]) == {100, 101, 102}
+
+
+def test_a_prefix_finds_every_word_of_a_text(spark):
+    rows = [(k, f"Fox, THERH{k:03d}!") for k in range(70)] + [(100, "fox therh"), (101, "fox xtherh1"), (102, "fox ther h"), (103, None), (104, "")]
+    df = spark.createDataFrame(rows, "_id int, t string")
+    want = [*range(70), 100]
+    assert found(df, "therh**") == found(df, {"_partial": "Therh"}) == found(df, "therh**", stem="all") == found(df, "therh**", cjk=True) == want
+    assert found(df, "+fox -therh**") == [101, 102] and found(df, "therh06**") == [*range(60, 70)] and found(df, "therho**") == []
+    assert found(df, "therh**", stop_words=("therh", "therh005")) == [*range(5), *range(6, 70)]
+    assert found(df.select("_id", F.array("t", F.lit("hen")).alias("t")), "therh**") == want
+    assert found(spark.createDataFrame([(1, "happy"), (2, "happily"), (3, "hap")], "_id int, t string"), "happi**", stem="all") == [1, 2]
